@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, compression, mixing
+from rivulet.llm import bpe, compression, mixing, rules, tiff
 from rivulet.llm.common import table
 
 
@@ -17,6 +16,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op5_mix_sources": mixing.op5,
+        "op6_quality_rules": rules.op6,
+        "op7_tiff_pages": tiff.op7,
         "op9_byte_bpe": op9,
         "op10_compression_quality": compression.op10,
     }
