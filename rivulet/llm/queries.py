@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, compression, mixing, rules, tiff
+from rivulet.llm import bpe, chat, compression, language, mixing, rules, tiff
 from rivulet.llm.common import table
 
 
@@ -15,13 +15,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_chat_format": chat.op3,
         "op5_mix_sources": mixing.op5,
         "op6_quality_rules": rules.op6,
         "op7_tiff_pages": tiff.op7,
+        "op8_language_id": language.op8,
         "op9_byte_bpe": op9,
         "op10_compression_quality": compression.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": mixing.OP5_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op5_mix_sources": mixing.OP5_SQL}
