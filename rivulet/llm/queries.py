@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, chat, compression, language, mixing, rules, tiff
+from rivulet.llm import bpe, chat, compression, language, mixing, rules, tiff, warc
 from rivulet.llm.common import table
 
 
@@ -16,6 +16,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_chat_format": chat.op3,
+        "op4_warc_index": warc.op4,
         "op5_mix_sources": mixing.op5,
         "op6_quality_rules": rules.op6,
         "op7_tiff_pages": tiff.op7,
@@ -26,4 +27,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op5_mix_sources": mixing.OP5_SQL}
+    return {"op3_chat_format": chat.OP3_SQL, "op4_warc_index": warc.OP4_SQL, "op5_mix_sources": mixing.OP5_SQL}
