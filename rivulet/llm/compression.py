@@ -93,26 +93,40 @@ def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> Mod
     return Model(model.good, model.bad, slope / scale, base, float(prior))
 
 
-def fit_sample(labelled: DataFrame, doc_id: str, text: str, label: str, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
+def _draw(seed: str, *cols):
+    """Uniform in [0, 1) by a hash of cols."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 24)) / F.lit(float(1 << 24))
+
+
+def _below(draw, label: str, share: dict):
+    return draw < F.coalesce(*(F.when(F.col(label) == y, F.lit(s)) for y, s in share.items()), F.lit(0.0))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label_id: str, label: str, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
     """Fits on a sample of labelled rows, drawn by a hash of the id, as large as rows and size (bytes) allow.
 
     Both labels are drawn with equal expected numbers, so that a rare label has enough.
-    Rows with a null label or text take no part. Both bounds hold in expectation.
+    Rows with a null label or text take no part; without both labels every score is the
+    prior. Ids are drawn among the labels alone, so the side that is broadcast holds rows
+    ids in expectation; the texts' bytes are then summed, and fewer drawn if they are too many.
     """
-    known = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull())
-    totals = known.groupBy(label).agg(F.count("*"), F.sum(F.octet_length(text))).collect()
-    share = {y: min(1.0, rows / 2 / n, size / 2 / max(b or 0, 1)) for y, n, b in totals}
-    draw = F.pmod(F.xxhash64(F.lit("fit"), doc_id), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    picked = known.where(draw < F.coalesce(*(F.when(F.col(label) == y, F.lit(s)) for y, s in share.items()), F.lit(0.0)) if share else F.lit(False))
-    got = picked.select(F.md5(F.col(doc_id).cast("string")).alias("k"), text, label).collect()
-    got.sort(key=lambda r: (r[0] or "", r[1]))
-    model = fit([(r[1], int(r[2])) for r in got])
-    if len(share) < 2 or not model.slope:
+    known = labels.where(F.col(label).isin(0, 1) & F.col(label_id).isNotNull()).select(F.col(label_id).alias("__id"), F.col(label).cast("int").alias("__label"))
+    true = {r[0]: r[1] for r in known.groupBy("__label").agg(F.count("*")).collect()}
+    if len(true) < 2:
+        return fit([])
+    share = {y: min(1.0, rows / 2 / n) for y, n in true.items()}
+    picked = known.where(_below(_draw("fit", "__id"), "__label", share))
+    found = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
+    sums = {r[0]: (r[1], r[2] or 0) for r in found.groupBy("__label").agg(F.count("*"), F.sum(F.octet_length("__text"))).collect()}
+    fewer = {y: min(1.0, rows / 2 / n, size / 2 / max(b, 1)) for y, (n, b) in sums.items()}
+    got = found.where(_below(_draw("row", "__id", "__text"), "__label", fewer)).select(F.md5(F.col("__id").cast("string")).alias("k"), "__text", "__label").collect() if fewer else []
+    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    model = fit([(r[1], r[2]) for r in got])
+    have = {y: sum(r[2] == y for r in got) for y in true}
+    if not all(have.values()):
         return model
     # the sample's odds are not the table's
-    n = {y: c * share[y] for y, c, _ in totals}
-    true = {y: c for y, c, _ in totals}
-    shift = np.log((true[1] / true[0]) / (max(n[1], 1e-9) / max(n[0], 1e-9)))
+    shift = np.log(true[1] / true[0]) - np.log(have[1] / have[0])
     return Model(model.good, model.bad, model.slope, model.base + float(shift), model.prior)
 
 
@@ -140,8 +154,7 @@ def score(df: DataFrame, text: str, model: Model, keep: list[str] | None = None)
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality")
-    # the drawing looks at ids and labels first; the join's other side is a few thousand rows
-    train = labels.where(crc_rest("label_id", 5) != 0).join(docs, F.col("label_id") == F.col("doc_id"))
-    model = fit_sample(train.select("doc_id", "text", "quality"), "doc_id", "text", "quality")
+    train = labels.where(crc_rest("label_id", 5) != 0)
+    model = fit_sample(docs, train, "doc_id", "text", "label_id", "quality")
     out = score(docs.withColumn("held_out", crc_rest("doc_id", 5) == 0), "text", model, ["doc_id", "held_out"])
     return out.select("doc_id", "held_out", F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.3, 1).otherwise(0).alias("predicted"))
