@@ -46,6 +46,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_id(df: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
+    """df and the name of a column that tells its rows apart: doc_id, or a new one if ids are null or repeated.
+
+    The new ids hold for the rows as written, so the frame that is returned reads them.
+    """
+    odd = df.groupBy(F.col(f"`{doc_id}`").alias("id")).agg(F.count("*").alias("n")).where("n > 1 OR id IS NULL")
+    if not odd.limit(1).count():
+        return df, doc_id
+    return materialise(materialise(df, "rows").withColumn("__row_id", F.monotonically_increasing_id()), "rows"), "__row_id"
+
+
 def crc_rest(col, mod: int):
     """crc32 of an id's decimal text, modulo mod; a null id counts as 0's complement: training."""
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(mod)), F.lit(1))
@@ -179,3 +190,35 @@ def hashed_words(array: pa.Array, limit: int = SLICE_BYTES) -> tuple[np.ndarray,
         out.append((h, np.searchsorted(starts, first, side="right") - 1))
         at = end
     return np.concatenate([h for h, _ in out]), np.concatenate([d for _, d in out])
+
+
+class Lookup:
+    """Places of 64-bit keys by open addressing, for whole arrays at a time."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.place = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), self._slot(keys)
+        while len(left):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]
+            rest = self.place[slot] != left
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+        used = self.place >= 0
+        self.keys[used] = keys[self.place[used]]
+
+    def _slot(self, x: np.ndarray) -> np.ndarray:
+        return ((x * _POWER) >> self.shift).astype(np.int64)
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The place of each value among the keys, or -1."""
+        slot = self._slot(x)
+        out = self.place[slot]
+        left = np.flatnonzero((out >= 0) & (self.keys[slot] != x))
+        while len(left):
+            at = (slot[left] + 1) & self.mask
+            slot[left] = at
+            out[left] = self.place[at]
+            left = left[(out[left] >= 0) & (self.keys[at] != x[left])]
+        return out

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import WORD, materialise
+from rivulet.llm.common import WORD, materialise, table, with_row_id
 
 #: No source is asked for more than this many times its size, so no document is taken more often.
 MOST_COPIES = 3
@@ -86,9 +86,15 @@ def mix_sources(df: DataFrame, doc_id: str, text: str, source: str, weights: tup
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def op5(spark, sf_dir: str) -> DataFrame:
-    from rivulet.llm.common import table
+def mixed(df: DataFrame, doc_id: str, text: str, source: str, **how) -> DataFrame:
+    """df's rows, each as often as the mix takes it."""
+    rows, row = with_row_id(df, doc_id)
+    copies = mix_sources(rows, row, text, source, **how).where("copies > 0").select(F.col("doc_id").alias("__taken"), "copies")
+    taken = rows.join(copies, F.col(f"`{row}`") == F.col("__taken")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*(F.col(f"`{c}`") for c in df.columns))
+
 
+def op5(spark, sf_dir: str) -> DataFrame:
     out = mix_sources(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     return out.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rivulet.llm import bpe, chat, compression, ctw, language, mixing, rules, tiff, warc
+from rivulet.llm import bpe, chat, compression, ctw, jaccard, language, mixing, rules, tiff, warc
 from rivulet.llm.common import table
 
 
@@ -15,6 +15,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": jaccard.op1,
         "op2_ctw_score": ctw.op2,
         "op3_chat_format": chat.op3,
         "op4_warc_index": warc.op4,
