@@ -1,8 +1,57 @@
-"""A training corpus from documents: rules, language, near copies, mix, tokens."""
+"""A training corpus from documents: quality rules, language, near copies, mix, tokens.
 
-STAGES = []
+Each stage takes all that the one before it kept. The stages but the last return the
+columns of documents; the last returns a row for each document of the mix with its token
+ids (binary: little-endian unsigned 32-bit integers) and whether they decode to its text.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.llm import bpe, jaccard, language, mixing, rules
+from rivulet.llm.common import materialise, table
+
+RANKS = "byte_bpe_50k.tiktoken"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = rules.quality_rules(docs, "text", "lang", docs.columns)
+    return judged.where("kept").select(docs.columns)
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with the usual cross-entropy; the models learn from all labelled ones."""
+    model = language.fit(docs, "doc_id", "text", "lang")
+    return language.identify(docs, "text", model).where(~F.col("rejected")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.one_of_each(docs, "doc_id", "text")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed(docs, "doc_id", "text", "source")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, token_ids, and round_trip: the ids decode to the text."""
+    out = bpe.encode(docs, "text", public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
+    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "utf-8")
+    return out.select("doc_id", "lang", "source", "n_tokens", "token_ids", same.alias("round_trip"))
+
+
+STAGES = [("quality rules", quality), ("language ID", languages), ("near copies", near_copies), ("mix", mix), ("tokens", tokens)]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
