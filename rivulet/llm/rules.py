@@ -9,18 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import table
+from rivulet.llm.common import materialise, table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SYMBOLS = r"#*$%&|<>"
 #: Common words of each language; five letters at most, lower case. A parameter.
 COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on", "are", "as", "with", "this"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "pas"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una"],
+    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"],
+    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
+    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
+    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
 LONGEST = 5
+#: What counts as a letter of a lower-case text here: a class that Java matches fast.
+LETTER = r"a-z\x80-\uFFFF"
 #: Words that a text needs before its histograms count.
 MIN_WORDS = 50
 #: Largest distances, to the nearest language, of a text that is kept.
@@ -33,29 +35,34 @@ def _left(text: Column, pattern: str) -> Column:
 
 
 def with_histograms(df: DataFrame, text: str, common: dict[str, list[str]] = COMMON) -> DataFrame:
-    """Adds __t (text or ''), __classes (characters by class) and __common (map-free: one array a language)."""
+    """Adds __t (text or ''), __classes (characters by class) and __common (times of each common word)."""
     t = F.col("__t")
     words = sorted({w for ws in common.values() for w in ws})
     df = df.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    # one pass takes the lower-case letters away; the other classes are counted in what is left
+    rest = F.col("__rest")
+    df = df.withColumn("__rest", F.regexp_replace(t, F.lit(rf"[{LETTER}]+"), F.lit("")))
+    df = df.withColumn("__short", F.split(F.regexp_replace(F.lower(t), F.lit(rf"[^{LETTER}]+|[{LETTER}]{{{LONGEST + 1},}}"), F.lit(" ")), " +"))
     df = df.withColumns({
-        "__symbols": _left(t, rf"[^{SYMBOLS}]+"),
-        "__word_chars": _left(t, rf"{SPACE_CLASS}+"),
-        "__digits": _left(t, r"[^0-9]+"),
-        "__stops": _left(t, r"[^.,;:!?]+"),
-        "__capitals": _left(t, r"[^A-Z]+"),
-        "__short": F.concat(F.lit("  "), F.regexp_replace(F.lower(t), F.lit(rf"[^\p{{L}}]+|\p{{L}}{{{LONGEST + 1},}}"), F.lit("  ")), F.lit("  ")),
-    })
-    n, short = F.length(t).cast("long"), F.col("__short")
-    shorts = F.length(short)
+        "__symbols": _left(rest, rf"[^{SYMBOLS}]+"),
+        "__word_chars": F.length(t).cast("long") - _left(rest, r"[^\x20\x09-\x0D]+"),
+        "__digits": _left(rest, r"[^0-9]+"),
+        "__stops": _left(rest, r"[^.,;:!?]+"),
+        "__capitals": _left(rest, r"[^A-Z]+"),
+    }).drop("__rest")
+    n = F.length(t).cast("long")
     known = ["__word_chars", "__symbols", "__digits", "__stops", "__capitals"]
-    rest = F.greatest(F.lit(0), F.col("__word_chars") - sum((F.col(c) for c in known[1:]), F.lit(0)))
+    letters = F.greatest(F.lit(0), F.col("__word_chars") - sum((F.col(c) for c in known[1:]), F.lit(0)))
     beyond = F.octet_length(t).cast("long") - n
-    counts = {w: (shorts - F.length(F.replace(short, F.lit(f" {w} "), F.lit("")))) / F.lit(len(w) + 2) for w in words}
+    # a text's common words as a string of one sign each; the signs are counted by taking them out
+    signs = [chr(48 + i) for i in range(len(words))]
+    line, all_signs, all_words = F.col("__line"), F.array(*map(F.lit, signs)), F.array(*map(F.lit, words))
+    df = df.withColumn("__line", F.array_join(F.transform("__short", lambda w: F.get(all_signs, F.array_position(all_words, w).cast("int") - 1)), ""))
     df = df.withColumns({
-        "__classes": F.array(n - F.col("__word_chars"), *(F.col(c) for c in known[1:]), rest, beyond),
-        "__common": F.array(*(counts[w].cast("long") for w in words)),
+        "__classes": F.array(n - F.col("__word_chars"), *(F.col(c) for c in known[1:]), letters, beyond),
+        "__common": F.array(*((F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("long") for x in signs)),
     })
-    return df.drop("__digits", "__stops", "__capitals", "__short")
+    return df.drop("__digits", "__stops", "__capitals", "__short", "__line")
 
 
 def _common_of(lang: str, common: dict[str, list[str]]) -> tuple[list[int], list[str]]:
@@ -71,20 +78,19 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
-def references(df: DataFrame, text: str, lang: str, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS) -> dict[str, tuple[list[float], list[float]]]:
+def references(measured: DataFrame, lang: str, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS) -> dict[str, tuple[list[float], list[float]]]:
     """Mean class and common-word shares of each language of common, over all its texts of min_words at least.
 
-    One row of sums a language comes to the driver. A language without texts is left out.
-    Texts with null lang or text take no part.
+    measured: what measure() returns, with a language column. One row of sums a language
+    comes to the driver. A language without texts is left out; rows with a null language
+    take no part.
     """
-    known = df.where(F.col(f"`{lang}`").isin(list(common)) & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{lang}`").alias("__lang"), F.col(f"`{text}`").alias("__in"))
-    h = with_histograms(known, "__in", common).withColumn("__n", F.regexp_count("__t", F.lit(r"[^\x20\x09-\x0D]+")))
-    h = h.where(F.col("__n") >= min_words).withColumn("__k", F.greatest(F.lit(1.0), _sum(F.col("__classes"))))
+    h = measured.where(F.col(f"`{lang}`").isin(list(common)) & (F.col("n_words") >= min_words)).withColumn("__k", F.greatest(F.lit(1.0), _sum(F.col("__classes"))))
     n_classes, words = 7, _common_of(next(iter(common)), common)[1]
     sums = [F.sum(F.col("__classes")[i] / F.col("__k")).alias(f"c{i}") for i in range(n_classes)]
-    sums += [F.sum(F.col("__common")[i] / F.col("__n")).alias(f"w{i}") for i in range(len(words))]
+    sums += [F.sum(F.col("__common")[i] / F.col("n_words")).alias(f"w{i}") for i in range(len(words))]
     out = {}
-    for row in h.groupBy("__lang").agg(F.count("*").alias("n"), *sums).collect():
+    for row in h.groupBy(F.col(f"`{lang}`").alias("__lang")).agg(F.count("*").alias("n"), *sums).collect():
         classes = [row[f"c{i}"] / row["n"] for i in range(n_classes)]
         whole = sum(classes) or 1.0
         at, _ = _common_of(row["__lang"], common)
@@ -125,43 +131,61 @@ def with_base_counts(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_repeat_words": repeated.cast("long"), "word_chars": F.col("__word_chars"), "n_symbols": F.col("__symbols")}).drop("__places")
 
 
-def quality_rules(df: DataFrame, text: str, refs: dict, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS, most_class: float = MOST_CLASS, most_common: float = MOST_COMMON) -> DataFrame:
-    """df's columns and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
+BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+VERDICT = ["base_failed", "class_distance", "common_distance", "kept"]
+
+
+def measure(df: DataFrame, text: str, keep: list[str], common: dict[str, list[str]] = COMMON) -> DataFrame:
+    """keep's columns, the base counts and two arrays of histogram counts. Null text: empty.
 
-    Null and empty texts count as no words: base_failed. A text under min_words is judged
-    by the base rules alone (distances null), as is every text when refs is empty. Rows
-    are judged one by one: repeated rows alike, none is lost. Input columns of the new
-    names are replaced.
+    A column of keep with a new column's name is replaced.
     """
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept"]
-    held = [c for c in df.columns if c not in new]
-    x = df.select(F.col(f"`{text}`").alias("__in"), *(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(held)))
+    keep = [c for c in keep if c not in BASE]
+    x = df.select(F.col(f"`{text}`").alias("__in"), *(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(keep)))
     x = with_base_counts(with_histograms(x, "__in", common))
-    x = x.drop("__t", "__in")
+    return x.select(*(F.col(f"__held{i}").alias(c) for i, c in enumerate(keep)), *BASE, "__classes", "__common")
+
+
+def judge(measured: DataFrame, refs: dict, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS, most_class: float = MOST_CLASS, most_common: float = MOST_COMMON) -> DataFrame:
+    """measured's columns without its arrays, and base_failed, class_distance, common_distance, kept.
+
+    Null and empty texts have no words: base_failed. A text under min_words is judged by
+    the base rules alone (distances null), as is every text when refs is empty. Otherwise
+    the smallest distance to any language counts, of either histogram. Rows are judged one
+    by one: repeated rows alike, none is lost; an empty table stays empty.
+    """
+    held = [c for c in measured.columns if c not in (*VERDICT, "__classes", "__common")]
+    x = measured.select(*(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(held)), "__classes", "__common", F.col("n_words").alias("__n"), F.col("n_repeat_words").alias("__repeats"))
     x = x.withColumn("__k", F.greatest(F.lit(1.0), _sum(F.col("__classes"))))
     x = x.withColumn("__shares", _share(F.col("__classes"), F.col("__k")))
     by_class, by_word = [], []
     for i, (lang, (classes, shares)) in enumerate(refs.items()):
         at, _ = _common_of(lang, common)
-        picked = [F.col("__common")[j] / F.greatest(F.lit(1), F.col("n_words")) for j in at]
-        x = x.withColumn(f"__p{i}", F.array(*picked))
+        x = x.withColumn(f"__p{i}", F.array(*(F.col("__common")[j] / F.greatest(F.lit(1), F.col("__n")) for j in at)))
         own = F.concat(F.col(f"__p{i}"), F.array(F.greatest(F.lit(0.0), 1 - _sum(F.col(f"__p{i}")))))
         by_class.append(_distance(F.col("__shares"), classes))
         by_word.append(_distance(own, shares))
-    enough = F.col("n_words") >= min_words
+    enough = F.col("__n") >= min_words
     least = lambda cols: F.when(enough, F.least(*cols) if len(cols) > 1 else cols[0]) if cols else F.lit(None).cast("double")
     x = x.withColumns({
         "class_distance": least(by_class),
         "common_distance": least(by_word),
-        "base_failed": (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")),
+        "base_failed": (F.col("__n") < MIN_BASE_WORDS) | (100 * F.col("__repeats") > MOST_REPEATED_PERCENT * F.col("__n")),
     })
     near = F.coalesce(F.col("class_distance") <= most_class, F.lit(True)) & F.coalesce(F.col("common_distance") <= most_common, F.lit(True))
     x = x.withColumn("kept", ~F.col("base_failed") & near)
-    return x.select(*(F.col(f"__held{i}").alias(c) for i, c in enumerate(held)), *new)
+    return x.select(*(F.col(f"__held{i}").alias(c) for i, c in enumerate(held)), *VERDICT)
+
+
+def quality_rules(df: DataFrame, text: str, lang: str, keep: list[str], **limits) -> DataFrame:
+    """keep's columns, the base counts and the verdict, by references from df itself.
+
+    Texts are measured once: what the counts and references need is written, with keep.
+    """
+    measured = materialise(measure(df, text, list(dict.fromkeys([*keep, lang]))), "measured")
+    out = judge(measured, references(measured, lang), **limits)
+    return out.select(*[c for c in keep if c not in (*BASE, *VERDICT)], *BASE, *VERDICT)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    refs = references(docs, "text", "lang")
-    out = quality_rules(docs.select("doc_id", "text"), "text", refs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
+    return quality_rules(table(spark, sf_dir, "documents"), "text", "lang", ["doc_id"])
