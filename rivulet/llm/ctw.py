@@ -23,14 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import crc_rest, hashed_words, map_slices, materialise, slices, table
+from rivulet.llm.common import Lookup, crc_rest, hashed_words, map_slices, materialise, slices, table
 
 #: Bytes of context.
 DEPTH = 5
 #: Largest number of (context, byte) pairs a depth, and of words, that go to every task.
 #: Beyond it, rarer contexts are left to shorter ones, and rarer words are joined instead.
-MOST_PAIRS, MOST_WORDS = 1 << 19, 1 << 20
-FLUSH = 1 << 21
+MOST_PAIRS, MOST_WORDS = 1 << 18, 1 << 19
+#: Keys that a counting task holds before it passes them on, and bytes of text that are looked at at once.
+FLUSH, SLICE = 1 << 20, 1 << 19
 
 
 # --- byte sequences -----------------------------------------------------------------------
@@ -64,9 +65,11 @@ def _counted(df: DataFrame, text: str, depth: int) -> DataFrame:
         def flush(kind):
             k = np.concatenate([x for x, _ in held[kind]])
             n = np.concatenate([x for _, x in held[kind]])
-            keys, inv = np.unique(k, return_inverse=True)
-            held[kind] = [(keys, np.bincount(inv, weights=n).astype(np.int64))]
-            size[kind] = len(keys)
+            order = np.argsort(k)
+            k, n = k[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            held[kind] = [(k[first], np.add.reduceat(n, first))]
+            size[kind] = len(first)
 
         def out(kind):
             for k, n in held[kind]:
@@ -77,7 +80,7 @@ def _counted(df: DataFrame, text: str, depth: int) -> DataFrame:
 
         texts = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * SLICE):
                 texts += part.num_rows
                 for kind, (keys, _) in ((0, sequences(part.column(0), depth)), (1, hashed_words(part.column(0)))):
                     k, n = np.unique(keys, return_counts=True)
@@ -124,8 +127,11 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
+    out = np.empty(len(a))
+    for i in range(0, len(a), 1 << 17):
+        x, y = a[i : i + (1 << 17)].astype(np.float64), b[i : i + (1 << 17)].astype(np.float64)
+        out[i : i + (1 << 17)] = _lgamma(x + 0.5) + _lgamma(y + 0.5) - _lgamma(x + y + 1) - np.log(np.pi)
+    return out
 
 
 @dataclass(frozen=True)
@@ -134,9 +140,10 @@ class Tree:
     keys: tuple[np.ndarray, ...]
     one: tuple[np.ndarray, ...]
     stop: tuple[np.ndarray, ...]
-    #: Of the sequences that training has seen, packed as in sequences(): log10 probability of the last byte.
-    pairs: np.ndarray
-    logs: np.ndarray
+    #: By depth: sequences that training has seen, packed as in sequences(), and the log10
+    #: probability of the last byte if the path ends at that depth.
+    pairs: tuple[np.ndarray, ...]
+    logs: tuple[np.ndarray, ...]
 
 
 def _decisions(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,11 +184,15 @@ def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
         below += np.where(rz + ro > 0, log_kt(np.maximum(rz, 0), np.maximum(ro, 0)), 0.0)
         weighted = np.logaddexp(kt, below) - np.log(2)
         stop[d] = np.exp(kt - np.log(2) - weighted).astype(np.float32)
-    one = [((o + 0.5) / (z + o + 1)).astype(np.float32) for _, z, o in nodes]
-    tree = Tree(tuple(k for k, _, _ in nodes), tuple(one), tuple(stop), np.zeros(0, np.uint64), np.zeros(0, np.float32))
-    pairs = counts[-1][0]
-    logs = [path_logs(tree, pairs[a : a + (1 << 16)]) for a in range(0, len(pairs), 1 << 16)]
-    return Tree(tree.keys, tree.one, tree.stop, pairs, np.concatenate(logs).astype(np.float32) if logs else np.zeros(0, np.float32))
+    one = tuple(((o + 0.5) / (z + o + 1)).astype(np.float32) for _, z, o in nodes)
+    keys, stops = tuple(k for k, _, _ in nodes), tuple(stop)
+    del nodes
+    logs = []
+    for d, (pairs, _) in enumerate(counts):
+        upto = Tree(keys[: d + 1], one[: d + 1], stops[: d + 1], (), ())
+        parts = [path_logs(upto, pairs[a : a + (1 << 16)]).astype(np.float32) for a in range(0, len(pairs), 1 << 16)]
+        logs.append(np.concatenate(parts) if parts else np.zeros(0, np.float32))
+    return Tree(keys, one, stops, tuple(p for p, _ in counts), tuple(logs))
 
 
 def path_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -211,18 +222,33 @@ def path_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def byte_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
-    """path_logs() with those of seen sequences looked up."""
-    if not len(tree.pairs):
-        return path_logs(tree, x)
-    at = np.searchsorted(tree.pairs, x)
-    at[at == len(tree.pairs)] = 0
-    out = tree.logs[at].astype(np.float64)
-    miss = np.flatnonzero(tree.pairs[at] != x)
-    if len(miss):
-        keys, inv = np.unique(x[miss], return_inverse=True)
-        out[miss] = path_logs(tree, keys)[inv]
-    return out
+class Scorer:
+    """path_logs() by look-up: the path of a context ends at the deepest depth at which training has seen it."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        self.pairs = [Lookup(p) for p in tree.pairs]
+        self.contexts = [Lookup(np.unique(p >> np.uint64(8))) for p in tree.pairs]
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), 8 * np.log10(0.5))
+        left = np.arange(len(x))
+        for d in range(len(self.pairs) - 1, -1, -1):
+            y = x[left] & np.uint64((1 << (8 * d + 8)) - 1)
+            at = self.pairs[d].find(y)
+            hit = at >= 0
+            out[left[hit]] = self.tree.logs[d][at[hit]]
+            left, y = left[~hit], y[~hit]
+            if not len(left):
+                break
+            # a byte that is new in a known context: decision by decision
+            new = self.contexts[d].find(y >> np.uint64(8)) >= 0
+            if new.any():
+                keys, inv = np.unique(y[new], return_inverse=True)
+                upto = Tree(self.tree.keys[: d + 1], self.tree.one[: d + 1], self.tree.stop[: d + 1], (), ())
+                out[left[new]] = path_logs(upto, keys)[inv]
+            left = left[~new]
+        return out
 
 
 @dataclass(frozen=True)
@@ -296,6 +322,8 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
 
     def make():
         tree, words, counts, depth = shared.value
+        scorer, known_words = Scorer(tree), Lookup(words)
+        word_logs = np.log10((counts + 0.1) / zero)
         row = TaskContext.get().partitionId() << 36
 
         def fn(array: pa.Array) -> list:
@@ -303,29 +331,31 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
             size = len(array)
             h, doc = hashed_words(array)
             n = np.bincount(doc, minlength=size)
-            at = np.searchsorted(words, h)
-            at[at == len(words)] = 0
-            hit = words[at] == h if len(words) else np.zeros(len(h), bool)
-            logs = np.log10((np.where(hit, counts[at] if len(words) else 0, 0) + 0.1) / zero)
-            base = np.bincount(doc, weights=np.where(hit, logs, 0.0), minlength=size) + end_log
+            at = known_words.find(h)
+            hit = at >= 0
+            base = np.bincount(doc[hit], weights=word_logs[at[hit]], minlength=size) + end_log
             known = np.bincount(doc, weights=hit, minlength=size).astype(np.int64) + ends_known
             other = np.flatnonzero(~hit)
-            pair = np.stack((doc[other], h[other].view(np.int64)), 1)
-            kinds, times = np.unique(pair, axis=0, return_counts=True) if len(pair) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-            cut = np.searchsorted(kinds[:, 0], np.arange(size + 1))
+            of, word = doc[other], h[other]
+            order = np.lexsort((word, of))
+            of, word = of[order], word[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(of)), bool), (of[1:] != of[:-1]) | (word[1:] != word[:-1]))))
+            times = np.diff(np.append(first, len(of)))
+            of, word = of[first], word[first].view(np.int64)
+            cut = np.searchsorted(of, np.arange(size + 1))
             key, of = sequences(array, depth)
             total = np.zeros(size)
-            for a in range(0, len(key), 1 << 20):
-                total += np.bincount(of[a : a + (1 << 20)], weights=byte_logs(tree, key[a : a + (1 << 20)]), minlength=size)
+            for a in range(0, len(key), SLICE):
+                total += np.bincount(of[a : a + SLICE], weights=scorer.logs(key[a : a + SLICE]), minlength=size)
             lengths = np.bincount(of, minlength=size)
             rows = np.arange(row, row + size)
             row += size
             lists = lambda v: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.ascontiguousarray(v)))
-            return [rows, n + 1, known, base, total, -total / np.log10(2) / lengths, lists(kinds[:, 1]), lists(times)]
+            return [rows, n + 1, known, base, total, -total / np.log10(2) / lengths, lists(word), lists(times)]
 
         return fn
 
-    scored = map_slices(df, text, fields, make, keep)
+    scored = map_slices(df, text, fields, make, keep, SLICE)
     if model.rare is None:
         rest = F.aggregate("__times", F.lit(0).cast("long"), lambda a, x: a + x)
         out = scored.withColumn("base_score", F.col("__base") + rest * F.lit(float(model.word_log(np.float64(0))))).withColumn("n_known", F.col("__known"))
