@@ -36,13 +36,18 @@ from pyspark.sql import types as T
 from rivulet.llm.common import hashed_words, map_slices, materialise, mix, slices, table, with_row_id
 
 WORDS, PERCENT = 5, 80
-#: Sets in one tree, children of a tree node, bits of a bitmap a token, largest bitmap in 64-bit words.
-BLOCK, FANOUT, BITS, MOST_WIDTH = 1024, 8, 2, 1 << 12
+#: Sets in one tree, children of a tree node, bits of a bitmap a token at least, largest bitmap in 64-bit words.
+BLOCK, FANOUT, BITS, MOST_WIDTH = 1024, 8, 1, 1 << 12
+#: Sets at one token up to which all pairs are looked at before bitmaps are fetched.
+FEW = 32
 #: Tokens seen so often count as frequent and come last in prefixes; of the most frequent so many at most.
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Bits of the filter that picks the texts to read again: 8 MB however many there are.
 FILTER_BITS = 1 << 26
-SEEDS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+SEED = np.uint64(0x9E3779B97F4A7C15)
+#: Min-hashes by which sets meet in the first round, and those by which the groups so found meet once more.
+KEYS = ((0, 1), (2, 3, 4, 5))
+SEEDS = mix(np.arange(1, 7, dtype=np.uint64) * SEED)
 
 
 # --- sets ---------------------------------------------------------------------------------
@@ -97,6 +102,18 @@ def sets(array: pa.Array, words: int = WORDS, last: np.ndarray | None = None) ->
     return s, np.searchsorted(of, np.arange(len(array) + 1))
 
 
+def described(s: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's hash and its min-hashes (a row a set); zeros for empty sets."""
+    n = np.diff(cut)
+    some, at = n > 0, cut[:-1][n > 0]
+    node, mins = np.zeros(len(n), np.uint64), np.zeros((len(n), len(SEEDS)), np.uint64)
+    if len(at):
+        node[some] = mix(np.add.reduceat(mix(s ^ SEED), at) + n[some].astype(np.uint64))
+        for k, seed in enumerate(SEEDS):
+            mins[some, k] = np.minimum.reduceat(mix(s + seed), at)
+    return node, mins
+
+
 def least_overlap(a, b, percent: int = PERCENT):
     """The overlap that sets of sizes a and b need to link."""
     return -((-percent * (a + b)) // (100 + percent))
@@ -275,30 +292,29 @@ def _frequent(df: DataFrame, words: int) -> np.ndarray:
 
 
 def _described(df: DataFrame, words: int, percent: int, last: np.ndarray) -> DataFrame:
-    """keep's columns and each text's set: n, node (its hash), two min-hashes, prefix tokens, bitmap."""
+    """doc_id and each text's set: n, node (its hash), min-hashes; and prefix tokens and bitmap, where the task hasn't seen the set before."""
     shared = df.sparkSession.sparkContext.broadcast(last)
     longs = T.ArrayType(T.LongType())
-    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("min0", T.LongType()), T.StructField("min1", T.LongType()), T.StructField("prefix", longs), T.StructField("bits", T.BinaryType())]
+    fields = [T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("mins", longs), T.StructField("prefix", longs), T.StructField("bits", T.BinaryType())]
 
     def make():
-        frequent = shared.value
+        frequent, seen = shared.value, set()
 
         def fn(array: pa.Array) -> list:
             s, cut = sets(array, words, frequent)
             n = np.diff(cut)
-            some, at = n > 0, cut[:-1][n > 0]
-            node, mins = np.zeros(len(n), np.uint64), [np.zeros(len(n), np.uint64) for _ in SEEDS]
-            if len(at):
-                node[some] = mix(np.add.reduceat(mix(s ^ SEEDS[0]), at) + n[some].astype(np.uint64))
-                for m, seed in zip(mins, SEEDS, strict=True):
-                    m[some] = np.minimum.reduceat(mix(s + seed), at)
-            first = np.where(some, np.minimum(prefix_length(n, percent), n), 0)
+            some = n > 0
+            node, mins = described(s, cut)
+            if len(seen) > 1 << 18:
+                seen.clear()
+            new = np.array([not (k in seen or seen.add(k)) for k in node.tolist()], bool) & some
+            first = np.where(new, np.minimum(prefix_length(n, percent), n), 0)
             take = np.repeat(cut[:-1] - (np.cumsum(first) - first), first) + np.arange(first.sum())
             offsets = np.concatenate(([0], np.cumsum(first))).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(s[take].view(np.int64)))
             w = width(n)
-            bits = [bitmap(s[a:b], int(k)).tobytes() if b > a else None for a, b, k in zip(cut[:-1], cut[1:], w, strict=True)]
-            return [n, node.view(np.int64), *(m.view(np.int64) for m in mins), prefix, bits]
+            bits = [bitmap(s[a:b], int(k)).tobytes() if x else None for a, b, k, x in zip(cut[:-1], cut[1:], w, new, strict=True)]
+            return [n, node.view(np.int64), list(mins.view(np.int64)), prefix, bits]
 
         return fn
 
@@ -315,30 +331,32 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _texts(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """wanted (node, rep: a document of it) -> node, text. Texts are read again; only those that a filter lets through are hashed and shuffled."""
-    bits = df.sparkSession.sparkContext.broadcast(_filter_of(wanted.select(F.col("rep").alias("id")).distinct()))
+def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+
+
+def _passing(df: DataFrame, ids: DataFrame, words: int, fields: str, rows) -> DataFrame:
+    """What rows(batch of doc_id and text, sets, bounds) makes of the texts whose doc_id a filter over ids (column id) lets through."""
+    bits = df.sparkSession.sparkContext.broadcast(_filter_of(ids))
     hashed = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
 
     def run(batches):
-        held, seen = bits.value, set()
+        held = bits.value
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            passed = (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-            some = batch.filter(pa.array(passed.astype(bool)))
+            some = batch.filter(pa.array(_held(held, batch.column(2).to_numpy())))
             for part in slices(some, "text"):
-                s, cut = sets(part.column(1), words)
-                n = np.diff(cut)
-                node = np.zeros(len(n), np.uint64)
-                if len(s):
-                    node[n > 0] = mix(np.add.reduceat(mix(s ^ SEEDS[0]), cut[:-1][n > 0]) + n[n > 0].astype(np.uint64))
-                if len(seen) > 1 << 18:
-                    seen.clear()
-                new = [not (k in seen or seen.add(k)) for k in zip(part.column(0).to_pylist(), node.tolist(), strict=True)]  # repeated rows
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node.view(np.int64)), part.column(1)], names=["doc", "n_node", "text"]).filter(pa.array(new))
+                yield rows(part, *sets(part.column(1), words))
 
-    passed = hashed.mapInArrow(run, "doc long, n_node long, text string")
-    return passed.join(wanted, F.col("doc").eqNullSafe(F.col("rep")) & (F.col("n_node") == F.col("node"))).select("node", "text")
+    return hashed.mapInArrow(run, fields)
+
+
+def _texts(df: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """wanted (node, rep: a document of it) -> node, text. Texts are read again; only those that a filter lets through are hashed and shuffled."""
+    def rows(part, s, cut):
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(described(s, cut)[0].view(np.int64)), part.column(1)], names=["doc", "of", "text"])
+
+    passed = _passing(df, wanted.select(F.col("rep").alias("id")).distinct(), words, "doc long, of long, text string", rows)
+    return passed.join(wanted, F.col("doc").eqNullSafe(F.col("rep")) & (F.col("of") == F.col("node"))).select("node", "text")
 
 
 def _runs(batches, key: int):
@@ -381,11 +399,14 @@ def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return ready.mapInArrow(run, "a long, b long, bin long, text string")
 
 
-def _in_blocks(bins: DataFrame, size: int) -> DataFrame:
-    """bins (bin, node, ...) with parts (of how many blocks its bin is) and block; bins of one node go."""
-    counts = bins.groupBy("bin").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("bin").alias("__bin"), F.ceil(F.col("__n") / size).alias("parts"))
-    x = bins.join(counts, F.col("bin") == F.col("__bin")).drop("__bin")
-    return x.withColumn("block", F.xxhash64("bin", F.pmod(F.xxhash64("node"), F.col("parts"))))
+def _in_blocks(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows (bin, node, ...) with block; parts (cut, parts): bins that take several blocks."""
+    x = rows.join(parts, F.col("bin") == F.col("cut"), "left").drop("cut")
+    return x.withColumn("block", F.when(F.col("parts").isNull(), F.col("bin")).otherwise(F.xxhash64("bin", F.pmod(F.xxhash64("node"), F.col("parts"))))).drop("parts")
+
+
+def _parts(rows: DataFrame, size: int) -> DataFrame:
+    return rows.groupBy("bin").agg(F.count("*").alias("n")).where(F.col("n") > size).select(F.col("bin").alias("cut"), F.ceil(F.col("n") / size).alias("parts"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -409,32 +430,60 @@ def components(edges: DataFrame) -> DataFrame:
         labels = after.select("node", "comp")
 
 
-def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
-    """Spanning links (a, b) among sets with a common min-hash."""
-    seen = nodes.select("node", "rep", F.explode(F.array(F.xxhash64(F.lit(0), "min0"), F.xxhash64(F.lit(1), "min1"))).alias("bin"))
-    bins = materialise(_in_blocks(seen, size), "bins")
-    texts = _texts(docs, bins.select("node", "rep").distinct(), words)
-    rows = bins.select("block", "bin", "node", "parts").join(texts, "node")
-    out, links = materialise(_block_links(rows, words, percent), "links"), []
-    cut = bins.where("parts > 1").select("bin").distinct()
+def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, size: int, keys: tuple[int, ...], comps: DataFrame | None) -> DataFrame:
+    """Spanning links (a, b) among sets with a common min-hash of keys; of sets that are one component already the smallest stands for all in a bin."""
+    kept = nodes.select("node", "rep", F.array(*(F.col("mins")[k] for k in keys)).alias("mins"))
+    if comps is not None:
+        kept = kept.join(comps.select(F.col("node").alias("k"), "comp"), F.col("node") == F.col("k"), "left").select("node", "rep", "mins", F.coalesce("comp", "node").alias("comp"))
+    else:
+        kept = kept.withColumn("comp", F.col("node"))
+    seen = kept.select("comp", "node", "rep", F.posexplode("mins").alias("key", "least"))
+    seen = seen.groupBy("key", "least", "comp").agg(F.min(F.struct("node", "rep")).alias("x")).select("key", "least", "x.node", "x.rep")
+    several = seen.groupBy("key", "least").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k2"), F.col("least").alias("l2"), "n")
+    bins = seen.join(several, (F.col("key") == F.col("k2")) & (F.col("least") == F.col("l2"))).select("key", "least", "node", "rep", "n")
+    bins = materialise(bins, "bins")
+    if not bins.limit(1).count():
+        return bins.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    # which (key, min-hash, set) take part is told by a filter; a text that passes by chance stands alone or links rightly
+    taking = docs.sparkSession.sparkContext.broadcast(_filter_of(bins.select(F.xxhash64("key", "least", "node").alias("id"))))
+    passed = _passing(docs, bins.select(F.col("rep").alias("id")).distinct(), words, "node long, mins array<long>, text string", lambda part, s, cut: _node_rows(part, s, cut, keys))
+    one = passed.select("node", "text", F.posexplode("mins").alias("key", "least"))
+    one = one.withColumn("at", F.pmod(F.xxhash64(F.xxhash64("key", "least", "node")), F.lit(FILTER_BITS)))
+
+    def let_through(batches):
+        held = taking.value
+        for batch in batches:
+            some = batch.filter(pa.array(_held(held, batch.column(2).to_numpy())))
+            if some.num_rows:
+                yield some.select([0, 1, 3])
+
+    rows = one.select(F.xxhash64("key", "least").alias("bin"), "node", "at", "text").mapInArrow(let_through, "bin long, node long, text string")
+    cut = materialise(_parts(bins.select(F.xxhash64("key", "least").alias("bin")), size), "parts")
+    out, links = materialise(_block_links(_in_blocks(rows, cut), words, percent), "links"), []
     while True:
         links.append(out.where("a <> b").select("a", "b"))
-        # bins of several blocks: the groups' smallest sets meet once more, until one block holds them or none falls together
-        roots = out.join(cut.withColumnRenamed("bin", "cut"), F.col("bin") == F.col("cut"), "left_semi").where("a = b AND text IS NOT NULL").select("bin", F.col("a").alias("node"), "text")
-        again = _in_blocks(roots, size)
-        before = roots.count()
-        if not before:
+        # bins of several blocks: their groups' smallest sets meet once more, until one block holds them or none falls together
+        roots = out.join(cut.select(F.col("cut").alias("c")), F.col("bin") == F.col("c"), "left_semi").where("a = b AND text IS NOT NULL").select("bin", F.col("a").alias("node"), "text")
+        if not cut.limit(1).count():
             break
-        out = materialise(_block_links(again, words, percent), "links")
+        again = _in_blocks(roots, materialise(_parts(roots, size), "parts"))
+        after = materialise(_block_links(again, words, percent), "links")
+        cut = materialise(_parts(roots, size), "parts")
+        out = after
         if not out.where("a <> b").limit(1).count():
             break
-        cut = materialise(again.where("parts > 1").select("bin").distinct(), "cut")
     all_links = links[0]
-    for x in links[1:]:
+    for x in [*links[1:], out.where("a <> b").select("a", "b")]:
         all_links = all_links.union(x)
     return all_links
 
 
+def _node_rows(part, s, cut, keys):
+    node, mins = described(s, cut)
+    lists = pa.array(list(np.ascontiguousarray(mins[:, list(keys)]).view(np.int64)), pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists, part.column(1)], names=["node", "mins", "text"])
+
+
 def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     """rows (token, node, comp, n, place) -> those of tokens at which sets of different components may meet first."""
     def run(batches):
@@ -445,12 +494,16 @@ def _meeting(rows: DataFrame, percent: int) -> DataFrame:
             of = np.repeat(np.arange(len(cut)), size)
             low, high = np.minimum.reduceat(comp, cut), np.maximum.reduceat(comp, cut)
             keep = (low < high)[of]
-            # a pair is told by both places; for two rows it is looked at here, larger bins go to a tree
-            two = np.flatnonzero((size == 2) & (low < high))
-            a, b = cut[two], cut[two] + 1
-            need = least_overlap(n[a], n[b], percent)
-            bad = (n[a] - place[a] < need) | (n[b] - place[b] < need) | (100 * np.minimum(n[a], n[b]) < percent * np.maximum(n[a], n[b]))
-            keep[a[bad]] = keep[b[bad]] = False
+            # a pair's places tell whether it may meet first here; larger bins go to a tree as they are
+            for g in np.unique(size[(size <= FEW) & (low < high)]).tolist():
+                bins = np.flatnonzero((size == g) & (low < high))
+                for part in np.array_split(bins, max(1, len(bins) * g * g >> 20)):
+                    i = cut[part, None] + np.arange(g)
+                    a, b = n[i][:, :, None], n[i][:, None, :]
+                    need, left = least_overlap(a, b, percent), (n - place)[i]
+                    may = (comp[i][:, :, None] != comp[i][:, None, :]) & (left[:, :, None] >= need) & (left[:, None, :] >= need)
+                    may &= (100 * a >= percent * b) & (100 * b >= percent * a)
+                    keep[i] = may.any(axis=2)
             yield from t.filter(pa.array(keep)).to_batches()
 
     schema = "token long, node long, comp long, n long, place long"
@@ -501,10 +554,26 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(run, "a long, b long").distinct()
 
 
-def _second_round(nodes: DataFrame, comps: DataFrame, docs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
+def _marked(carried: DataFrame, comps: DataFrame) -> DataFrame:
+    """carried's prefixes and whether a node may have a component: a filter tells those that surely have none."""
+    bits = carried.sparkSession.sparkContext.broadcast(_filter_of(comps.select(F.col("node").alias("id"))))
+    hashed = carried.select("node", "n", "prefix", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("at"))
+
+    def run(batches):
+        held = bits.value
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_held(held, at))], names=["node", "n", "prefix", "maybe"])
+
+    return hashed.mapInArrow(run, "node long, n long, prefix array<long>, maybe boolean")
+
+
+def _second_round(nodes: DataFrame, carried: DataFrame, comps: DataFrame, docs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
     """Links (a, b) between sets of different components, by their prefix tokens."""
+    marked = _marked(carried, comps)
     known = comps.select(F.col("node").alias("k"), "comp")
-    placed = nodes.join(known, F.col("node") == F.col("k"), "left").select("node", "rep", "n", "prefix", F.coalesce("comp", "node").alias("comp"))
+    linked = marked.where("maybe").join(known, F.col("node") == F.col("k"), "left").select("node", "n", "prefix", F.coalesce("comp", "node").alias("comp"))
+    placed = linked.union(marked.where("NOT maybe").select("node", "n", "prefix", F.col("node").alias("comp")))
     rows = placed.select("node", "comp", "n", F.posexplode("prefix").alias("place", "token")).withColumn("place", F.col("place").cast("long"))
     met = materialise(_meeting(rows, percent), "meeting")
     counts = met.groupBy("token").agg(F.count("*").alias("c")).select(F.col("token").alias("t"), F.ceil(F.col("c") / size).cast("int").alias("parts"))
@@ -513,7 +582,8 @@ def _second_round(nodes: DataFrame, comps: DataFrame, docs: DataFrame, words: in
     other = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))
     x = x.withColumn("other", F.explode(other))
     x = x.withColumn("block", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other"))).withColumn("side", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")))
-    bits = nodes.select(F.col("node").alias("k"), "bits")
+    some = met.select(F.col("node").alias("k")).distinct()
+    bits = carried.join(some, F.col("node") == F.col("k"), "left_semi").groupBy(F.col("node").alias("k")).agg(F.max("bits").alias("bits"))
     pairs = materialise(_tree_pairs(x.join(bits, F.col("node") == F.col("k")).select("block", "side", "token", "node", "comp", "n", "place", "bits"), percent), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = nodes.join(ids, F.col("node") == F.col("k"), "left_semi").select("node", "rep")
@@ -548,11 +618,15 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, words: int = WORDS, perc
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     base = materialise(_described(docs, words, percent, _frequent(docs, words)), "sets")
     # what describes a set is the same in all rows of its class
-    same = [F.first(c).alias(c) for c in ("n", "min0", "min1", "prefix", "bits")]
+    same = [F.first(c).alias(c) for c in ("n", "mins")]
     nodes = materialise(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *same), "nodes")
-    links = materialise(_first_round(nodes, docs, words, percent, size), "round1")
-    comps = components(links)
-    more = materialise(_second_round(nodes, comps, docs, words, percent, size), "round2")
+    carried = base.where("bits IS NOT NULL").select("node", "n", "prefix", "bits")
+    links, comps = None, None
+    for keys in KEYS:
+        found = materialise(_first_round(nodes, docs, words, percent, size, keys, comps), "round1")
+        links = found if links is None else links.union(found)
+        comps = components(links)
+    more = materialise(_second_round(nodes, carried, comps, docs, words, percent, size), "round2")
     if more.limit(1).count():
         comps = components(links.union(more))
     of = nodes.select("node", "rep").join(comps.select(F.col("node").alias("k"), "comp"), F.col("node") == F.col("k"), "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
