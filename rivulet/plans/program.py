@@ -160,7 +160,8 @@ class Program:
         if m := UNSTABLE.search(query):
             raise ProgramError("Not supported", f"{m[1]} has no fixed value")
         text, df = self._analysed(query)
-        df = df.toDF(*columns) if columns else df
+        columns = columns or _names(df.columns)
+        df = df.toDF(*columns)
         v = View(name, text, columns, df.schema, self._reads(text), output)
         self.views[name] = v
         self._register(v)
@@ -259,6 +260,12 @@ class Program:
         return "digraph program {\n" + "\n".join(lines) + "\n}\n"
 
 
+def _names(columns: list[str]) -> tuple[str, ...]:
+    """Column names of a view: those of plain columns, each once; EXPR$n for expressions and repeated names."""
+    seen: set[str] = set()
+    return tuple(f"EXPR${i}" if not re.fullmatch(r"[\w ]+", c) or c.lower() in seen or seen.add(c.lower()) else c for i, c in enumerate(columns))
+
+
 def _as(column, f: T.StructField):
     """A value for a declared column; text that is no date or time becomes null."""
     return column.try_cast(f.dataType)
