@@ -21,7 +21,15 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch stands in the JVM and in Python at once.
+BATCH_ROWS = 2048
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts; the session's Arrow batches become no larger than BATCH_ROWS from here on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

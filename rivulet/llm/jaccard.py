@@ -274,7 +274,7 @@ def _frequent(df: DataFrame, words: int) -> np.ndarray:
                 s, _ = shingles(part.column(0), words)
                 held.append(s)
                 size += len(s)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     yield out()
                     held, size = [], 0
         if held:

@@ -34,6 +34,8 @@ from rivulet.llm.common import map_slices, materialise, scratch, slices, table
 
 #: Lines of an index block, and the gap in bytes over which two records are read at once.
 BLOCK_LINES, READ_GAP, READ_MOST = 1000, 64 << 10, 4 << 20
+#: Bytes of records that one reading task takes, about.
+TASK_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
@@ -168,6 +170,8 @@ class Archive:
     captures: DataFrame
     #: One row an index part: part, file, first_key, last_key, blocks, lines.
     parts: DataFrame
+    #: Of all records as written.
+    size: int
 
 
 CAPTURE = "key string, page_id long, file string, offset long, length long"
@@ -234,7 +238,8 @@ def write_archive(df: DataFrame, page_id: str, url: str, html: str, folder: str
             yield pa.RecordBatch.from_pydict({"file": [out.path], "first_key": [directory[0][0]], "last_key": [last], "blocks": [len(directory)], "lines": [count]})
 
     parts = materialise(ranged.mapInArrow(index, PART.removeprefix("part long, ")), "parts")
-    return Archive(folder, captures, parts.withColumn("part", F.monotonically_increasing_id()))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Archive(folder, captures, parts.withColumn("part", F.monotonically_increasing_id()), size)
 
 
 # --- reading ------------------------------------------------------------------------------
@@ -313,7 +318,13 @@ def _captures(rows: list) -> pa.RecordBatch:
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def read_records(captures: DataFrame) -> DataFrame:
+def read_tasks(archive: Archive) -> int:
+    """Tasks that a whole archive is read by: the rows dealt are light, so their bytes don't tell."""
+    cores = archive.captures.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(archive.size // TASK_BYTES, max(4 * cores, archive.size // (16 * TASK_BYTES))))
+
+
+def read_records(captures: DataFrame, tasks: int) -> DataFrame:
     """The records that captures point to, read by ranges; neighbours in a file are read at once."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())])
 
@@ -336,7 +347,7 @@ def read_records(captures: DataFrame) -> DataFrame:
             yield run()
         reader.close()
 
-    return captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
+    return captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(read, RECORD)
 
 
 def with_key(df: DataFrame, url: str, keep: list[str] | None = None) -> DataFrame:
@@ -347,7 +358,7 @@ def with_key(df: DataFrame, url: str, keep: list[str] | None = None) -> DataFram
 def op4(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     archive = write_archive(pages, "page_id", "url", "html")
-    out = read_records(lookup(archive, with_key(pages.select("url"), "url", [])))
+    out = read_records(lookup(archive, with_key(pages.select("url"), "url", [])), read_tasks(archive))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
