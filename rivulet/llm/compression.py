@@ -7,6 +7,8 @@ good label by a logistic curve fitted on the labelled rows.
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +23,7 @@ from rivulet.llm.common import crc_rest, map_slices, table
 #: Bytes of each dictionary.
 DICT_BYTES = 112 << 10
 #: Bytes that are compressed at a time; small, as a dictionary helps the start of a block most.
-BLOCK = 4096
+BLOCK = 1024
 LEVEL = 3
 #: Labelled rows that are looked at for fitting, and bytes of their texts' sum, at most, in expectation.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
@@ -38,11 +40,20 @@ class Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Raw content: the parts of all samples, dealt evenly until size is full."""
+    """Raw content: a part of each sample, dealt evenly until size is full. Where the part begins goes by the sample's checksum."""
+    samples = [s for s in samples if s]
     if not samples:
         return b"\n"
     each = max(256, size // len(samples))
-    return b"\n".join(s[:each] for s in samples)[-size:]
+    starts = [zlib.crc32(s) % max(1, len(s) - each) for s in samples]
+    return b"\n".join(s[a : a + each] for s, a in zip(samples, starts, strict=True))[-size:]
+
+
+def _own_lines(texts: list[bytes]) -> list[bytes]:
+    """Texts without lines that stand in another text too: passages that are passed around tell no quality."""
+    lines = [t.split(b"\n") for t in texts]
+    seen = Counter(x for ls in lines for x in set(ls))
+    return [b"\n".join(x for x in ls if seen[x] == 1) for ls in lines]
 
 
 class Compressors:
@@ -79,8 +90,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
 def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> Model:
     """rows: texts and labels (1 good, 0 bad), in a fixed order. Half make the dictionaries, half the curve."""
     made, held = rows[0::2], rows[1::2]
-    data = lambda part, label: [(t or "").encode() for t, y in part if y == label and t]
-    model = Model(_dictionary(data(made, 1), dict_bytes), _dictionary(data(made, 0), dict_bytes), 0.0, 0.0, 0.5)
+    own = _own_lines([(t or "").encode() for t, _ in made])
+    data = lambda label: [t for t, (_, y) in zip(own, made, strict=True) if y == label]
+    model = Model(_dictionary(data(1), dict_bytes), _dictionary(data(0), dict_bytes), 0.0, 0.0, 0.5)
     known = [((t or "").encode(), y) for t, y in held if t]
     if not known:
         return model
