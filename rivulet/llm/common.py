@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that one numpy step looks at; a longer single text is cut at white space.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch stands in the JVM and in Python at once.

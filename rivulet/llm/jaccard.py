@@ -321,10 +321,16 @@ def _described(df: DataFrame, words: int, percent: int, last: np.ndarray) -> Dat
     return map_slices(df, "text", fields, make, ["doc_id"])
 
 
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit array in which the hashes of ids are set: of one size however many there are."""
-    at = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
+def _place(*cols):
+    """A place in the filter for a value of its own hash, or for columns that are hashes already (by exclusive or)."""
+    x = F.xxhash64(cols[0]) if len(cols) == 1 else cols[0].bitwiseXOR(F.shiftrightunsigned(cols[1], 11)).bitwiseXOR(cols[2])
+    return F.pmod(x, F.lit(FILTER_BITS))
+
+
+def _filter_of(places: DataFrame) -> np.ndarray:
+    """A bit array in which the bits of column at are set: of one size however many there are."""
+    at = F.col("at")
+    words = places.select(F.floor(at / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("bit"))
     got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
@@ -337,8 +343,8 @@ def _held(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _passing(df: DataFrame, ids: DataFrame, words: int, fields: str, rows) -> DataFrame:
     """What rows(batch of doc_id and text, sets, bounds) makes of the texts whose doc_id a filter over ids (column id) lets through."""
-    bits = df.sparkSession.sparkContext.broadcast(_filter_of(ids))
-    hashed = df.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("at"))
+    bits = df.sparkSession.sparkContext.broadcast(_filter_of(ids.select(_place(F.col("id")).alias("at"))))
+    hashed = df.select("doc_id", "text", _place(F.col("doc_id")).alias("at"))
 
     def run(batches):
         held = bits.value
@@ -444,22 +450,24 @@ def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, si
     bins = materialise(bins, "bins")
     if not bins.limit(1).count():
         return bins.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    # which (key, min-hash, set) take part is told by a filter; a text that passes by chance stands alone or links rightly
-    taking = docs.sparkSession.sparkContext.broadcast(_filter_of(bins.select(F.xxhash64("key", "least", "node").alias("id"))))
-    passed = _passing(docs, bins.select(F.col("rep").alias("id")).distinct(), words, "node long, mins array<long>, text string", lambda part, s, cut: _node_rows(part, s, cut, keys))
-    one = passed.select("node", "text", F.posexplode("mins").alias("key", "least"))
-    one = one.withColumn("at", F.pmod(F.xxhash64(F.xxhash64("key", "least", "node")), F.lit(FILTER_BITS)))
-
-    def let_through(batches):
-        held = taking.value
-        for batch in batches:
-            some = batch.filter(pa.array(_held(held, batch.column(2).to_numpy())))
-            if some.num_rows:
-                yield some.select([0, 1, 3])
+    # which (min-hash, set) take part is told by a filter; a text that passes by chance stands alone or links rightly
+    least, node, key = F.col("least"), F.col("node"), F.col("key").cast("long")
+    taking = docs.sparkSession.sparkContext.broadcast(_filter_of(bins.select(_place(least, node, key).alias("at"))))
 
-    rows = one.select(F.xxhash64("key", "least").alias("bin"), "node", "at", "text").mapInArrow(let_through, "bin long, node long, text string")
+    def rows(part, s, cut):
+        of, mins = described(s, cut)
+        pairs = [(i, k, mins[i, key]) for k, key in enumerate(keys) for i in range(len(of))]
+        i, k = (np.array([p[j] for p in pairs], np.int64) for j in (0, 1))
+        low = np.array([p[2] for p in pairs], np.uint64)
+        at = (low ^ (of[i] >> np.uint64(11)) ^ k.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)
+        some = _held(taking.value, at.astype(np.int64)) if len(i) else np.zeros(0, bool)
+        i, k, low = i[some], k[some], low[some]
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(low.view(np.int64)), pa.array(of[i].view(np.int64)), part.column(1).take(pa.array(i))], names=["key", "least", "node", "text"])
+
+    passed = _passing(docs, bins.select(F.col("rep").alias("id")).distinct(), words, "key long, least long, node long, text string", rows)
+    rows_in = passed.select(F.xxhash64(F.col("key").cast("int"), "least").alias("bin"), "node", "text")
     cut = materialise(_parts(bins.select(F.xxhash64("key", "least").alias("bin")), size), "parts")
-    out, links = materialise(_block_links(_in_blocks(rows, cut), words, percent), "links"), []
+    out, links = materialise(_block_links(_in_blocks(rows_in, cut), words, percent), "links"), []
     while True:
         links.append(out.where("a <> b").select("a", "b"))
         # bins of several blocks: their groups' smallest sets meet once more, until one block holds them or none falls together
@@ -478,12 +486,6 @@ def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, si
     return all_links
 
 
-def _node_rows(part, s, cut, keys):
-    node, mins = described(s, cut)
-    lists = pa.array(list(np.ascontiguousarray(mins[:, list(keys)]).view(np.int64)), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), lists, part.column(1)], names=["node", "mins", "text"])
-
-
 def _meeting(rows: DataFrame, percent: int) -> DataFrame:
     """rows (token, node, comp, n, place) -> those of tokens at which sets of different components may meet first."""
     def run(batches):
@@ -556,8 +558,8 @@ def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 def _marked(carried: DataFrame, comps: DataFrame) -> DataFrame:
     """carried's prefixes and whether a node may have a component: a filter tells those that surely have none."""
-    bits = carried.sparkSession.sparkContext.broadcast(_filter_of(comps.select(F.col("node").alias("id"))))
-    hashed = carried.select("node", "n", "prefix", F.pmod(F.xxhash64("node"), F.lit(FILTER_BITS)).alias("at"))
+    bits = carried.sparkSession.sparkContext.broadcast(_filter_of(comps.select(_place(F.col("node")).alias("at"))))
+    hashed = carried.select("node", "n", "prefix", _place(F.col("node")).alias("at"))
 
     def run(batches):
         held = bits.value
