@@ -5,7 +5,8 @@ are. A join is bilinear. Aggregates that are sums keep one accumulator row a gro
 the change to it. The others (distinct, outer joins, windows, minimum and maximum, set
 operations, ...) are computed again for the keys that the change touches, before and after.
 
-State is written to shared storage step by step, so plans stay short.
+State is written to shared storage step by step as logs of changes, so plans stay short and a
+step writes as much as it changes.
 """
 
 from __future__ import annotations
@@ -22,27 +23,38 @@ from rivulet.operators.zset import W
 from rivulet.session import remove, shared_path
 
 
+#: Changes that a state holds before they are summed up into one.
+COMPACT = 16
+
+
 class Store:
-    """Versions of the states of a running view set."""
+    """States as logs of changes: a step adds what changed, so it writes no more than that. Now and then a log is summed up."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.states, self.paths = spark, {}, {}
+        self.spark, self.logs, self.schemas = spark, {}, {}
 
     def get(self, key) -> DataFrame | None:
-        return self.states.get(key)
-
-    def write(self, frames: dict) -> None:
-        """Writes all new states, then forgets the versions before."""
-        made = {}
-        for key, df in frames.items():
-            path = shared_path(self.spark, "state")
-            df.write.parquet(path)
-            made[key] = (path, self.spark.read.schema(df.schema).parquet(path))
-        for key, (path, df) in made.items():
-            old = self.paths.get(key)
-            self.paths[key], self.states[key] = path, df
-            if old and key[0] != "view":  # changes that were handed out stay readable
-                remove(self.spark, old)
+        """All changes of a state so far, not summed up; None before the first."""
+        paths = self.logs.get(key)
+        return self.spark.read.schema(self.schemas[key]).parquet(*paths) if paths else None
+
+    def write(self, df: DataFrame) -> tuple[str, DataFrame]:
+        path = shared_path(self.spark, "state")
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def append(self, frames: dict) -> None:
+        """frames: for each state its change and what sums a log up. All are written before any counts."""
+        made = {key: self.write(df)[0] for key, (df, _) in frames.items()}
+        for key, (df, _) in frames.items():
+            self.schemas.setdefault(key, df.schema)
+            self.logs.setdefault(key, []).append(made[key])
+        for key, (_, sum_up) in frames.items():
+            if len(self.logs[key]) > COMPACT:
+                old = self.logs[key]
+                self.logs[key] = [self.write(sum_up(self.get(key)))[0]]
+                for path in old:
+                    remove(self.spark, path)
 
 
 @dataclass
@@ -61,13 +73,11 @@ class Step:
         return self.changes[id(node)]
 
     def before(self, node: Node) -> DataFrame:
-        """The node's rows before this step; asking makes them kept from the first step on."""
+        """The node's rows before this step, as a log; asking makes them kept from the first step on."""
         change = self.delta(node)
+        self.states[("rows", id(node))] = (change, zset.consolidate)
         old = self.store.get(("rows", id(node)))
-        old = zset.empty(self.spark, change.schema) if old is None else old
-        if ("rows", id(node)) not in self.states:
-            self.states[("rows", id(node))] = zset.consolidate(zset.plus(old, change))
-        return old
+        return zset.empty(self.spark, change.schema) if old is None else old
 
 
 class Node:
@@ -251,15 +261,23 @@ class Accumulated(Node):
         names = list(sums)
         added = change.groupBy(*self.keys).agg(*(c.alias(n) for n, c in sums.items()))
         added = added.select(*self.keys, *(F.coalesce(n, F.lit(0)).cast(added.schema[n].dataType).alias(n) for n in names))
+        def sum_up(log: DataFrame) -> DataFrame:
+            return log.groupBy(*self.keys).agg(*(F.sum(n).cast(added.schema[n].dataType).alias(n) for n in names))
+
         old = step.store.get(("acc", id(self)))
-        old = added.limit(0) if old is None else old
-        touched = old.join(added.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys))), _same(old, self.keys, [f"__k{i}" for i in range(len(self.keys))]), "left_semi") if self.keys else old
-        new = touched.unionByName(added).groupBy(*self.keys).agg(*(F.sum(n).cast(added.schema[n].dataType).alias(n) for n in names))
+        step.states[("acc", id(self))] = (added, sum_up)
         exists = F.col("__n") != 0 if self.keys else F.lit(True)
-        step.states[("acc", id(self))] = old.unionByName(added).groupBy(*self.keys).agg(*(F.sum(n).cast(added.schema[n].dataType).alias(n) for n in names)).where(exists)
-        out = self._view(new.where(exists)).withColumn(W, F.lit(1).cast("bigint"))
-        gone = self._view(touched).withColumn(W, F.lit(-1).cast("bigint"))
-        return zset.consolidate(zset.plus(out, gone))
+        out = added
+        if old is not None:
+            if self.keys:
+                touched = added.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(self.keys)))
+                old = old.join(touched, _same(old, self.keys, [f"__k{i}" for i in range(len(self.keys))]), "left_semi")
+            out = sum_up(old.unionByName(added))
+        new = self._view(out.where(exists)).withColumn(W, F.lit(1).cast("bigint"))
+        if old is None:
+            return new
+        gone = self._view(sum_up(old).where(exists)).withColumn(W, F.lit(-1).cast("bigint"))
+        return zset.consolidate(zset.plus(new, gone))
 
 
 def _whole_call(a: str) -> bool:
@@ -295,7 +313,7 @@ class Recomputed(Node):
         changes = [step.delta(c) for c in self.children]
         olds = [step.before(c) for c in self.children]
         if self.always or (self.keys is not None and not self.keys[0]):
-            before, after = olds, [zset.consolidate(zset.plus(o, d)) for o, d in zip(olds, changes, strict=True)]
+            before, after = [zset.consolidate(o) for o in olds], [zset.consolidate(zset.plus(o, d)) for o, d in zip(olds, changes, strict=True)]
         else:
             touched, names = None, []
             for i, d in enumerate(changes):
@@ -307,7 +325,7 @@ class Recomputed(Node):
             for i, (o, d) in enumerate(zip(olds, changes, strict=True)):
                 keyed, names = self._keyed(o, i)
                 some = keyed.join(touched, _same(keyed, names, [f"__t{k}" for k in range(len(names))]), "left_semi").drop(*names)
-                before.append(some)
+                before.append(zset.consolidate(some))
                 after.append(zset.consolidate(zset.plus(some, d)))
         new = zset.weighted(self.run(*after))
         if self.always and step.first:
@@ -339,7 +357,8 @@ class Views:
             d = deltas.get(name)
             full[name] = zset.empty(self.spark, schema) if d is None else zset.consolidate(zset.weighted(d).select(*(f.name for f in schema.fields), W))
         step = Step(self.spark, full, self.store, self.steps == 0)
-        out = {("view", n): zset.consolidate(step.delta(v)) for n, v in self.views.items()}
-        self.store.write({**out, **step.states})
+        out = {n: zset.consolidate(step.delta(v)) for n, v in self.views.items()}
+        written = {n: self.store.write(z)[1] for n, z in out.items()}
+        self.store.append(step.states)
         self.steps += 1
-        return {n: self.store.get(("view", n)) for n in self.views}
+        return written
