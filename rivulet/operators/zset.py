@@ -59,3 +59,13 @@ def rows(z: DataFrame) -> DataFrame:
 
 def from_rows(spark: SparkSession, data: list, schema: T.StructType | str, weight: int = 1) -> DataFrame:
     return weighted(spark.createDataFrame(data, schema), weight)
+
+
+def integrate(changes: list[DataFrame]) -> DataFrame:
+    """The state that a run of changes leads to."""
+    return consolidate(plus(*changes))
+
+
+def differentiate(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The change from one state to another."""
+    return consolidate(minus(now, before))

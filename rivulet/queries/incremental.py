@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.operators import zset
-from rivulet.operators.incremental import Node, Scan, Views
+from rivulet.operators.incremental import Constant, Node, Scan, Views
 from rivulet.plans.program import Program
-from rivulet.session import engine_session
+from rivulet.session import engine_session, shared_path
+from rivulet.sources import files
+from rivulet.streaming import driver
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +70,70 @@ def _algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zset.consolidate(zset.minus(zset.plus(z, z), zset.negate(zset.distinct(z)))).select("c_nationkey", F.col(zset.W).alias("w"))
 
 
+def _differentiated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The integral of changes, and the change between two states, put together again."""
+    changes = [zset.weighted(c) for c in _steps(_read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")]
+    first, last = zset.integrate(changes[:1]), zset.integrate(changes)
+    return zset.rows(zset.integrate([first, zset.differentiate(last, first)]))
+
+
+def _constant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come with the first step and never change, beside a table's."""
+    session = engine_session(spark)
+    nation = _read(session, sf_dir, "nation").select("n_name")
+    node = Scan("nation").union_all(Constant(lambda s: s.sql("SELECT 'nowhere' AS n_name")))
+    views = Views(session, {"v": node}, {"nation": nation.schema})
+    outs = [views.step(d)["v"] for d in ({"nation": nation}, {}, {"nation": zset.weighted(nation.where("n_name < 'C'"), -1)})]
+    return zset.rows(zset.integrate(outs))
+
+
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DDL, INSERT of values and of a table, views with column lists, a view that is not an output."""
+    p = Program(spark)
+    p.read("region", f"{sf_dir}/region.parquet")
+    p.sql("""
+        CREATE TABLE t (id INT NOT NULL, d DECIMAL(6, 2), s VARCHAR(2), on_day DATE);
+        INSERT INTO t VALUES (1, 1.25, 'long text', '2024-02-29'), (2, NULL, NULL, '2023-02-29');
+        INSERT INTO t (s, id, on_day, d) VALUES ('x', 3, NULL, 2);
+        INSERT INTO t SELECT * FROM t;
+    """)
+    p.sql("CREATE VIEW inner_view (k, n) AS SELECT id, count(*) FROM t GROUP BY id", output=False)
+    p.sql("CREATE VIEW v AS SELECT k, n, r_name, CAST(d AS DECIMAL(6, 2)) AS d, s, CAST(on_day AS STRING) AS on_day FROM inner_view JOIN region ON k = r_regionkey JOIN (SELECT DISTINCT * FROM t) x ON id = k")
+    return p.output("v")
+
+
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read with its declared schema."""
+    df = _read(spark, sf_dir, "customer").withColumn("c_mktsegment", F.expr("nullif(c_mktsegment, 'BUILDING')"))
+    path = shared_path(spark, "csv")
+    files.write_csv(df, path)
+    return files.read_csv(spark, path, df.schema)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view over a stream of files: two insertions and a deletion, a file a step."""
+    session = engine_session(spark)
+    orders = _read(session, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    path = shared_path(session, "changes")
+    changes = [zset.weighted(c) for c in _steps(orders, "o_orderkey")]
+    for i, c in enumerate(changes):
+        c.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    views = Views(session, {"v": Scan("orders").aggregate(["o_custkey"], n="count(*)")}, {"orders": orders.schema})
+    outs: list[DataFrame] = []
+    driver.run_files(session, views.step, "orders", f"{path}/*", zset.weighted(orders).schema, lambda _, out: outs.append(out["v"]))
+    return zset.rows(zset.integrate(outs))
+
+
 _JOIN = "SELECT o_orderkey, l_linenumber, o_orderstatus FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 40"
-_EVENTS = "(SELECT *, unix_timestamp(CAST(ts AS TIMESTAMP)) AS t FROM events)"
 
 QUERIES = {
     "zset_consolidate": (_consolidated, "SELECT o_orderkey, o_custkey FROM orders"),
     "zset_algebra": (_algebra, "SELECT c_nationkey, CAST(2 * count(*) + 1 AS BIGINT) AS w FROM customer GROUP BY c_nationkey"),
+    "zset_integrate_differentiate": (_differentiated, "SELECT c_custkey, c_nationkey FROM customer"),
+    "inc_constant": (_constant, "SELECT n_name FROM nation WHERE n_name >= 'C' UNION ALL SELECT 'nowhere'"),
+    "program_ddl_insert": (_declared, "SELECT CAST(k AS INTEGER) AS k, CAST(2 AS BIGINT) AS n, r_name, CAST(d AS DECIMAL(6, 2)) AS d, s, on_day FROM (VALUES (1, 1.25, 'long text', '2024-02-29'), (2, NULL, NULL, NULL), (3, 2, 'x', NULL)) t(k, d, s, on_day) JOIN region ON k = r_regionkey"),
+    "csv_round_trip": (_csv, "SELECT c_custkey, c_name, c_nationkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment FROM customer"),
+    "stream_files_view": (_streamed, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey"),
     "inc_filter_project": (maintained(["orders"], lambda o: o.where("o_totalprice > 100000").select("o_orderkey", "o_orderstatus || '!' AS s")), "SELECT o_orderkey, o_orderstatus || '!' AS s FROM orders WHERE o_totalprice > 100000"),
     "inc_union_all": (maintained(["orders"], lambda o: o.select("o_orderkey AS k").union_all(o.where("o_orderstatus = 'F'").select("o_orderkey AS k"))), "SELECT o_orderkey AS k FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"),
     "inc_union": (maintained(["orders"], lambda o: o.select("o_orderstatus AS k").union(o.select("o_orderpriority AS k"))), "SELECT o_orderstatus AS k FROM orders UNION SELECT o_orderpriority FROM orders"),

@@ -146,6 +146,35 @@ add("session", "SELECT user_id, unix_timestamp(session_window.start) AS s, count
 add("top_category_per_window", "SELECT h, event_type, n FROM (SELECT h, event_type, n, max(n) OVER (PARTITION BY h) AS m FROM (SELECT date_trunc('DAY', ts) AS h, event_type, count(*) AS n FROM events GROUP BY date_trunc('DAY', ts), event_type) a) b WHERE n = m", "SELECT h, event_type, n FROM (SELECT h, event_type, n, max(n) OVER (PARTITION BY h) AS m FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2) a) b WHERE n = m")
 
 
+# --- more scalars ---
+add("interval_multiply", "SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS a, o_orderdate - INTERVAL 2 HOUR * 3 AS b FROM orders", "SELECT o_orderkey, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 5) AS a, o_orderdate - INTERVAL 6 HOUR AS b FROM orders")
+add("date_difference", "SELECT o_orderkey, datediff(CAST(o_orderdate AS DATE), DATE '1995-01-01') AS d, TIMESTAMPDIFF(MONTH, TIMESTAMP_NTZ '1990-01-15 00:00:00', o_orderdate) AS m FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS INTEGER) AS d, CAST((year(o_orderdate) - 1990) * 12 + month(o_orderdate) - 1 - CASE WHEN day(o_orderdate) < 15 THEN 1 ELSE 0 END AS BIGINT) AS m FROM orders")
+add("date_compare", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP_NTZ '1994-01-01 00:00:00' AND TIMESTAMP_NTZ '1994-12-31 23:59:59' OR CAST(o_orderdate AS DATE) = DATE '1996-02-29'", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1994-01-01 00:00:00' AND TIMESTAMP '1994-12-31 23:59:59' OR CAST(o_orderdate AS DATE) = DATE '1996-02-29'")
+add("struct_field", "SELECT o_orderkey, s.k AS k, s.p AS p FROM (SELECT o_orderkey, named_struct('k', o_custkey, 'p', o_orderpriority) AS s FROM orders) x", "SELECT o_orderkey, o_custkey AS k, o_orderpriority AS p FROM orders")
+add("cast_text_strict", "SELECT p_partkey, CASE WHEN p_brand IS NULL THEN NULL ELSE COALESCE(try_cast(p_brand AS INT), 0) END AS i, COALESCE(try_cast(CAST(p_size AS STRING) AS DOUBLE), 0.0D) AS d, lower(p_brand) = 'true' AS b FROM part", "SELECT p_partkey, CASE WHEN p_brand IS NULL THEN NULL ELSE COALESCE(TRY_CAST(p_brand AS INTEGER), 0) END AS i, CAST(p_size AS DOUBLE) AS d, lower(p_brand) = 'true' AS b FROM part")
+add("int_casts_wrap", "SELECT o_orderkey, CAST(o_orderkey * 1000 AS SMALLINT) AS s, CAST(o_orderkey * 10000000 AS INT) AS i FROM orders", "SELECT o_orderkey, CAST((o_orderkey * 1000 + 32768) % 65536 - 32768 AS SMALLINT) AS s, CAST((o_orderkey * 10000000 + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS i FROM orders")
+add("round_half_even", "SELECT l_orderkey, l_linenumber, bround(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS r FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS DECIMAL(12, 1)) AS r FROM lineitem")
+add("exists_projected", "SELECT n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS e FROM nation")
+add("case_null_types", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 5 THEN NULL WHEN l_linenumber > 3 THEN l_quantity ELSE 0 END AS c FROM lineitem")
+add("unnest_zip", "SELECT vec_id, z.a AS a, z.b AS b FROM (SELECT vec_id, explode(arrays_zip(a, b)) AS z FROM (SELECT vec_id, slice(embedding, 1, 2) AS a, slice(embedding, 3, 2) AS b FROM embeddings) y) x", "SELECT vec_id, unnest(embedding[1:2]) AS a, unnest(embedding[3:4]) AS b FROM embeddings")
+add("lateral_join", "SELECT n_name, x.s_suppkey FROM nation, LATERAL (SELECT s_suppkey FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) x", "SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000")
+add("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
+add("asof_join", "SELECT o_orderkey, max(event_id) AS e FROM orders JOIN events ON o_custkey = user_id AND ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00' GROUP BY o_orderkey", "SELECT o_orderkey, max(event_id) AS e FROM orders JOIN events ON o_custkey = user_id AND ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY o_orderkey")
+
+# --- auctions: orders stand for auctions, line items for bids, customers for persons ---
+_B = "(SELECT l_orderkey AS auction, l_suppkey AS bidder, l_extendedprice AS price, l_shipdate AS bid_at, l_linenumber AS n, l_returnflag AS channel FROM lineitem) b"
+add("auction_currency", f"SELECT auction, bidder, CAST(CAST(price AS DECIMAL(12, 2)) * CAST(0.908 AS DECIMAL(4, 3)) AS DECIMAL(18, 5)) AS price FROM {_B}")
+add("auction_selection", f"SELECT auction, price FROM {_B} WHERE MOD(auction, 123) = 0")
+add("auction_local_items", "SELECT c_name, n_name, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' AND (n_name LIKE 'A%' OR n_name LIKE 'C%' OR n_nationkey = 7)")
+add("auction_average_final", f"SELECT o_orderpriority, ROUND(avg(f), 2) AS a FROM (SELECT o_orderkey, o_orderpriority, max(price) AS f FROM orders JOIN {_B} ON o_orderkey = auction AND bid_at BETWEEN o_orderdate AND o_orderdate + INTERVAL 60 DAY GROUP BY o_orderkey, o_orderpriority) x GROUP BY o_orderpriority")
+add("auction_winning_bids", f"SELECT auction, bidder, price FROM (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, n, bidder) AS r FROM {_B}) x WHERE r = 1")
+add("auction_latest_bid", f"SELECT auction, bidder, max(bid_at) AS last FROM {_B} GROUP BY auction, bidder")
+add("auction_channel_stats", f"SELECT channel, count(*) AS total, count(*) FILTER (WHERE price < 10000) AS low, count(*) FILTER (WHERE price >= 10000 AND price < 50000) AS mid, count(DISTINCT bidder) AS bidders, count(DISTINCT auction) FILTER (WHERE price < 10000) AS low_auctions FROM {_B} GROUP BY channel")
+add("auction_daily_range", f"SELECT auction, CAST(CAST(bid_at AS DATE) AS STRING) AS day, count(*) AS n, min(price) AS lo, max(price) AS hi FROM {_B} GROUP BY auction, CAST(CAST(bid_at AS DATE) AS STRING)", f"SELECT auction, CAST(CAST(bid_at AS DATE) AS VARCHAR) AS day, count(*) AS n, min(price) AS lo, max(price) AS hi FROM {_B} GROUP BY ALL")
+add("auction_hour_case", "SELECT event_id, CASE WHEN HOUR(ts) >= 8 AND HOUR(ts) <= 18 THEN 'day' WHEN HOUR(ts) <= 6 OR HOUR(ts) >= 20 THEN 'night' ELSE 'other' END AS part, length(props) - length(replace(props, 'k', '')) AS k FROM events", "SELECT event_id, CASE WHEN hour(ts) >= 8 AND hour(ts) <= 18 THEN 'day' WHEN hour(ts) <= 6 OR hour(ts) >= 20 THEN 'night' ELSE 'other' END AS part, CAST(length(props) - length(replace(props, 'k', '')) AS INTEGER) AS k FROM events")
+add("auction_rows_frame", f"SELECT auction, n, ROUND(avg(price) OVER (PARTITION BY auction ORDER BY n, price, bidder ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS a FROM {_B}")
+
+
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     sql = QUERIES[name][0]
 
