@@ -29,4 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat.OP3_SQL, "op4_warc_index": warc.OP4_SQL, "op5_mix_sources": mixing.OP5_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op4_warc_index": warc.OP4_SQL, "op5_mix_sources": mixing.OP5_SQL, "op6_quality_rules": rules.OP6_SQL}

@@ -188,4 +188,62 @@ def quality_rules(df: DataFrame, text: str, lang: str, keep: list[str], **limits
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"), "text", "lang", ["doc_id"])
+    out = quality_rules(table(spark, sf_dir, "documents"), "text", "lang", ["doc_id"])
+    return out.select("doc_id", *BASE, "base_failed", "kept")
+
+
+def _values(common: dict[str, list[str]]) -> str:
+    return ", ".join(f"('{lang}', '{w}')" for lang, ws in common.items() for w in ws)
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    string_split_regex(regexp_replace(lower(t), '[^a-z\x{{80}}-\x{{ffff}}]+|[a-z\x{{80}}-\x{{ffff}}]{{{LONGEST + 1},}}', ' ', 'g'), ' +') AS short
+  FROM d
+), c AS (
+  SELECT rid, doc_id, lang, short, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(t) AS BIGINT) AS n, CAST(strlen(t) - length(t) AS BIGINT) AS beyond,
+    CAST(length(t) - len(regexp_extract_all(t, '[\x20\x09-\x0D]')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(regexp_extract_all(t, '[0-9]')) AS BIGINT) AS digits, CAST(len(regexp_extract_all(t, '[.,;:!?]')) AS BIGINT) AS stops, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS capitals,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines
+  FROM w
+), grams AS (
+  SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+), twice AS (
+  SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS times FROM grams) WHERE times > 1
+), covered AS (
+  SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) AS r(k) GROUP BY rid
+), classes AS (
+  SELECT rid, lang, n_words, unnest([n - word_chars, n_symbols, digits, stops, capitals, greatest(0, word_chars - n_symbols - digits - stops - capitals), beyond]) AS x, unnest(range(7)) AS k FROM c
+), class_p AS (
+  SELECT rid, lang, n_words, k, x / greatest(1, sum(x) OVER (PARTITION BY rid)) AS p FROM classes
+), class_q AS (
+  SELECT lang, k, q / sum(q) OVER (PARTITION BY lang) AS q FROM (SELECT lang, k, avg(p) AS q FROM class_p WHERE n_words >= {MIN_WORDS} AND lang IN ({', '.join(f"'{x}'" for x in COMMON)}) GROUP BY lang, k)
+), common AS (
+  SELECT * FROM (VALUES {_values(COMMON)}) AS v(lang, word)
+), found AS (
+  SELECT rid, word, count(*) AS times FROM (SELECT rid, unnest(short) AS word FROM c) WHERE word IN (SELECT word FROM common) GROUP BY rid, word
+), word_p AS (
+  SELECT c.rid, c.lang AS own, c.n_words, m.lang, m.word, coalesce(f.times, 0) / greatest(1, c.n_words) AS p
+  FROM c CROSS JOIN common m LEFT JOIN found f ON f.rid = c.rid AND f.word = m.word
+), word_q AS (
+  SELECT lang, word, avg(p) AS q FROM word_p WHERE own = lang AND n_words >= {MIN_WORDS} GROUP BY lang, word
+), pairs AS (
+  SELECT 'class' AS kind, p.rid, q.lang, p.p, q.q FROM class_p p JOIN class_q q USING (k)
+  UNION ALL SELECT 'word', p.rid, p.lang, p.p, q.q FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word
+  UNION ALL SELECT 'word', p.rid, p.lang, greatest(0, 1 - sum(p.p)), greatest(0, 1 - sum(q.q)) FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word GROUP BY p.rid, p.lang
+), distances AS (
+  SELECT kind, rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS distance
+  FROM pairs GROUP BY kind, rid, lang
+), nearest AS (
+  SELECT rid, min(distance) FILTER (WHERE kind = 'class') AS class_distance, min(distance) FILTER (WHERE kind = 'word') AS common_distance FROM distances GROUP BY rid
+), judged AS (
+  SELECT c.*, coalesce(v.n_repeat_words, 0) AS n_repeat_words, c.n_words < {MIN_BASE_WORDS} OR 100 * coalesce(v.n_repeat_words, 0) > {MOST_REPEATED_PERCENT} * c.n_words AS base_failed,
+    c.n_words < {MIN_WORDS} OR (coalesce(class_distance <= {MOST_CLASS}, true) AND coalesce(common_distance <= {MOST_COMMON}, true)) AS near
+  FROM c LEFT JOIN covered v USING (rid) LEFT JOIN nearest USING (rid)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
+"""
