@@ -105,3 +105,15 @@ def test_tree_drops_no_pair_that_links():
     got = {(int(i), int(j)) for x, y in tree.pairs(np.arange(150)) for i, j in zip(x, y, strict=True)}
     want = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * (o := jaccard.overlap(parts[i], parts[j])) >= 80 * (sizes[i] + sizes[j] - o)}
     assert want and want <= got
+
+
+def test_one_of_each(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long), (2, long + " more"), (2, long + " more"), (None, long), (3, "quite another text of seven words"), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    out = jaccard.one_of_each(df, "doc_id", "text")
+    assert out.columns == df.columns
+    got = Counter(r.text for r in out.collect())
+    assert sum(v for k, v in got.items() if k and k.startswith("w0")) == 1 and got["quite another text of seven words"] == 1 and got[None] == 2 and got[""] == 1
+    unique = jaccard.one_of_each(df.where("doc_id IN (1, 3, 5)").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(9, long, "x", "y")], SCHEMA)), "doc_id", "text")
+    assert sorted(r.doc_id for r in unique.collect()) == [1, 3, 5]
