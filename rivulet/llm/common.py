@@ -33,6 +33,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What this process has written to the shared folder.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what operators have written to the shared folder so far. For jobs to call once their results stand elsewhere: frames that operators returned may read these files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(conf).delete(at, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
@@ -44,7 +56,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = os.path.join(tempfile.gettempdir(), "rivulet-shared")
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{base.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

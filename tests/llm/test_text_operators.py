@@ -316,3 +316,15 @@ def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
     for r in df.withColumn("m", common.crc_rest("doc_id", 10)).collect():
         assert r.m == (1 if r.doc_id is None else zlib.crc32(str(r.doc_id).encode()) % 10)
+
+
+def test_shared_files_can_be_released(spark):
+    import os
+
+    frame = common.materialise(spark.range(3), "release")
+    path = common._WRITTEN[-1]
+    assert frame.count() == 3 and os.path.isdir(path)
+    kept, common._WRITTEN[:] = common._WRITTEN[:-1], common._WRITTEN[-1:]
+    common.release(spark)
+    common._WRITTEN[:] = kept
+    assert not os.path.exists(path)
