@@ -1,8 +1,8 @@
 """SQL programs: CREATE TABLE declares inputs, CREATE VIEW standing queries over them.
 
 A program runs as a batch (output) or step by step (step): changes of tables in, changes
-of views out. A view that only filters, projects or inner-joins other relations is
-maintained from the changes; any other SQL view is computed again when one of its inputs
+of views out. A view that only filters, projects or inner-joins other relations, or groups
+the rows of such a view, is maintained from the changes; any other SQL view is computed again when one of its inputs
 changes, and the difference is what comes out. Trees of rivulet.operators.incremental
 maintain the other operators too.
 """
@@ -201,6 +201,13 @@ class Program:
         weighted = _with_weights(v.query, inputs) if _linear(self.spark, v.query, inputs) else None
         if weighted:
             return _Bilinear(self.spark, inputs, children, weighted, v.columns)
+        grouped = _grouped(v.query)
+        if grouped:
+            inner, keys, aggs, listed = grouped
+            weighted = _with_weights(inner, inputs) if _linear(self.spark, inner, inputs) else None
+            if weighted:
+                node = _Bilinear(self.spark, inputs, children, weighted, ()).aggregate(keys, **aggs)
+                return node.select(*(f"CAST({x} AS {f.dataType.simpleString()}) AS `{f.name}`" for x, f in zip(listed, v.schema, strict=True)))
 
         def run(*zs: DataFrame) -> DataFrame:
             for n, z in zip(inputs, zs, strict=True):
@@ -327,6 +334,53 @@ def _linear(spark: SparkSession, query: str, inputs: list[str]) -> bool:
     return plan is not None and 1 <= len(inputs) <= 4 and once and names.count("select") == 1 and walk(analysed, True)
 
 
+_AGGREGATE = re.compile(r"^(count|sum|min|max)\s*\((.*)\)$", re.I | re.S)
+
+
+def _grouped(query: str) -> tuple[str, list[str], dict[str, str], list[str]] | None:
+    """A plain GROUP BY taken apart: what it groups as a query of its own, keys, aggregates, and the select list over them.
+
+    None where there is more to it: HAVING, ORDER BY, DISTINCT, subqueries, expressions over aggregates.
+    """
+    ts = dialect.tokens(query)
+    upper = [t.upper() for t in ts]
+    if upper.count("SELECT") != 1 or {"HAVING", "ORDER", "LIMIT", "DISTINCT", "OVER", "ROLLUP", "CUBE", "GROUPING", "FILTER", "UNION", "WITH"} & set(upper) or upper[0] != "SELECT":
+        return None
+    depth, at = 0, {}
+    for i, t in enumerate(upper):
+        depth += (t == "(") - (t == ")")
+        if not depth and t in ("FROM", "GROUP"):
+            at.setdefault(t, i)
+    if "FROM" not in at:
+        return None
+    end = at.get("GROUP", len(ts))
+    groups = dialect._split_commas(re.sub(r"^GROUP\s+BY\s+", "", "".join(ts[end:]), flags=re.I)) if "GROUP" in at else []
+    squeeze = lambda x: re.sub(r"\s+", "", x).lower()
+    keys, aggs, listed, inner = [], {}, [], []
+    for i, g in enumerate(groups):
+        keys.append(f"k__{i}")
+        inner.append(f"{g} AS k__{i}")
+    places = {squeeze(g): k for g, k in zip(groups, keys, strict=True)}
+    for item in dialect._split_commas("".join(ts[1 : at["FROM"]])):
+        x = re.sub(r"\s+AS\s+(\w+|`[^`]+`|\"[^\"]+\")\s*$", "", item, flags=re.I).strip()
+        m = _AGGREGATE.match(x)
+        if squeeze(x) in places:
+            listed.append(places[squeeze(x)])
+        elif m and dialect._closing(dialect.tokens(x), dialect.tokens(x).index("(")) == len(dialect.tokens(x)) - 1:
+            name = f"a__{len(aggs)}"
+            if m[2].strip() == "*":
+                aggs[name] = "count(*)"
+            else:
+                inner.append(f"{m[2]} AS x__{len(aggs)}")
+                aggs[name] = f"{m[1].lower()}(x__{len(aggs)})"
+            listed.append(name)
+        else:
+            return None
+    if not aggs:
+        return None
+    return f"SELECT {', '.join(inner) if inner else '1 AS one__'} {''.join(ts[at['FROM'] : end]).strip()}", keys, aggs, listed
+
+
 def _with_weights(query: str, inputs: list[str]) -> str | None:
     """The query with the product of its inputs' weights as last column; None where the select list or FROM isn't plain."""
     ts = dialect.tokens(query)

@@ -262,3 +262,24 @@ def test_command_line(spark, tmp_path, capsys):
     sql.write_text("CREATE VIEW v AS\nSELECT FROM FROM")
     assert cli.main([str(sql), "-je"], spark) == 1
     assert json.loads(capsys.readouterr().err)[0]["error_type"]
+
+
+def test_grouped_sql_is_maintained_from_changes(spark):
+    from rivulet.operators.incremental import Recomputed
+
+    p = Program(spark)
+    p.sql("""
+        CREATE TABLE t (k INT, v INT, d DOUBLE);
+        CREATE TABLE u (k INT, name VARCHAR);
+        CREATE VIEW a AS SELECT name, COUNT(*) AS n, SUM(v + 1) AS s, MAX(d) AS m FROM t JOIN u ON t.k = u.k WHERE v > 0 GROUP BY name;
+        CREATE VIEW g AS SELECT COUNT(*) AS n, SUM(v) AS s, SUM(d) AS f FROM t;
+        CREATE VIEW h AS SELECT k + 1 AS k1, COUNT(v) FROM t GROUP BY k + 1;
+    """)
+    assert not any(isinstance(p.node(n), Recomputed) for n in ("a", "h"))
+    rows = lambda *r: p.spark.createDataFrame(list(r), "k int, v int, d double, __w long")
+    names = p.spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
+    outs = [p.step(d) for d in ({"t": rows((1, 1, 0.5, 1), (1, None, 9.0, 1), (2, 5, 2.0, 2)), "u": names}, {"t": rows((1, 3, 0.1, 1), (2, 5, 2.0, -1))}, {"t": rows((2, 5, 2.0, -1))})]
+    total = {n: sorted(tuple(r) for r in zset.rows(zset.consolidate(zset.plus(*(o[n] for o in outs)))).collect()) for n in ("a", "g", "h")}
+    assert total["a"] == [("x", 2, 6, 0.5)] and total["h"] == [(2, 2)]
+    assert total["g"][0][:2] == (3, 4) and total["g"][0][2] == pytest.approx(9.6)
+    assert p.output("a").schema["s"].dataType == outs[0]["a"].schema["s"].dataType
