@@ -9,6 +9,11 @@ counts of byte sequences, which are made over the whole training set on the exec
 
 The posterior weight of "stop here" against "go deeper" then mixes the nodes' estimates
 along the path of a context. A path ends at a context that training has not seen.
+
+The whole tree is kept, spread over tasks: contexts with the same nearest bytes make one
+part of it, and what stands above the parts is small and goes to all tasks. Texts are
+scored with the most frequent sequences at hand; each of the others is asked of its part,
+once a chunk of text.
 """
 
 from __future__ import annotations
@@ -27,9 +32,10 @@ from rivulet.llm.common import Lookup, crc_rest, hashed_words, map_slices, mater
 
 #: Bytes of context.
 DEPTH = 5
-#: Largest number of (context, byte) pairs a depth, and of words, that go to every task.
-#: Beyond it, rarer contexts are left to shorter ones, and rarer words are joined instead.
+#: Largest number of (context, byte) pairs, and of words, that go to every task. Beyond it, rarer ones are joined instead.
 MOST_PAIRS, MOST_WORDS = 1 << 18, 1 << 19
+#: Bytes of context that tell a pair's part of the tree, pairs in a part about, and bytes of text that ask together.
+STEM, PART, CHUNK = 3, 1 << 14, 1 << 24
 #: Keys that a counting task holds before it passes them on, and bytes of text that are looked at at once.
 FLUSH, SLICE = 1 << 20, 1 << 19
 
@@ -163,36 +169,52 @@ def _decisions(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[order], z[order], o[order]
 
 
-def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-    """counts: by depth from 0, sorted (context, byte) pairs and how often they came."""
-    depth = len(counts) - 1
+def _summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of n."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _levels(key: np.ndarray, n: np.ndarray, depths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sequences and their counts, cut to each depth."""
+    return [_summed(key & np.uint64((1 << (8 * d + 8)) - 1), n) for d in depths]
+
+
+def _weigh(counts: list[tuple[np.ndarray, np.ndarray]], top: int = 0, below: np.ndarray | None = None) -> tuple[Tree, tuple[np.ndarray, np.ndarray]]:
+    """counts: by depth from top, sorted (context, byte) pairs and how often they came; below: log weighted probability under each deepest node, if those aren't leaves.
+
+    Also, if top is over 0, the keys of the nodes above and what these have below.
+    """
     nodes = [_decisions(*c) for c in counts]
-    stop: list = [None] * (depth + 1)
-    weighted = None
-    for d in range(depth, -1, -1):
-        k, z, o = nodes[d]
+    stop: list = [None] * len(nodes)
+    for i in range(len(nodes) - 1, -1, -1):
+        k, z, o = nodes[i]
         kt = log_kt(z, o)
-        if d == depth:
-            stop[d], weighted = np.ones(len(k), np.float32), kt
-            continue
-        # a child's key without its farthest byte is its parent's
-        ck, cz, co = nodes[d + 1]
-        parent = np.searchsorted(k, ck & np.uint64((1 << (8 * d + 8)) - 1))
-        below = np.bincount(parent, weights=weighted, minlength=len(k))
-        # what came in contexts that were left out stands as one more child
-        rz, ro = z - np.bincount(parent, weights=cz, minlength=len(k)), o - np.bincount(parent, weights=co, minlength=len(k))
-        below += np.where(rz + ro > 0, log_kt(np.maximum(rz, 0), np.maximum(ro, 0)), 0.0)
-        weighted = np.logaddexp(kt, below) - np.log(2)
-        stop[d] = np.exp(kt - np.log(2) - weighted).astype(np.float32)
+        weighted = kt if below is None else np.logaddexp(kt, below) - np.log(2)
+        stop[i] = (np.ones(len(k)) if below is None else np.exp(kt - np.log(2) - weighted)).astype(np.float32)
+        if i + top:
+            # a node's key without its farthest byte is its parent's
+            above, below = _summed(k & np.uint64((1 << (8 * (i + top))) - 1), weighted)
     one = tuple(((o + 0.5) / (z + o + 1)).astype(np.float32) for _, z, o in nodes)
-    keys, stops = tuple(k for k, _, _ in nodes), tuple(stop)
-    del nodes
+    return Tree(tuple(k for k, _, _ in nodes), one, tuple(stop), (), ()), (above, below) if top else (np.zeros(0, np.uint64), np.zeros(0))
+
+
+def build(counts: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
+    """A tree that one task holds. counts: by depth from 0, sorted (context, byte) pairs and how often they came."""
+    tree, _ = _weigh(counts)
     logs = []
     for d, (pairs, _) in enumerate(counts):
-        upto = Tree(keys[: d + 1], one[: d + 1], stops[: d + 1], (), ())
-        parts = [path_logs(upto, pairs[a : a + (1 << 16)]).astype(np.float32) for a in range(0, len(pairs), 1 << 16)]
-        logs.append(np.concatenate(parts) if parts else np.zeros(0, np.float32))
-    return Tree(keys, one, stops, tuple(p for p, _ in counts), tuple(logs))
+        upto = Tree(tree.keys[: d + 1], tree.one[: d + 1], tree.stop[: d + 1], (), ())
+        logs.append(_path_logs(upto, pairs))
+    return Tree(tree.keys, tree.one, tree.stop, tuple(p for p, _ in counts), tuple(logs))
+
+
+def _path_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
+    """path_logs() in bounded steps."""
+    parts = [path_logs(tree, x[a : a + (1 << 16)]).astype(np.float32) for a in range(0, len(x), 1 << 16)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
 def path_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
@@ -223,7 +245,7 @@ def path_logs(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """path_logs() by look-up: the path of a context ends at the deepest depth at which training has seen it."""
+    """path_logs() by look-up in a tree of build(): the path of a context ends at the deepest depth at which training has seen it."""
 
     def __init__(self, tree: Tree):
         self.tree = tree
@@ -253,8 +275,14 @@ class Scorer:
 
 @dataclass(frozen=True)
 class Language:
-    tree: Tree
+    #: The tree's nodes above its parts, and the counts that parts are made of: part, key, n.
+    top: Tree
+    grams: DataFrame
+    parts: int
     depth: int
+    #: Frequent sequences, sorted, and the log10 probability of each one's last byte.
+    pairs: np.ndarray
+    logs: np.ndarray
     #: Frequent words' sorted hashes and counts; the other words of training stand in a table.
     words: np.ndarray
     counts: np.ndarray
@@ -274,37 +302,71 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return k[order], n[order]
 
 
+def _part(depth: int, parts: int):
+    """The part of the tree for a sequence in column key."""
+    return F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * min(STEM, depth))) - 1))), F.lit(parts)).cast("int")
+
+
+def _below(grams: DataFrame, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the nodes right above the parts, sorted, and the log weighted probability under each, by the parts' tasks."""
+    stem = min(STEM, depth)
+
+    def run(t: pa.Table) -> pa.Table:
+        counts = _levels(t.column("key").to_numpy().view(np.uint64), t.column("n").to_numpy(), range(stem, depth + 1))
+        key, below = _weigh(counts, stem)[1]
+        return pa.table({"key": key.view(np.int64), "below": below})
+
+    # decimals: sums that don't depend on the order of rows
+    got = grams.groupBy("part").applyInArrow(run, "key long, below double").groupBy("key").agg(F.sum(F.col("below").cast("decimal(28,10)")).cast("double").alias("n"))
+    return _arrays(got)
+
+
+def _answers(asks: DataFrame, grams: DataFrame, top: Tree, depth: int, parts: int) -> DataFrame:
+    """asks (chunk, at, key) -> chunk, at, key, log: log10 probability of the key's last byte in the whole tree."""
+    stem = min(STEM, depth)
+    shared = asks.sparkSession.sparkContext.broadcast(top)
+
+    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("key", pa.int64()), ("log", pa.float32())])
+
+    def run(have: pa.Table, asked: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return schema.empty_table()
+        key, inv = np.unique(asked.column("asked").to_numpy().view(np.uint64), return_inverse=True)
+        # a side without rows has no columns either
+        seen, n = (have.column(c).to_numpy() if have.num_rows else np.zeros(0, np.int64) for c in ("key", "n"))
+        up, (own, _) = shared.value, _weigh(_levels(seen.view(np.uint64), n, range(stem, depth + 1)), stem)
+        log = _path_logs(Tree(up.keys + own.keys, up.one + own.one, up.stop + own.stop, (), ()), key)[inv]
+        return pa.table([asked.column("chunk"), asked.column("at"), asked.column("asked"), pa.array(log)], schema=schema)
+
+    # asks may come from grams: names of their own keep the two sides' columns apart
+    placed = asks.select("chunk", "at", F.col("key").alias("asked"), _part(depth, parts).alias("to"))
+    return grams.groupBy("part").cogroup(placed.groupBy("to")).applyInArrow(run, "chunk long, at int, key long, log float")
+
+
 def learn(df: DataFrame, text: str, depth: int = DEPTH, most_pairs: int = MOST_PAIRS, most_words: int = MOST_WORDS) -> Language:
     """Counts all of df's texts (null: empty) and weights the tree.
 
-    The counts are written to the shared folder. What comes to the driver and goes to the
-    tasks is bounded by most_pairs a depth and most_words; a depth with more keeps its
-    most frequent contexts, and what came in the others still counts in shorter ones.
+    The counts are written to the shared folder, and all of them make the tree. What comes
+    to the driver and goes to the tasks is bounded by most_pairs, most_words and the
+    different sequences of STEM bytes.
     """
     counted = materialise(_counted(df, text, depth), "counts")
     grams, words = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
-    levels = []
-    for d in range(depth + 1):
-        mask = (1 << (8 * d + 8)) - 1
-        pairs = grams if d == depth else grams.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        contexts = pairs.groupBy(F.shiftrightunsigned("key", 8).alias("ctx")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        steps = sorted(((r[0], r[1]) for r in contexts.groupBy(F.floor(F.log2("total")).alias("b")).agg(F.sum("kinds")).collect()), reverse=True)
-        least, total = 1, 0
-        for b, n in steps:
-            if total + n > most_pairs:
-                least = 1 << int(b + 1)
-                break
-            total += n
-        if least > 1:
-            kept = contexts.where(F.col("total") >= least).select("ctx")
-            pairs = pairs.join(kept, F.shiftrightunsigned("key", 8) == F.col("ctx"), "left_semi")
-        levels.append(_arrays(pairs.select("key", "n")))
+    parts = max(1, grams.count() // PART)
+    grams = grams.select(_part(depth, parts).alias("part"), "key", "n")
+    stem = min(STEM, depth)
+    short = F.col("key").bitwiseAND(F.lit((1 << (8 * stem)) - 1))
+    key, n = _arrays(grams.groupBy(short.alias("key")).agg(F.sum("n").alias("n")))
+    top, _ = _weigh(_levels(key, n, range(stem)), 0, _below(grams, depth)[1])
+    often = grams.where(F.col("n") >= _least(grams, "n", most_pairs))
+    asks = often.select(F.lit(0).cast("long").alias("chunk"), F.lit(0).alias("at"), "key")
+    pairs, logs = _arrays(_answers(asks, grams, top, depth, parts).select("key", F.col("log").alias("n")))
     ends = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     n_words, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = _least(words, "n", most_words)
     keys, counts = _arrays(words.where(F.col("n") >= least))
     rare = words.where(F.col("n") < least) if least > 1 else None
-    return Language(build(levels), depth, keys, counts, rare, ends, n_words + ends, kinds + (ends > 0))
+    return Language(top, grams, parts, depth, pairs, logs, keys, counts, rare, ends, n_words + ends, kinds + (ends > 0))
 
 
 def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFrame:
@@ -313,21 +375,26 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
     Tokens are the words and one end a text. Null or empty texts: the end alone.
     base_score is the smoothed word model's log10 probability, score that of the context
     tree, the text's end included. Words that are not among the frequent ones are joined
-    with the table of the others by their hash, once a text and word.
+    with the table of the others by their hash, once a text and word. Sequences that are
+    not among the frequent ones get a number in their chunk of text, and the answers of
+    the tree's parts come back to the chunk.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.tree, model.words, model.counts, model.depth))
+    shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.logs, model.words, model.counts, model.depth))
     end_log, zero = float(model.word_log(np.float64(model.ends))), model.n_tokens + 0.1 * (model.n_kinds + 1)
-    fields = [T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType()), T.StructField("__other", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__other", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType())), T.StructField("__bytes", T.LongType()), T.StructField("__chunk", T.LongType()), T.StructField("__left", T.ArrayType(T.IntegerType())), T.StructField("__asked", T.ArrayType(T.LongType())), T.StructField("__first", T.IntegerType())]
     ends_known = int(model.ends > 0)
 
     def make():
-        tree, words, counts, depth = shared.value
-        scorer, known_words = Scorer(tree), Lookup(words)
+        pairs, logs, words, counts, depth = shared.value
+        known_pairs, known_words = Lookup(pairs), Lookup(words)
         word_logs = np.log10((counts + 0.1) / zero)
         row = TaskContext.get().partitionId() << 36
+        chunk, size_of_chunk = TaskContext.get().partitionId() << 24, 0
+        # the chunk's sequences so far, sorted, and their numbers
+        asked, number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
         def fn(array: pa.Array) -> list:
-            nonlocal row
+            nonlocal row, chunk, size_of_chunk, asked, number
             size = len(array)
             h, doc = hashed_words(array)
             n = np.bincount(doc, minlength=size)
@@ -344,25 +411,54 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
             of, word = of[first], word[first].view(np.int64)
             cut = np.searchsorted(of, np.arange(size + 1))
             key, of = sequences(array, depth)
-            total = np.zeros(size)
-            for a in range(0, len(key), SLICE):
-                total += np.bincount(of[a : a + SLICE], weights=scorer.logs(key[a : a + SLICE]), minlength=size)
+            at = np.concatenate([known_pairs.find(key[a : a + SLICE]) for a in range(0, len(key), SLICE)])
+            hit = at >= 0
+            total = np.bincount(of[hit], weights=logs[at[hit]], minlength=size)
             lengths = np.bincount(of, minlength=size)
+            if size_of_chunk > CHUNK:
+                chunk, size_of_chunk, asked, number = chunk + 1, 0, asked[:0], number[:0]
+            size_of_chunk += len(key)
+            u, inv = np.unique(key[~hit], return_inverse=True)
+            to = np.searchsorted(asked, u)
+            old = np.zeros(len(u), bool)
+            old[to < len(asked)] = asked[to[to < len(asked)]] == u[to < len(asked)]
+            numbers, first_new = np.empty(len(u), np.int32), len(asked)
+            numbers[old] = number[to[old]]
+            numbers[~old] = first_new + np.arange((~old).sum())
+            asked, number = np.insert(asked, to[~old], u[~old]), np.insert(number, to[~old], numbers[~old])
+            rest = np.concatenate(([0], np.cumsum(np.bincount(of[~hit], minlength=size)))).astype(np.int32)
+            left = pa.ListArray.from_arrays(pa.array(rest), pa.array(numbers[inv].astype(np.int32)))
+            # what a slice asks stands in its first row
+            new = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.full(size, (~old).sum()))).astype(np.int32)), pa.array(u[~old].view(np.int64)))
             rows = np.arange(row, row + size)
             row += size
             lists = lambda v: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(np.ascontiguousarray(v)))
-            return [rows, n + 1, known, base, total, -total / np.log10(2) / lengths, lists(word), lists(times)]
+            return [rows, n + 1, known, base, total, lists(word), lists(times), lengths, np.full(size, chunk), left, new, np.full(size, first_new, np.int32)]
 
         return fn
 
-    scored = map_slices(df, text, fields, make, keep, SLICE)
+    # row numbers hold for what is written only
+    written = materialise(map_slices(df, text, fields, make, keep, SLICE), "scored")
+    asks = written.where(F.size("__asked") > 0).select(F.col("__chunk").alias("chunk"), "__first", F.posexplode("__asked").alias("place", "key"))
+    answers = _answers(asks.select("chunk", (F.col("__first") + F.col("place")).alias("at"), "key"), model.grams, model.top, model.depth, model.parts).select("chunk", "at", "log")
+
+    def add(rows: pa.Table, got: pa.Table) -> pa.Table:
+        logs = np.zeros(got.num_rows)
+        logs[got.column("at").to_numpy()] = got.column("log").to_numpy()
+        left = rows.column("left").combine_chunks()
+        of = np.repeat(np.arange(rows.num_rows), pc.list_value_length(left).to_numpy(zero_copy_only=False))
+        more = np.bincount(of, weights=logs[left.flatten().to_numpy()], minlength=rows.num_rows)
+        return pa.table({"of": rows.column("of"), "more": more})
+
+    waiting = written.where(F.size("__left") > 0).select(F.col("__row").alias("of"), F.col("__chunk").alias("chunk"), F.col("__left").alias("left"))
+    mores = waiting.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(add, "of long, more double")
+    scored = written.join(mores, F.col("__row") == F.col("of"), "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
+    scored = scored.withColumn("bits_per_byte", -F.col("score") / F.lit(float(np.log10(2))) / F.col("__bytes"))
     if model.rare is None:
         rest = F.aggregate("__times", F.lit(0).cast("long"), lambda a, x: a + x)
         out = scored.withColumn("base_score", F.col("__base") + rest * F.lit(float(model.word_log(np.float64(0))))).withColumn("n_known", F.col("__known"))
     else:
-        # row numbers hold for what is written only
-        scored = materialise(scored, "scored")
-        asked = scored.select("__row", F.explode(F.arrays_zip("__other", "__times")).alias("x")).select("__row", F.col("x.__other").alias("word"), F.col("x.__times").alias("times"))
+        asked = written.select("__row", F.explode(F.arrays_zip("__other", "__times")).alias("x")).select("__row", F.col("x.__other").alias("word"), F.col("x.__times").alias("times"))
         got = asked.join(model.rare.withColumnRenamed("n", "c"), F.col("word") == F.col("key"), "left")
         c = F.coalesce(F.col("c"), F.lit(0))
         # decimals: sums that don't depend on the order of rows

@@ -312,6 +312,23 @@ def test_scores(spark, odd, most):
         assert r.score < 0 and r.bits_per_byte > 0
 
 
+@pytest.mark.parametrize("most", [1 << 19, 40, 1])
+def test_scores_are_of_the_whole_tree_whatever_is_at_hand(spark, monkeypatch, most):
+    monkeypatch.setattr(ctw, "PART", 50, raising=False)
+    r = random.Random(3)
+    texts = [" ".join(r.choice(["the", "cat", "sat", "mat", "Ünï", "zebra"]) + str(r.randrange(30)) for _ in range(40)) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate([*texts, "a text \u4e2d quite unlike", None, ""])), "doc_id long, text string").repartition(3)
+    key, _ = ctw.sequences(pa.array(texts[:20]))
+    scorer = ctw.Scorer(ctw.build([np.unique(key & np.uint64((1 << (8 * d + 8)) - 1), return_counts=True) for d in range(ctw.DEPTH + 1)]))
+    model = ctw.learn(df.where("doc_id < 20"), "text", most_pairs=most)
+    rows = ctw.score(df, "text", model, ["doc_id", "text"]).collect()
+    assert len(rows) == 33
+    for row in rows:
+        want = scorer.logs(ctw.sequences(pa.array([row.text], pa.string()))[0])
+        assert row.score == pytest.approx(want.sum(), rel=1e-5)
+        assert row.bits_per_byte == pytest.approx(-want.sum() / math.log10(2) / len(want), rel=1e-5)
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
     for r in df.withColumn("m", common.crc_rest("doc_id", 10)).collect():
