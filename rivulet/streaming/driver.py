@@ -16,8 +16,8 @@ from rivulet.operators import zset
 from rivulet.session import shared_path
 
 
-def run_files(spark: SparkSession, step: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], table: str, path: str, schema: T.StructType, sink: Callable[[int, dict[str, DataFrame]], None], checkpoint: str | None = None, files_a_step: int = 1, timeout: int = 600) -> int:
-    """Feeds the Parquet files under path to step as changes of table (weights in __w, or insertions); sink gets each step's view changes. Returns the number of steps."""
+def run_files(spark: SparkSession, step: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], table: str, path: str, schema: T.StructType, sink: Callable[[int, dict[str, DataFrame]], None], checkpoint: str | None = None, files_a_step: int = 1, timeout: int | None = None) -> int:
+    """Feeds the Parquet files under path to step as changes of table (weights in __w, or insertions); sink gets each step's view changes. Returns the number of steps, once all files are taken; after timeout seconds, if given, the stream is stopped and TimeoutError raised."""
     done: set[int] = set()
 
     def batch(df: DataFrame, number: int) -> None:
@@ -28,7 +28,9 @@ def run_files(spark: SparkSession, step: Callable[[dict[str, DataFrame]], dict[s
 
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_step).parquet(path)
     query = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or shared_path(spark, "stream")).trigger(availableNow=True).start()
-    query.awaitTermination(timeout)
+    if query.awaitTermination(timeout) is False:
+        query.stop()
+        raise TimeoutError(f"{len(done)} steps were done in {timeout} s, and files are left")
     if query.exception():
         raise query.exception()
     return len(done)

@@ -1,5 +1,7 @@
 import sqlite3
+import time
 
+import pytest
 from pyspark.sql import types as T
 
 from rivulet.operators import zset
@@ -43,6 +45,15 @@ def test_files_drive_a_view(spark, tmp_path):
     assert steps >= 3 and {k: w for k, w in total.items() if w} == {(1, 6, 1): 1, (2, 7, 1): 1}
 
 
+def test_a_stream_that_takes_too_long_is_no_success(spark, tmp_path):
+    for i in range(4):
+        spark.createDataFrame([(i,)], "k int").coalesce(1).write.parquet(str(tmp_path / "slow" / f"{i}"))
+    sink = lambda n, z: time.sleep(2)
+    with pytest.raises(TimeoutError):
+        driver.run_files(spark, lambda changes: changes, "t", str(tmp_path / "slow" / "*"), T.StructType([T.StructField("k", T.IntegerType())]), sink, timeout=1)
+    assert not spark.streams.active
+
+
 def test_event_time_windows(spark, tmp_path):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:05' AS ts, 'a' AS k UNION ALL SELECT TIMESTAMP_NTZ '2024-01-01 00:00:15', 'a'")
     df.write.parquet(str(tmp_path / "e"))
