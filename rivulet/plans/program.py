@@ -61,6 +61,8 @@ class Program:
         recipes.register(self.spark)
         self._running: Views | None = None
         self._pending: dict[str, DataFrame] = {}
+        #: Tables with contents, which the first step takes as changes.
+        self._filled: set[str] = set()
         self._last: dict[str, DataFrame] = {}
 
     # --- declarations ---
@@ -119,6 +121,8 @@ class Program:
         if self._known(name):
             raise ProgramError("Duplicate", f"{name} is declared already")
         self.tables[name] = schema
+        if df is not None:
+            self._filled.add(name)
         self.contents[name] = df if df is not None else self.spark.createDataFrame([], schema)
         self.contents[name].createOrReplaceTempView(name)
 
@@ -133,6 +137,7 @@ class Program:
             raise ProgramError("Not found", f"{name} isn't declared")
         for d in (self.tables, self.contents, self.views):
             d.pop(found, None)
+        self._filled.discard(found)
         self.spark.catalog.dropTempView(found)
 
     def insert(self, name: str, body: str, columns: tuple[str, ...] = ()) -> None:
@@ -149,6 +154,10 @@ class Program:
         rows = rows.toDF(*(columns or [f.name for f in schema]))
         typed = rows.select(*(_as(rows[f.name], f).alias(f.name) for f in schema))
         self.contents[found] = self.contents[found].unionByName(typed)
+        if self._running is None:
+            self._filled.add(found)
+        else:
+            self.push(found, typed)
         self.contents[found].createOrReplaceTempView(found)
         for v in self.views.values():  # views look at the tables of their time
             self._register(v)
@@ -227,10 +236,12 @@ class Program:
         return DataFrame(df._jdf, self.spark) if df.sparkSession is not self.spark else df
 
     def step(self, deltas: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
-        """Takes the changes and returns those of all output views; the first step also brings constants."""
+        """Takes the changes and returns those of all output views; the first step also brings constants and the rows that tables have already. Rows inserted later come with the next step."""
         for name, d in (deltas or {}).items():
             self.push(name, d)
         if self._running is None:
+            for name in sorted(self._filled):
+                self.push(name, self.contents[name])
             made: dict[str, Node] = {}
             self._running = Views(self.spark, {n: self.node(n, made) for n, v in self.views.items() if v.output}, self.tables)
         pending, self._pending = self._pending, {}

@@ -283,3 +283,24 @@ def test_grouped_sql_is_maintained_from_changes(spark):
     assert total["a"] == [("x", 2, 6, 0.5)] and total["h"] == [(2, 2)]
     assert total["g"][0][:2] == (3, 4) and total["g"][0][2] == pytest.approx(9.6)
     assert p.output("a").schema["s"].dataType == outs[0]["a"].schema["s"].dataType
+
+
+def test_a_step_starts_from_what_tables_hold(spark, tmp_path):
+    spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int").write.parquet(str(tmp_path / "o"))
+    p = Program(spark)
+    p.read("o", str(tmp_path / "o"))
+    p.sql("CREATE TABLE c (k INT, name VARCHAR); INSERT INTO c VALUES (1, 'a'), (2, 'b')")
+    p.sql("CREATE VIEW big AS SELECT k, count(*) AS n, sum(v) AS s FROM o GROUP BY k; CREATE VIEW named AS SELECT c.name, o.v FROM o JOIN c ON o.k = c.k")
+    total = {"big": {}, "named": {}}
+
+    def add(out):
+        for view, z in out.items():
+            for *row, w in map(tuple, z.collect()):
+                total[view][tuple(row)] = total[view].get(tuple(row), 0) + w
+        return {view: {row: w for row, w in rows.items() if w} for view, rows in total.items()}
+
+    got = add(p.step({"o": p.spark.createDataFrame([(1, 20, -1), (2, 7, 1)], "k int, v int, __w long")}))
+    assert got == {"big": {(1, 1, 10): 1, (2, 2, 12): 1}, "named": {("a", 10): 1, ("b", 5): 1, ("b", 7): 1}}
+    p.sql("INSERT INTO c VALUES (2, 'bb')")
+    got = add(p.step({"o": p.spark.createDataFrame([(1, 1)], "k int, v int")}))
+    assert got == {"big": {(1, 2, 11): 1, (2, 2, 12): 1}, "named": {("a", 10): 1, ("a", 1): 1, ("b", 5): 1, ("b", 7): 1, ("bb", 5): 1, ("bb", 7): 1}}
