@@ -608,14 +608,68 @@ def _second_round(nodes: DataFrame, carried: DataFrame, comps: DataFrame, docs:
     return both.mapInArrow(run, "a long, b long")
 
 
-def jaccard_join(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT, size: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id: one row for each row of df.
+def linked_sizes(parts: list[np.ndarray], copies: np.ndarray, side: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For each set the copies of all sets it links with, by the exact overlaps of all pairs: those of different sides, or all if sides are negative."""
+    m, n = len(parts), np.array([len(p) for p in parts], np.int64)
+    token, at = np.unique(np.concatenate(parts), return_inverse=True)
+    of = np.repeat(np.arange(m), n)
+    # tokens of one set only are in no overlap
+    shared = np.bincount(at, minlength=len(token)) > 1
+    of, at = of[shared[at]], (np.cumsum(shared) - 1)[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    common = np.zeros((m, m), np.float32)  # whole numbers below 2 ** 24 are exact
+    wide = min(2048, int(shared.sum()))
+    for a in range(0, int(shared.sum()), max(1, wide)):
+        low, high = np.searchsorted(at, (a, a + wide))
+        has = np.zeros((m, wide), np.float32)
+        has[of[low:high], at[low:high] - a] = 1
+        common += has @ has.T
+    common = common.astype(np.int64)
+    links = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    links &= (side[:, None] != side[None, :]) | (side[:, None] < 0)
+    np.fill_diagonal(links, False)
+    return links @ copies
+
+
+def _link_counts(base: DataFrame, of: DataFrame, docs: DataFrame, words: int, percent: int, size: int) -> DataFrame:
+    """of (node, rep, comp) -> k (node), n_links: how many other rows each row of the set links with.
+
+    All links lie within components. A component's sets are compared each with each, in
+    one block or, for a large one, in a block for each two of its parts; what leaves a
+    block is a row a set.
+    """
+    copies = base.where("n > 0").groupBy(F.col("node").alias("k")).agg(F.count("*").alias("copies"))
+    several = of.groupBy(F.col("comp").alias("c")).agg(F.count("*").alias("m")).where("m > 1")
+    members = of.join(several, F.col("comp") == F.col("c")).join(copies, F.col("node") == F.col("k")).select("node", "rep", "comp", "copies", F.ceil(F.col("m") / size).cast("int").alias("parts"))
+    members = materialise(members, "members")
+    texts = _texts(docs, members.select("node", "rep"), words).select(F.col("node").alias("k"), "text")
+    x = members.join(texts, F.col("node") == F.col("k")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.withColumn("block", F.xxhash64("comp", F.least("part", "other"), F.greatest("part", "other"))).withColumn("side", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")))
+
+    def run(batches):
+        for t in _runs(batches, 0):
+            node, first = np.unique(t.column(2).to_numpy(), return_index=True)
+            t = t.take(pa.array(first)).combine_chunks()
+            s, cut = sets(t.column(4).combine_chunks(), words)
+            n = linked_sizes([s[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], t.column(3).to_numpy(), t.column(1).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n)], names=["node", "n"])
+
+    ready = x.select("block", "side", "node", "copies", "text").repartition("block").sortWithinPartitions("block")
+    others = ready.mapInArrow(run, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return copies.join(others, F.col("k") == F.col("node"), "left").select("k", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+
+
+def jaccard_join(df: DataFrame, doc_id: str, text: str, words: int = WORDS, percent: int = PERCENT, size: int = BLOCK, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, and n_links if links: one row for each row of df.
 
     class_id: the smallest doc_id of the rows with the same set; component_id: the
     smallest doc_id reachable by links. Null or empty texts, and texts of white space,
     have an empty set and link with nothing: both ids are their own. A null doc_id stays
     null and counts for nothing in a group with others. Repeated rows are of one class.
-    Other columns are not looked at; an empty table gives no rows.
+    Other columns are not looked at; an empty table gives no rows. n_links: how many other
+    rows the row links with, rows of its own class included.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     base = materialise(_described(docs, words, percent, _frequent(docs, words)), "sets")
@@ -623,19 +677,24 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, words: int = WORDS, perc
     same = [F.first(c).alias(c) for c in ("n", "mins")]
     nodes = materialise(base.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), *same), "nodes")
     carried = base.where("bits IS NOT NULL").select("node", "n", "prefix", "bits")
-    links, comps = None, None
+    spanning, comps = None, None
     for keys in KEYS:
         found = materialise(_first_round(nodes, docs, words, percent, size, keys, comps), "round1")
-        links = found if links is None else links.union(found)
-        comps = components(links)
+        spanning = found if spanning is None else spanning.union(found)
+        comps = components(spanning)
     more = materialise(_second_round(nodes, carried, comps, docs, words, percent, size), "round2")
     if more.limit(1).count():
-        comps = components(links.union(more))
+        comps = components(spanning.union(more))
     of = nodes.select("node", "rep").join(comps.select(F.col("node").alias("k"), "comp"), F.col("node") == F.col("k"), "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id")).select(F.col("comp").alias("c"), "component_id")
     ids = of.join(least, F.col("comp") == F.col("c")).select(F.col("node").alias("k"), "rep", "component_id")
     out = base.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(ids, F.col("node") == F.col("k"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        counts = _link_counts(base, of, docs, words, percent, size)
+        out = out.drop("k").join(counts, F.col("node") == F.col("k"), "left")
+        columns.append(F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(*columns)
 
 
 def one_of_each(df: DataFrame, doc_id: str, text: str, **limits) -> DataFrame:
@@ -654,6 +713,10 @@ def op1(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "n_shingles", "component_id")
 
 
+def op1_links(spark, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents"), "doc_id", "text", links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 #: For unique ids. All candidate pairs are counted, which suits small tables only.
 OP1_SQL = r"""
 WITH RECURSIVE w AS (
@@ -673,3 +736,4 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, CAST(coalesce(any_value(sizes.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM w JOIN reached ON reached.doc_id = w.doc_id LEFT JOIN sizes ON sizes.doc_id = w.doc_id GROUP BY w.doc_id
 """
+OP1_LINKS_SQL = OP1_SQL.replace("min(other) AS component_id", "min(other) AS component_id, (SELECT count(*) FROM links l WHERE l.x = w.doc_id) AS n_links")

@@ -25,8 +25,9 @@ def queries() -> dict:
         "op8_language_id": language.op8,
         "op9_byte_bpe": op9,
         "op10_compression_quality": compression.op10,
+        "op1_ngram_jaccard_links": jaccard.op1_links,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op3_chat_format": chat.OP3_SQL, "op4_warc_index": warc.OP4_SQL, "op5_mix_sources": mixing.OP5_SQL, "op6_quality_rules": rules.OP6_SQL}
+    return {"op1_ngram_jaccard_join": jaccard.OP1_SQL, "op1_ngram_jaccard_links": jaccard.OP1_LINKS_SQL, "op3_chat_format": chat.OP3_SQL, "op4_warc_index": warc.OP4_SQL, "op5_mix_sources": mixing.OP5_SQL, "op6_quality_rules": rules.OP6_SQL}

@@ -72,6 +72,19 @@ def test_components_as_by_brute_force(spark, seed, size):
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+@pytest.mark.parametrize("size", [1024, 4])
+def test_all_links_are_counted(spark, size):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = [(1000 + i, text + f" x{i}") for i in range(12)] + [(2000, text), (2001, text), (2001, text), (None, text), (2002, None), (2003, " ")]
+    rows = [*corpus(2, 120), *near]
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA).repartition(5)
+    s = [shingles(t) for _, t in rows]
+    want = Counter((d, sum(1 for j in range(len(rows)) if j != i and s[i] and 100 * len(s[i] & s[j]) >= 80 * len(s[i] | s[j]))) for i, (d, _) in enumerate(rows))
+    got = jaccard.jaccard_join(df, "doc_id", "text", size=size, links=True)
+    assert got.columns == ["doc_id", "n_shingles", "class_id", "component_id", "n_links"]
+    assert Counter((r.doc_id, r.n_links) for r in got.collect()) == want
+
+
 def test_odd_rows(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one two"), (5, "One TWO"), (6, "two one"), (7, text), (7, text), (None, text), (None, None), (None, "only null here and no other row"), (9, text + " x")]
