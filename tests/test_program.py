@@ -304,3 +304,9 @@ def test_a_step_starts_from_what_tables_hold(spark, tmp_path):
     p.sql("INSERT INTO c VALUES (2, 'bb')")
     got = add(p.step({"o": p.spark.createDataFrame([(1, 1)], "k int, v int")}))
     assert got == {"big": {(1, 2, 11): 1, (2, 2, 12): 1}, "named": {("a", 10): 1, ("a", 1): 1, ("b", 5): 1, ("b", 7): 1, ("bb", 5): 1, ("bb", 7): 1}}
+
+
+def test_halt_of_other_databases_does_not_end_a_script():
+    rest = "\nhalt\n\nstatement ok\nCREATE TABLE t (a INT)\n"
+    for condition, n in (("onlyif mssql", 1), (f"skipif {slt.DATABASE}", 1), (f"onlyif {slt.DATABASE}", 0), ("", 0)):
+        assert [r.kind for r in slt.parse(condition + rest)] == ["statement"] * n
