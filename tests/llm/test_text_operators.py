@@ -312,7 +312,7 @@ def test_scores(spark, odd, most):
         assert r.score < 0 and r.bits_per_byte > 0
 
 
-@pytest.mark.parametrize("most", [1 << 19, 40, 1])
+@pytest.mark.parametrize("most", [1 << 19, 300, 40, 1])
 def test_scores_are_of_the_whole_tree_whatever_is_at_hand(spark, monkeypatch, most):
     monkeypatch.setattr(ctw, "PART", 50, raising=False)
     r = random.Random(3)
