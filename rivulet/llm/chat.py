@@ -19,8 +19,9 @@ from rivulet.llm.common import table
 
 OPEN, CLOSE = "### ", "</turn>"
 END = f"\n{CLOSE}\n"
-CONTROL = r"(\\*(?:### |</turn>))"
-ESCAPED = r"\\(\\*(?:### |</turn>))"
+#: A run of backslashes is looked at from its first one only, so its length counts once.
+CONTROL = r"(?<!\\)(\\*+(?:### |</turn>))"
+ESCAPED = r"(?<!\\)\\(\\*+(?:### |</turn>))"
 #: Roles whose texts are learned from.
 LEARNED = ("assistant",)
 
