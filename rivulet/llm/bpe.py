@@ -95,6 +95,7 @@ def decode(df: DataFrame, token_ids: str, ranks_path: str, pattern: str, keep: l
 
 
 def token_digests(df: DataFrame, text: str, ranks_path: str, pattern: str, keep: list[str]) -> DataFrame:
-    """n_tokens and SHA-256 digests of the packed ids and of the decoded bytes."""
+    """keep, n_tokens and SHA-256 digests of the packed ids and of the decoded bytes; columns of keep with these names are replaced."""
+    keep = [c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256")]
     out = encode(df, text, ranks_path, pattern, keep, decode=True)
-    return out.select(*keep, "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(*(F.col(f"`{c}`") for c in keep), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -348,7 +348,9 @@ def learn(df: DataFrame, text: str, depth: int = DEPTH, most_pairs: int = MOST_P
 
     The counts are written to the shared folder, and all of them make the tree. What comes
     to the driver and goes to the tasks is bounded by most_pairs, most_words and the
-    different sequences of STEM bytes.
+    different sequences of STEM bytes. Repeated rows count each; other columns are not
+    looked at; very long texts are counted in slices of whole texts; an empty table makes
+    a model without counts.
     """
     counted = materialise(_counted(df, text, depth), "counts")
     grams, words = counted.where("kind = 0").select("key", "n"), counted.where("kind = 1").select("key", "n")
@@ -378,7 +380,12 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
     with the table of the others by their hash, once a text and word. Sequences that are
     not among the frequent ones get a number in their chunk of text, and the answers of
     the tree's parts come back to the chunk.
+
+    Columns of keep with a result's name are replaced; repeated rows are scored alike, an
+    empty table stays empty, and a model of no texts gives each byte a chance of 1/256.
+    A very long text is scored whole, in bounded steps.
     """
+    keep = [c for c in keep if c not in ("n_tokens", "n_known", "base_score", "score", "bits_per_byte")]
     shared = df.sparkSession.sparkContext.broadcast((model.pairs, model.logs, model.words, model.counts, model.depth))
     end_log, zero = float(model.word_log(np.float64(model.ends))), model.n_tokens + 0.1 * (model.n_kinds + 1)
     fields = [T.StructField("__row", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()), T.StructField("__base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("__other", T.ArrayType(T.LongType())), T.StructField("__times", T.ArrayType(T.LongType())), T.StructField("__bytes", T.LongType()), T.StructField("__chunk", T.LongType()), T.StructField("__left", T.ArrayType(T.IntegerType())), T.StructField("__asked", T.ArrayType(T.LongType())), T.StructField("__first", T.IntegerType())]
@@ -465,7 +472,7 @@ def score(df: DataFrame, text: str, model: Language, keep: list[str]) -> DataFra
         log = (F.log10((c + F.lit(0.1)) / F.lit(zero)) * F.col("times")).cast("decimal(28,14)")
         sums = got.groupBy(F.col("__row").alias("r")).agg(F.sum(log).cast("double").alias("b"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("k"))
         out = scored.join(sums, F.col("__row") == F.col("r"), "left").withColumn("base_score", F.col("__base") + F.coalesce("b", F.lit(0.0))).withColumn("n_known", F.col("__known") + F.coalesce("k", F.lit(0)))
-    return out.select(*keep, "n_tokens", "n_known", "base_score", "score", "bits_per_byte")
+    return out.select(*(F.col(f"`{c}`") for c in keep), "n_tokens", "n_known", "base_score", "score", "bits_per_byte")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ tiles; no compression, PackBits, LZW or deflate; horizontal-differencing predict
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
@@ -26,6 +27,9 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 FORMATS = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 NONE, LZW, ADOBE_DEFLATE, DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 CODES = {"none": NONE, "lzw": LZW, "deflate": ADOBE_DEFLATE, "packbits": PACKBITS}
+NAMES = {v: k for k, v in CODES.items()} | {DEFLATE: "deflate"}
+#: Bytes that a byte of a strip can stand for at most, by the densest codec, and bytes of a file's decoded pages: a row's column holds no more.
+MOST_DENSE, MOST_DECODED = 4096, (1 << 31) - (1 << 20)
 
 
 class TiffError(ValueError):
@@ -64,31 +68,25 @@ def packbits_decode(data: bytes, size: int) -> bytes:
 
 
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
+    """Runs of three and more as runs, what stands between them as it is."""
+    out, n = bytearray(), len(data)
     if not n:
         return b""
     a = np.frombuffer(data, np.uint8)
     starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
     runs = np.diff(np.append(starts, n))
-    loose = bytearray()
-
-    def flush():
-        for k in range(0, len(loose), 128):
-            part = loose[k : k + 128]
+    long = runs > 2
+    at = 0
+    for s, r in [*zip(starts[long].tolist(), runs[long].tolist(), strict=True), (n, 0)]:
+        for k in range(at, s, 128):
+            part = data[k : min(k + 128, s)]
             out.append(len(part) - 1)
-            out.extend(part)
-        loose.clear()
-
-    for s, r in zip(starts.tolist(), runs.tolist(), strict=True):
-        if r < 3:
-            loose.extend(data[s : s + r])
-            continue
-        flush()
+            out += part
+        at = s + r
         while r:
             k = min(r, 128)
-            out.extend((257 - k, data[s]) if k > 1 else (0, data[s]))
+            out += bytes((257 - k, data[s])) if k > 1 else bytes((0, data[s]))
             r -= k
-    flush()
     return bytes(out)
 
 
@@ -253,21 +251,26 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return tags, following
 
 
-def _page(data: bytes, tags: dict[int, list[int]], number: int, order: str) -> Page:
+def _page(data: bytes, tags: dict[int, list[int]], number: int, order: str, left: int) -> Page:
+    """left: bytes that the page may have decoded."""
     one = lambda tag, default=None: tags[tag][0] if tags.get(tag) else default
-    w, h, s, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
-    if not w or not h or bits not in (8, 16) or set(tags.get(BITS, [bits])) != {bits}:
-        raise TiffError("image without size, or samples of other than 8 or 16 bits")
+    w, h, s, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
+    if w < 1 or h < 1 or s < 1 or bits not in (8, 16) or set(tags.get(BITS, [bits])) != {bits}:
+        raise TiffError("image without size or samples, or samples of other than 8 or 16 bits")
     code, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
     if predictor not in (1, 2):
         raise TiffError(f"predictor {predictor} isn't read")
     tiled = TILE_OFFSETS in tags
     cw, ch = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (w, min(one(ROWS_PER_STRIP, h), h))
+    if (cw or 0) < 1 or (ch or 0) < 1:
+        raise TiffError("strips or tiles without size")
     offsets, counts = tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, []), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, [])
     across, down = -(-w // cw), -(-h // ch)
     planes, deep = (s, 1) if planar == 2 else (1, s)
     if len(offsets) != across * down * planes or len(counts) != len(offsets):
         raise TiffError("strips or tiles are missing")
+    if w * h * s * bits // 8 > min(left, MOST_DENSE * (len(data) + 1)):
+        raise TiffError("image larger than its strips or tiles can hold")
     kind = np.dtype(order + f"u{bits // 8}")
     image = np.empty((h, w, s), f"<u{bits // 8}")
     for i, (o, c) in enumerate(zip(offsets, counts, strict=True)):
@@ -289,15 +292,19 @@ def _page(data: bytes, tags: dict[int, list[int]], number: int, order: str) -> P
 
 
 def decode_tiff(data: bytes) -> list[Page]:
-    """Every page of a file, in the directories' order; a loop of directories ends at its start."""
-    if data[:4] not in (b"II*\0", b"MM\0*"):
+    """Every page of a file, in the directories' order; a loop of directories ends at its start.
+
+    Pages of more than MOST_DECODED bytes together are an error: no row could hold them.
+    """
+    if len(data) < 8 or data[:4] not in (b"II*\0", b"MM\0*"):
         raise TiffError("no TIFF header")
     order = "<" if data[:2] == b"II" else ">"
-    (at,), seen, pages = struct.unpack_from(order + "I", data, 4), set(), []
+    (at,), seen, pages, left = struct.unpack_from(order + "I", data, 4), set(), [], MOST_DECODED
     while at and at not in seen:
         seen.add(at)
         tags, following = _directory(data, at, order)
-        pages.append(_page(data, tags, len(pages), order))
+        pages.append(_page(data, tags, len(pages), order, left))
+        left -= len(pages[-1].data)
         at = following
     return pages
 
@@ -306,6 +313,17 @@ def decode_tiff(data: bytes) -> list[Page]:
 
 PAGE = "array<struct<page:int,width:int,height:int,samples:int,bits:int,compression:int,predictor:int,tiled:boolean,chunks:int,data:binary>>"
 WIDE, ROWS_A_PAGE = 192, 512
+#: How files are laid out, by the checksum of what they hold: each codec, strips and tiles, with and without predictor.
+LAYOUTS = (
+    {"compression": "deflate", "predictor": True},
+    {"compression": "lzw", "rows_per_strip": 32},
+    {"compression": "packbits", "rows_per_strip": 16},
+    {"compression": "deflate", "tile": (64, 32)},
+    {"compression": "packbits", "predictor": True, "tile": (96, 64)},
+    {"compression": "deflate", "predictor": True, "tile": (128, 16)},
+    {"compression": "none", "rows_per_strip": 128},
+    {"compression": "deflate"},
+)
 
 
 def payload(text: bytes, multiple: int = WIDE) -> bytes:
@@ -313,15 +331,22 @@ def payload(text: bytes, multiple: int = WIDE) -> bytes:
     return text.ljust(max(1, -(-len(text) // multiple)) * multiple, b" ")
 
 
-def text_media(df: DataFrame, text: str, keep: list[str] | None = None, compression: str = "deflate", predictor: bool = True, rows_per_page: int = ROWS_A_PAGE, **layout) -> DataFrame:
-    """Adds media (binary: a TIFF of the padded text's bytes, 192 samples a row, 512 rows a page) and n_bytes."""
+def text_media(df: DataFrame, text: str, keep: list[str] | None = None, layouts: tuple[dict, ...] = LAYOUTS, rows_per_page: int = ROWS_A_PAGE) -> DataFrame:
+    """Adds media (binary: a TIFF of the padded text's bytes, 192 samples a row, 512 rows a page) and n_bytes.
+
+    The layout goes by the checksum of the bytes, so equal texts make equal files. Null
+    and empty texts: n_bytes 0, one row of spaces. Long texts make more pages; a text whose
+    file would pass 2 GiB can't stand in a row. Columns of these names are replaced,
+    repeated rows made alike; an empty table stays empty.
+    """
     def make():
         def fn(array: pa.Array) -> list:
             raws = [(x or "").encode() for x in array.to_pylist()]
             media = []
             for raw in raws:
-                grid = np.frombuffer(payload(raw), np.uint8).reshape(-1, WIDE)
-                media.append(encode_tiff([grid[y : y + rows_per_page] for y in range(0, len(grid), rows_per_page)], compression, predictor, **layout))
+                data = payload(raw)
+                grid = np.frombuffer(data, np.uint8).reshape(-1, WIDE)
+                media.append(encode_tiff([grid[y : y + rows_per_page] for y in range(0, len(grid), rows_per_page)], **layouts[zlib.crc32(data) % len(layouts)]))
             return [media, [len(r) for r in raws]]
 
         return fn
@@ -332,8 +357,9 @@ def text_media(df: DataFrame, text: str, keep: list[str] | None = None, compress
 def media_pages(df: DataFrame, media: str = "media", keep: list[str] | None = None) -> DataFrame:
     """Adds pages (an array of structs, data: the decoded samples) and media_error.
 
-    Null media: null pages, no error. A file that can't be read: null pages and what is
-    wrong with it; the job goes on. explode_pages() gives a row for each page.
+    Null media: null pages, no error. A file that can't be read, whatever is wrong with
+    it: null pages and what went wrong; the job goes on. Columns of these names are
+    replaced; an empty table stays empty. explode_pages() gives a row for each page.
     """
     kind = T._parse_datatype_string(f"pages {PAGE}")[0].dataType
 
@@ -345,9 +371,9 @@ def media_pages(df: DataFrame, media: str = "media", keep: list[str] | None = No
                     found = None if data is None else [[p.number, p.width, p.height, p.samples, p.bits, p.compression, p.predictor, p.tiled, p.chunks, p.data] for p in decode_tiff(data)]
                     pages.append(found and [dict(zip(names, p, strict=True)) for p in found])
                     errors.append(None)
-                except (TiffError, zlib.error, struct.error) as e:
+                except Exception as e:  # one file's fault, of any kind: bytes from anywhere are read here
                     pages.append(None)
-                    errors.append(str(e)[:200])
+                    errors.append(f"{type(e).__name__}: {e}"[:200])
             return [pages, errors]
 
         return fn
@@ -357,20 +383,67 @@ def media_pages(df: DataFrame, media: str = "media", keep: list[str] | None = No
 
 
 def explode_pages(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row for each page of each file; files without pages give none."""
-    return df.select(*keep, F.explode("pages").alias("__page")).select(*keep, "__page.*")
+    """One row for each page of each file, a file's pages next to each other and in order; files without pages give none. Of keep, columns with a page field's name are left out."""
+    fields = T._parse_datatype_string(f"pages {PAGE}")[0].dataType.elementType.fieldNames()
+    kept = [F.col(f"`{c}`") for c in keep if c not in fields]
+    return df.select(*kept, F.explode("pages").alias("__page")).select(*kept, "__page.*")
+
+
+def page_digests(pages: DataFrame, keep: list[str]) -> DataFrame:
+    """explode_pages()' rows, as they come -> one row a file: keep, and of its pages' samples one after another payload_bytes, payload_sha256, tail_crc32 (of the last 16) and feature.
+
+    feature: codec, strips or tiles, pages, the last page's size, mean and deviation of
+    all samples. A page numbered 0 begins a file, so no id is needed and nothing is
+    shuffled; a file's pages are folded as they come and never held together.
+    """
+    schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())])
+    columns = ["page", "width", "height", "compression", "predictor", "tiled", "data"]
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target, width = to_arrow_schema(schema), len(keep)
+
+    def fold(batches):
+        rows, now = [], None
+
+        def done():
+            n, total, squares = now["n"], now["sum"], now["squares"]
+            mean = total / n
+            feature = f"tiff:{NAMES[now['code']]}{'+diff' * (now['predictor'] == 2)}:{'tiles' if now['tiled'] else 'strips'}:{now['pages']}x{now['width']}x{now['height']}:{mean:.4f}:{max(0.0, squares / n - mean * mean) ** 0.5:.4f}"
+            rows.append([*now["keep"], n, now["hash"].hexdigest(), zlib.crc32(now["tail"]), feature])
+
+        def out():
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(target)], schema=target)
+            rows.clear()
+            return made
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = [batch.column(j)[i].as_py() for j in range(batch.num_columns)]
+                p = dict(zip(columns, r[width:], strict=True))
+                if p["page"] == 0:
+                    if now:
+                        done()
+                    now = {"keep": r[:width], "n": 0, "sum": 0, "squares": 0, "tail": b"", "hash": hashlib.sha256(), "pages": 0}
+                samples = np.frombuffer(p["data"], np.uint8).astype(np.int64)
+                now["n"] += len(samples)
+                now["sum"] += int(samples.sum())
+                now["squares"] += int((samples * samples).sum())
+                now["tail"] = (now["tail"] + p["data"][-16:])[-16:]
+                now["hash"].update(p["data"])
+                now["pages"] += 1
+                now |= {"width": p["width"], "height": p["height"], "code": p["compression"], "predictor": p["predictor"], "tiled": p["tiled"]}
+            if rows:
+                yield out()
+        if now:
+            done()
+            yield out()
+
+    return pages.select(*(F.col(f"`{c}`") for c in keep), *columns).mapInArrow(fold, schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    read = media_pages(text_media(docs, "text", ["doc_id"]), "media")
-    whole = F.aggregate("pages", F.lit(b"").cast("binary"), lambda a, p: F.concat(a, p["data"]))
-    x = read.select("doc_id", "n_bytes", "media", F.when(F.size("pages") == 1, F.col("pages")[0]["data"]).otherwise(whole).alias("payload"), "pages")
-    spans = F.array_join(F.transform("pages", lambda p: F.concat_ws("x", p["width"], p["height"], p["chunks"])), "+")
-    x = x.withColumn("spans", spans).drop("pages")
-    tail = F.expr("substring(payload, greatest(1, length(payload) - 15), 16)")
-    return x.select(
-        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(tail).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.lit("tiff:deflate:"), F.col("spans"), F.lit(":"), F.hex(F.crc32("payload"))).alias("feature"),
-    )
+    made = text_media(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", ["doc_id"])
+    made = made.select("doc_id", "n_bytes", "media", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    keep = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    out = page_digests(explode_pages(media_pages(made, "media", keep), keep), keep)
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -80,12 +80,47 @@ def test_tiff_columns(spark):
 
 
 def test_tiff_query(spark, tmp_path):
-    texts = ["", None, "abc", "x" * 400, "ü" * 90_000]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for r in tiff.op7(spark, str(tmp_path)).collect():
-        raw = (texts[r.doc_id] or "").encode()
+    texts = ["", None, "abc", "x" * 400, "ü" * 90_000, "abc", *(f"text {i} " * (1 + 997 * i % 4001) for i in range(60))]
+    # ids play no part: null and repeated ones, and columns with a page's names
+    rows = [(None if i == 3 else i // 2, t, i) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, data int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = tiff.op7(spark, str(tmp_path)).collect()
+    want = Counter()
+    layouts = set()
+    for d, t, _ in rows:
+        raw = (t or "").encode()
         p = tiff.payload(raw)
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])) and r.feature and len(r.media_sha256) == 64
+        layout = tiff.LAYOUTS[zlib.crc32(p) % len(tiff.LAYOUTS)]
+        grid = np.frombuffer(p, np.uint8).reshape(-1, 192)
+        media = tiff.encode_tiff([grid[y : y + 512] for y in range(0, len(grid), 512)], **layout)
+        layouts.add(zlib.crc32(p) % len(tiff.LAYOUTS))
+        want[d, len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(media), hashlib.sha256(media).hexdigest()] += 1
+        feature = [r.feature for r in got if r.payload_sha256 == hashlib.sha256(p).hexdigest()][0].split(":")
+        assert feature[1].split("+")[0] == layout["compression"] and feature[2] == ("tiles" if "tile" in layout else "strips")
+        assert (float(feature[4]), float(feature[5])) == pytest.approx((grid.mean(), grid.std()), abs=1e-3)
+    assert Counter(tuple(r)[:7] for r in got) == want and layouts == set(range(len(tiff.LAYOUTS)))
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert tiff.op7(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_malformed_files_fail_no_job(spark):
+    rng = np.random.default_rng(1)
+    page = rng.integers(0, 9, (40, 192), dtype=np.uint8)
+    files = [tiff.encode_tiff([page, page[:7]], **layout) for layout in tiff.LAYOUTS]
+    odd = []
+    for tag, value in ((tiff.ROWS_PER_STRIP, 0), (tiff.SAMPLES, 0), (tiff.WIDTH, 2**31), (tiff.LENGTH, 2**31), (tiff.WIDTH, 0), (tiff.ROWS_PER_STRIP, 2**31)):
+        at = files[0].index(struct.pack("<HH", tag, 4 if tag != tiff.SAMPLES else 3))
+        odd.append(files[0][: at + 8] + struct.pack("<I", value) + files[0][at + 12 :])
+    for i in range(1200):
+        data = bytearray(files[i % len(files)])
+        for _ in range(rng.integers(1, 6)):
+            k = int(rng.choice([rng.integers(8), rng.integers(len(data)), len(data) - 1 - rng.integers(200)]))
+            data[k] = rng.integers(256)
+        odd.append(bytes(data[: len(data) - rng.integers(0, 40) * (i % 3 == 0)]))
+    df = spark.createDataFrame(list(enumerate(odd)), "id int, media binary").repartition(4)
+    out = {r.id: r for r in tiff.media_pages(df).select("id", "media_error", F.size("pages").alias("n")).collect()}
+    assert len(out) == len(odd) and all(out[i].media_error for i in range(5))
+    assert all((r.media_error is None) == (r.n is not None and r.n >= 0) for r in out.values())
 
 
 # --- WARC ---
@@ -259,3 +294,10 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, d).collect()
     assert Counter(x.doc_id for x in out) == ids[3] and all(x.round_trip and len(x.token_ids) == 4 * x.n_tokens for x in out)
     assert all(texts[x.doc_id] for x in out)
+
+
+def test_long_runs_of_backslashes(spark):
+    texts = ["\\" * 1_000_000, "\\" * 500_000 + "### x", "\\" * 300_000 + "</turn>" + "\\" * 300_000]
+    rows = [(1, i, "user", t) for i, t in enumerate(texts)]
+    r = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), "conv_id", "turn", "role", "text").first()
+    assert [t["text"] for t in r.turns] == texts

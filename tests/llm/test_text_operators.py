@@ -80,7 +80,9 @@ def test_round_trip(odd):
     packed = bpe.encode(odd, "text", RANKS, public_tokenizers.PATTERN)
     assert packed.columns.count("n_tokens") == 1 and packed.limit(0).count() == 0
     assert all(bytes(r.decoded) == (r.text or "").encode() for r in bpe.decode(packed, "token_ids", RANKS, public_tokenizers.PATTERN).collect())
-    for r in bpe.token_digests(odd, "text", RANKS, public_tokenizers.PATTERN, ["doc_id", "text"]).collect():
+    digests = bpe.token_digests(odd, "text", RANKS, public_tokenizers.PATTERN, ["doc_id", "text", "n_tokens"])
+    assert digests.columns == ["doc_id", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    for r in digests.collect():
         assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
@@ -329,6 +331,16 @@ def test_scores_are_of_the_whole_tree_whatever_is_at_hand(spark, monkeypatch, mo
         assert row.bits_per_byte == pytest.approx(-want.sum() / math.log10(2) / len(want), rel=1e-5)
 
 
+def test_scores_of_nothing(spark, tmp_path, odd):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert ctw.op2(spark, str(tmp_path)).count() == 0
+    model = ctw.learn(odd.limit(0), "text", depth=3)
+    out = ctw.score(odd, "text", model, ["doc_id", "text", "n_tokens"])
+    assert out.columns == ["doc_id", "text", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
+    for r in out.collect():
+        assert r.n_known == 0 and r.bits_per_byte == pytest.approx(8)
+
+
 def test_held_out_rule(spark):
     df = spark.createDataFrame([(i,) for i in range(200)] + [(None,)], "doc_id long")
     for r in df.withColumn("m", common.crc_rest("doc_id", 10)).collect():
