@@ -7,7 +7,6 @@ good label by a logistic curve fitted on the labelled rows.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -22,6 +21,8 @@ from rivulet.llm.common import crc_rest, map_slices, table
 
 #: Bytes of each dictionary.
 DICT_BYTES = 112 << 10
+#: Samples are trained on in pieces of so many bytes; a dictionary is made of segments of so many.
+PIECE, SEGMENT = 4096, 256
 #: Bytes that are compressed at a time; small, as a dictionary helps the start of a block most.
 BLOCK = 1024
 LEVEL = 3
@@ -40,13 +41,15 @@ class Model:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Raw content: a part of each sample, dealt evenly until size is full. Where the part begins goes by the sample's checksum."""
-    samples = [s for s in samples if s]
-    if not samples:
-        return b"\n"
-    each = max(256, size // len(samples))
-    starts = [zlib.crc32(s) % max(1, len(s) - each) for s in samples]
-    return b"\n".join(s[a : a + each] for s, a in zip(samples, starts, strict=True))[-size:]
+    """A trained dictionary over all samples: what comes in most of them stands in it.
+
+    Samples too few to train on, a few kilobytes together, are the dictionary themselves.
+    """
+    pieces = [s[a : a + PIECE] for s in samples for a in range(0, len(s), PIECE)]
+    try:
+        return zstd.train_dictionary(size, pieces, k=SEGMENT, d=8).as_bytes()
+    except zstd.ZstdError:
+        return b"\n".join(pieces) or b"\n"
 
 
 def _own_lines(texts: list[bytes]) -> list[bytes]:
@@ -60,7 +63,7 @@ class Compressors:
     def __init__(self, model: Model, level: int = LEVEL):
         self.pair = []
         for raw in (model.good, model.bad):
-            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d = zstd.ZstdCompressionDict(raw)
             d.precompute_compress(level=level)
             self.pair.append(zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
 
@@ -88,7 +91,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, fl
 
 
 def fit(rows: list[tuple[str | None, int]], dict_bytes: int = DICT_BYTES) -> Model:
-    """rows: texts and labels (1 good, 0 bad), in a fixed order. Half make the dictionaries, half the curve."""
+    """rows: texts and labels (1 good, 0 bad), in a fixed order. Half make the dictionaries, half the curve; every row takes part."""
     made, held = rows[0::2], rows[1::2]
     own = _own_lines([(t or "").encode() for t, _ in made])
     data = lambda label: [t for t, (_, y) in zip(own, made, strict=True) if y == label]
@@ -145,7 +148,9 @@ def fit_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label
 def score(df: DataFrame, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Adds quality_score (0 to 1) and size_difference (per byte, null for a text without bytes).
 
-    Null and empty texts get the model's prior. Equal texts get equal scores.
+    Null and empty texts get the model's prior. Equal texts get equal scores; texts are
+    compressed whole, however long, a block at a time. Columns with these names are
+    replaced, other columns of any name kept; an empty table stays empty.
     """
     fields = [T.StructField("quality_score", T.DoubleType()), T.StructField("size_difference", T.DoubleType())]
     shared = df.sparkSession.sparkContext.broadcast(model)

@@ -226,6 +226,47 @@ def test_classifier(spark, odd):
     assert compression.fit_sample(docs.limit(0), labels.limit(0), "doc_id", "text", "label_id", "quality").prior == 0.5
 
 
+def test_classifier_query_as_by_plain_compression(spark, tmp_path):
+    """op10 over a table with null, empty, repeated and very long texts, against zstandard itself."""
+    import zstandard as zstd
+
+    r = random.Random(19)
+    good, bad = [f"{a}{b}ly" for a in "bcdfghm" for b in "aeiou"], ["BUY", "!!!", "$$$", "click", "###", "now", "cheap"]
+    texts = [" ".join(r.choice(good if i % 4 else bad) for _ in range(r.randrange(5, 200))) for i in range(400)]
+    texts += [None, "", " ", texts[0], " ".join(good) * 2000]
+    rows = [(i, t, i % 7) for i, t in enumerate(texts)] + [(None, texts[1], 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, quality int").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 > 0)) for i in range(402)] + [(None, 1), (399, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    train = sorted(((hashlib.md5(str(i).encode()).hexdigest(), texts[i], y) for i, y in labels if i is not None and y is not None and texts[i] is not None and zlib.crc32(str(i).encode()) % 5), key=lambda x: x)
+    model = compression.fit([(t, y) for _, t, y in train])
+    # every labelled row's own words stand in one dictionary or the other
+    assert all(w.encode() in model.good for w in good) and all(w.encode() in model.bad for w in bad)
+    got = compression.op10(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+
+    def plain(text):
+        data, total = text.encode(), 0
+        for a in range(0, len(data), compression.BLOCK):
+            for raw, sign in ((model.bad, 1), (model.good, -1)):
+                total += sign * len(zstd.ZstdCompressor(level=3, dict_data=zstd.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False).compress(data[a : a + compression.BLOCK]))
+        return total / len(data)
+
+    # the curve's base follows the odds of all labelled rows, those without text included
+    odds = lambda ys: math.log(sum(ys) / (len(ys) - sum(ys)))
+    base = model.base + odds([y for i, y in labels if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5]) - odds([y for *_, y in train])
+    by_id = {r.doc_id: r for r in got}
+    for i in [*range(0, 400, 9), 400, 401, 402, 403, 404, None]:
+        x, text = by_id[i], texts[1] if i is None else texts[i]
+        want = model.prior if not text else 1 / (1 + math.exp(-(model.slope * plain(text) + base)))
+        assert x.score == pytest.approx(want, abs=1e-6) and x.predicted == int(x.score >= 0.3)
+        assert x.held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+    assert by_id[403].score == by_id[0].score
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert compression.op10(spark, str(tmp_path / "none")).count() == 0
+
+
 # --- context trees ---
 
 def brute_tree(texts, depth):
