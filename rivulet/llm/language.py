@@ -1,9 +1,11 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
-Each language has a model of order 4. The probabilities of all four-character sequences
-that any language has seen stand, for all languages, beside one sorted array of 64-bit
-hashes; what none has seen backs off through the same arrays of lower orders. A text goes
-to the language of the lowest cross-entropy per character.
+Each language has a model of order 4: by order, a sorted array of 64-bit hashes of the
+sequences it has seen, and their log probabilities beside it. What a language hasn't seen
+backs off through its arrays of lower orders. So the models grow with what each language
+has seen, not with languages times sequences. A text goes to the language of the lowest
+cross-entropy per character. What is usual for a language is measured by folds: each
+sampled text by a model that is made without the text's fold.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +23,10 @@ from pyspark.sql import types as T
 from rivulet.llm.common import crc_rest, map_slices, slices, table
 
 ORDER = 4
-#: Characters of sampled training text for each language, in expectation.
-FIT_CHARS = 2 << 20
-#: Of the sampled documents, so many in eight make the counts; the others calibrate.
-COUNTED = 6
+#: Characters of sampled training text for each language, and for all of them together, in expectation.
+FIT_CHARS, MOST_CHARS = 2 << 20, 32 << 20
+#: Parts of the sample; each is measured by the models of the others.
+FOLDS = 4
 #: Standard deviations above a language's usual cross-entropy from which a text is rejected, at least.
 LEAST_Z = 8.0
 SLICE = 1 << 20
@@ -34,13 +35,21 @@ EDGE, GAP = 0, 32
 
 @lru_cache(maxsize=1)
 def _folded() -> np.ndarray:
-    """For each code point its lower-case letter, 16 bits, or GAP for what is no letter."""
-    out = np.full(sys.maxunicode + 1, GAP, np.uint16)
-    for c in range(0x30000):
-        x = chr(c)
-        if x.isalpha():
-            low = x.lower()
-            out[c] = (ord(low[0]) & 0xFFFF) or 1
+    """For each code point its lower-case letter, 16 bits, or GAP for what is no letter.
+
+    Letters beyond 16 bits take the codes below that no letter has, in turn, so they are
+    never one with a letter of 16 bits; some of them share a code with each other.
+    """
+    lower = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(sys.maxunicode + 1)], np.int64)
+    out = np.full(len(lower), GAP, np.uint16)
+    near = (lower > 0) & (lower < 1 << 16)
+    out[near] = lower[near]
+    taken = np.zeros(1 << 16, bool)
+    taken[lower[near]] = True
+    free = np.flatnonzero(~taken)
+    free = free[free >= 0x80]
+    far = np.flatnonzero(lower >= 1 << 16)
+    out[far] = free[lower[far] % len(free)]
     return out
 
 
@@ -70,20 +79,27 @@ def grams(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass(frozen=True)
-class Model:
-    langs: tuple[str, ...]
-    #: By order, from ORDER down to 1: sorted hashes and log2 probabilities, a column a language.
+class Levels:
+    """One language's model, by order from ORDER down to 1."""
+    #: Sorted hashes and log2 probabilities.
     keys: tuple[np.ndarray, ...]
     logs: tuple[np.ndarray, ...]
-    #: By order, of contexts: sorted hashes and log2 of the weight of the lower order.
+    #: Of contexts: sorted hashes and log2 of the weight of the lower order.
     ctx_keys: tuple[np.ndarray, ...]
     ctx_logs: tuple[np.ndarray, ...]
-    floor: np.ndarray
-    #: Of cross-entropy: mean and variance between texts, variance a character; the cut.
+
+
+@dataclass(frozen=True)
+class Model:
+    langs: tuple[str, ...]
+    levels: tuple[Levels, ...]
+    #: log2 probability of a character below the lowest order.
+    floor: float
+    #: By language, of cross-entropy: its usual value, the variance between texts and a character, the cut.
     mean: np.ndarray
     between: np.ndarray
     within: np.ndarray
-    cut: float = LEAST_Z
+    cut: np.ndarray
     heat: float = 8.0
 
 
@@ -100,20 +116,20 @@ def _tail(x: np.ndarray, n: int) -> np.ndarray:
     return x & np.uint64((1 << (16 * n)) - 1)
 
 
-def log_probs(model: Model, x: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """log2 probability of each sequence's last character in each language."""
-    level = ORDER - order
+def log_probs(levels: Levels, floor: float, x: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """log2 probability of each sequence's last character in one language."""
     if order == 0:
-        return np.broadcast_to(model.floor, (len(x), len(model.langs)))
-    at, hit = _find(model.keys[level], x)
-    out = model.logs[level][at] if len(model.keys[level]) else np.zeros((len(x), len(model.langs)), np.float32)
-    miss = np.flatnonzero(~hit)
-    if len(miss):
-        y = x[miss]
-        lower = log_probs(model, _tail(y, order - 1), order - 1)
-        c, known = _find(model.ctx_keys[level], y >> np.uint64(16))
-        weight = model.ctx_logs[level][c] if len(model.ctx_keys[level]) else 0.0
-        out[miss] = lower + np.where(known[:, None], weight, 0.0)
+        return np.full(len(x), floor)
+    level = ORDER - order
+    at, hit = _find(levels.keys[level], x)
+    out = np.empty(len(x))
+    out[hit] = levels.logs[level][at[hit]]
+    y = x[~hit]
+    if len(y):
+        lower = log_probs(levels, floor, _tail(y, order - 1), order - 1)
+        c, known = _find(levels.ctx_keys[level], y >> np.uint64(16))
+        lower[known] += levels.ctx_logs[level][c[known]]
+        out[~hit] = lower
     return out
 
 
@@ -123,9 +139,9 @@ def cross_entropies(model: Model, array: pa.Array) -> tuple[np.ndarray, np.ndarr
     n = np.bincount(doc, minlength=len(array))
     cost = np.zeros((len(array), len(model.langs)))
     for a in range(0, len(key), SLICE):
-        p = log_probs(model, key[a : a + SLICE])
-        for j in range(len(model.langs)):
-            cost[:, j] -= np.bincount(doc[a : a + SLICE], weights=p[:, j], minlength=len(array))
+        distinct, place = np.unique(key[a : a + SLICE], return_inverse=True)
+        for j, levels in enumerate(model.levels):
+            cost[:, j] -= np.bincount(doc[a : a + SLICE], weights=log_probs(levels, model.floor, distinct)[place], minlength=len(array))
     return n, cost
 
 
@@ -138,101 +154,102 @@ def _kneser_ney(counts: list[tuple[np.ndarray, np.ndarray]], langs: tuple[str, .
             k, c = np.unique(_tail(levels[-1][0], order), return_counts=True)
             levels.append((k, c.astype(np.float64)))
         raw.append(levels)
-    table_keys = [np.unique(np.concatenate([r[i][0] for r in raw])) for i in range(ORDER)]
-    ctx_keys = [np.unique(k >> np.uint64(16)) for k in table_keys]
-    size = max(2, len(table_keys[-1]))
-    floor = np.full(len(langs), -np.log2(size + 1), np.float64)
-    logs: list = [None] * ORDER
-    ctx_logs: list = [None] * ORDER
-    for level in range(ORDER - 1, -1, -1):
-        probs = np.zeros((len(table_keys[level]), len(langs)))
-        weights = np.ones((len(ctx_keys[level]), len(langs)))
-        for j, levels in enumerate(raw):
+    floor = -float(np.log2(max(2, len(np.unique(np.concatenate([r[-1][0] for r in raw])))) + 1))
+    made = []
+    for levels in raw:
+        logs, ctx_keys, ctx_logs = [None] * ORDER, [None] * ORDER, [None] * ORDER
+        for level in range(ORDER - 1, -1, -1):
             keys, n = levels[level]
             once, twice = (n == 1).sum(), (n == 2).sum()
             discount = once / (once + 2 * twice) if once and twice else 0.5
             ctx, inv = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total, kinds = np.bincount(inv, weights=n), np.bincount(inv)
-            at = np.searchsorted(ctx_keys[level], ctx)
-            weights[at, j] = discount * kinds / total
-            place = np.searchsorted(table_keys[level], keys)
-            probs[place, j] = (n - discount) / total[inv]
-        of = np.searchsorted(ctx_keys[level], table_keys[level] >> np.uint64(16))
-        if level == ORDER - 1:
-            lower = np.broadcast_to(2**floor, probs.shape)
-        else:
-            lower = 2 ** logs[level + 1][np.searchsorted(table_keys[level + 1], _tail(table_keys[level], ORDER - level - 1))].astype(np.float64)
-        logs[level] = np.log2(probs + weights[of] * lower).astype(np.float32)
-        ctx_logs[level] = np.log2(weights).astype(np.float32)
+            total, kinds = np.bincount(inv, weights=n, minlength=len(ctx)), np.bincount(inv, minlength=len(ctx))
+            weights = discount * kinds / total
+            below = _tail(keys, ORDER - level - 1)
+            lower = np.full(len(keys), 2**floor) if level == ORDER - 1 else 2.0 ** logs[level + 1][np.searchsorted(levels[level + 1][0], below)]
+            logs[level] = np.log2((n - discount) / total[inv] + weights[inv] * lower)
+            ctx_keys[level], ctx_logs[level] = ctx, np.log2(weights)
+        small = lambda arrays: tuple(x.astype(np.float32) for x in arrays)
+        made.append(Levels(tuple(k for k, _ in levels), small(logs), tuple(ctx_keys), small(ctx_logs)))
     zero = np.zeros(len(langs))
-    return Model(langs, tuple(table_keys), tuple(logs), tuple(ctx_keys), tuple(ctx_logs), floor, zero, zero, zero)
+    return Model(langs, tuple(made), floor, zero, zero, zero, zero + LEAST_Z)
 
 
 def _counted(df: DataFrame) -> DataFrame:
-    """(lang, text) -> lang, gram, n: counted on the executors, summed over all."""
+    """(lang: a number, fold, text) -> lang, fold, gram, n: counted on the executors, summed over all."""
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                langs = pc.dictionary_encode(part.column(0))
-                key, doc = grams(part.column(1))
-                of = langs.indices.to_numpy(zero_copy_only=False)[doc]
-                for j, lang in enumerate(langs.dictionary.to_pylist()):
-                    k, n = np.unique(key[of == j], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+                of = part.column(0).to_numpy() * FOLDS + part.column(1).to_numpy()
+                key, doc = grams(part.column(2))
+                for j in np.unique(of):
+                    k, n = np.unique(key[of[doc] == j], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), x, np.int32)) for x in divmod(j, FOLDS)] + [pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "fold", "gram", "n"])
 
-    return df.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return df.mapInArrow(run, "lang int, fold int, gram long, n long").groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
-def _costs(df: DataFrame, text: str, model: Model, keep: list[str]) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("__n", T.LongType()), T.StructField("__cost", T.ArrayType(T.DoubleType())), T.StructField("__letters", T.BooleanType())]
+def _measured(df: DataFrame, folds: list[Model]) -> DataFrame:
+    """(lang, fold, text) -> lang, n and cost in each language, by the model without the text's fold; texts without a letter are left out."""
+    shared = df.sparkSession.sparkContext.broadcast(folds)
 
-    def make():
-        m = shared.value
-
-        def fn(array: pa.Array) -> list:
-            n, cost = cross_entropies(m, array)
-            return [n, list(cost), [any(c.isalpha() for c in (t or "")) for t in array.to_pylist()]]
-
-        return fn
+    def run(batches):
+        models = shared.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fold = part.column(1).to_numpy()
+                for f in np.unique(fold):
+                    some = part.filter(pa.array(fold == f))
+                    n, cost = cross_entropies(models[f], some.column(2))
+                    keep = n > 0
+                    yield pa.RecordBatch.from_arrays([some.column(0).filter(pa.array(keep)), pa.array(n[keep]), pa.array(list(cost[keep]), pa.list_(pa.float64()))], names=["lang", "n", "cost"])
 
-    return map_slices(df, text, fields, make, keep, limit=SLICE)
+    return df.mapInArrow(run, "lang int, n long, cost array<double>")
 
 
-def fit(df: DataFrame, doc_id: str, text: str, lang: str, chars: int = FIT_CHARS) -> Model | None:
-    """Models of all languages in df, from a sample by a hash of the id: chars characters a language in expectation.
+def fit(df: DataFrame, doc_id: str, text: str, lang: str, chars: int = FIT_CHARS, most: int = MOST_CHARS) -> Model | None:
+    """Models of all languages in df, from a sample by a hash of the id: chars characters a language in expectation, most for all together.
 
-    Rows without text or language take no part; None if no row is left. The counts are
-    made on the executors; what comes to the driver is one row a distinct sequence.
+    Rows without text or language take no part; None if no row is left. A language of few
+    texts is fitted as any other: all its texts count, and calibration by folds never
+    measures a text by itself. The counts are made on the executors; what comes to the
+    driver is one row a distinct sequence, language and fold, so no more than the sample.
     """
     known = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull() & (F.length(f"`{text}`") > 0)).select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     totals = {r[0]: r[1] for r in known.groupBy("lang").agg(F.sum(F.length("text"))).collect()}
     if not totals:
         return None
     langs = tuple(sorted(totals))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 24)) / F.lit(float(1 << 24))
-    share = F.coalesce(*(F.when(F.col("lang") == x, F.lit(min(1.0, chars / max(totals[x], 1)))) for x in langs))
-    sample = known.where(draw < share)
-    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(8))
-    few = sample.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    whole = any(r["n"] < 40 for r in few) or len(few) < len(langs)
-    rows = _counted((sample if whole else sample.where(part < COUNTED)).select("lang", "text")).toPandas()
-    counts = []
-    for x in langs:
-        own = rows[rows.lang == x]
-        k, n = own.gram.to_numpy(np.int64).view(np.uint64), own.n.to_numpy(np.int64)
-        o = np.argsort(k)
-        counts.append((k[o], n[o]))
-    model = _kneser_ney(counts, langs)
-    return _calibrated(model, _costs(sample if whole else sample.where(part >= COUNTED), "text", model, ["lang"]).where("__n > 0").toPandas())
+    each = min(chars, most / len(langs))
+    # null and repeated ids: the length tells them apart, so that they aren't drawn all or none
+    draw = F.pmod(F.xxhash64(F.lit("language"), "id", F.length("text")), F.lit(1 << 24)) / F.lit(float(1 << 24))
+    number = F.create_map(*(F.lit(v) for j, x in enumerate(langs) for v in (x, j)))
+    share = F.element_at(F.array(*(F.lit(min(1.0, each / totals[x])) for x in langs)), F.col("lang") + 1)
+    fold = F.pmod(F.xxhash64(F.lit("part"), "id", F.length("text")), F.lit(FOLDS)).cast("int")
+    sample = known.select(number[F.col("lang")].alias("lang"), fold.alias("fold"), "text", draw.alias("draw")).where(F.col("draw") < share).drop("draw")
+    rows = _counted(sample).toArrow()
+    of, part, gram, n = (rows.column(c).to_numpy() for c in ("lang", "fold", "gram", "n"))
+    order = np.lexsort((gram.view(np.uint64), of))
+    of, part, gram, n = of[order], part[order], gram[order].view(np.uint64), n[order]
+    cut = np.searchsorted(of, np.arange(len(langs) + 1))
+
+    def model(without: int) -> Model:
+        counts = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            keep = part[a:b] != without
+            k, c = gram[a:b][keep], n[a:b][keep]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(k)), bool), k[1:] != k[:-1])))
+            counts.append((k[first], np.add.reduceat(c, first) if len(first) else c))
+        return _kneser_ney(counts, langs)
+
+    return _calibrated(model(-1), _measured(sample, [model(f) for f in range(FOLDS)]).toPandas())
 
 
 def _calibrated(model: Model, seen) -> Model:
-    """Cross-entropy's usual spread, the cut above it and the heat of the scores, from labelled texts."""
+    """Cross-entropy's usual spread, the cut above it and the heat of the scores, from labelled texts. A language's cut follows its own texts only."""
     if not len(seen):
         return model
-    of = np.array([model.langs.index(x) for x in seen.lang])
-    n, cost = seen["__n"].to_numpy(float), np.stack(seen["__cost"].to_numpy())
+    of, n, cost = seen["lang"].to_numpy(), seen["n"].to_numpy(float), np.stack(seen["cost"].to_numpy())
     h = cost / n[:, None]
     own = h[np.arange(len(h)), of]
     mean = np.array([np.median(own[of == j]) if (of == j).any() else np.median(own) for j in range(len(model.langs))])
@@ -241,14 +258,14 @@ def _calibrated(model: Model, seen) -> Model:
     between = np.full(len(model.langs), max(1e-4, (1.4826 * np.median(off[long])) ** 2))
     within = np.full(len(model.langs), 9.0)  # squared bits a character, about the spread of single costs
     z = (own - mean[of]) / np.sqrt(between[of] + within[of] / n)
-    cut = max(LEAST_Z, 1.25 * float(np.quantile(z, 0.999)))
+    cut = np.array([max(LEAST_Z, 1.25 * float(np.quantile(z[of == j], 0.999))) if (of == j).any() else LEAST_Z for j in range(len(model.langs))])
     best = (np.inf, 1.0)
     for heat in (1.0, 2.0, 4.0, 8.0, 16.0, 32.0):
         s = -heat * h
         s -= s.max(axis=1, keepdims=True)
         loss = -(s[np.arange(len(h)), of] - np.log(np.exp(s).sum(axis=1))).mean()
         best = min(best, (loss, heat))
-    return Model(model.langs, model.keys, model.logs, model.ctx_keys, model.ctx_logs, model.floor, mean, between, within, cut, best[1])
+    return Model(model.langs, model.levels, model.floor, mean, between, within, cut, best[1])
 
 
 def identify(df: DataFrame, text: str, model: Model | None, keep: list[str] | None = None) -> DataFrame:
@@ -257,7 +274,9 @@ def identify(df: DataFrame, text: str, model: Model | None, keep: list[str] | No
     Null text, or a text without a letter: lang_pred und, score 0, rejected. Other texts
     always get a learned language; rejected tells that the cross-entropy lies further
     above that language's than the calibrated cut. Ties go to the first language by code
-    point. Without a model every text is und. Equal texts get equal results.
+    point. Without a model every text is und. Equal texts get equal results. Long texts
+    are read whole; columns with these names are replaced, others kept; an empty table
+    stays empty.
     """
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -279,7 +298,7 @@ def identify(df: DataFrame, text: str, model: Model | None, keep: list[str] | No
                 [m.langs[b] if ok else "und" for b, ok in zip(best, found, strict=True)],
                 [float(s) if ok else 0.0 for s, ok in zip(score, found, strict=True)],
                 [float(x) if ok else None for x, ok in zip(low, found, strict=True)],
-                [not ok or bool(x > m.cut) for x, ok in zip(z, found, strict=True)],
+                [not ok or bool(x) for x, ok in zip(z > m.cut[best], found, strict=True)],
             ]
 
         return fn

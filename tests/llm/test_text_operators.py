@@ -190,11 +190,10 @@ def test_kneser_ney_as_by_the_recursion():
     size = len({c for p, n in models.values() for c in n[1]})
     probe = "there schon qx the"
     key, _ = language.grams(pa.array([probe]))
-    got = language.log_probs(model, key)
     line = "\0\0\0" + probe
     for j, lang in enumerate(sorted(texts)):
         want = [math.log2(models[lang][0](line[i - 3 : i + 1], 4, size)) for i in range(3, len(line))]
-        assert got[:, j] == pytest.approx(want, abs=1e-3)
+        assert language.log_probs(model.levels[j], model.floor, key) == pytest.approx(want, abs=1e-3)
 
 
 def test_languages_are_told(spark, languages, odd):
@@ -210,6 +209,59 @@ def test_languages_are_told(spark, languages, odd):
     assert {r.lang_pred for r in language.identify(odd, "text", None).collect()} == {"und"}
 
 
+def test_language_query_as_by_the_recursion(spark, languages, tmp_path):
+    """op8's prediction is the least cost by the textbook recursion, with a language of three texts, null and repeated rows."""
+    r = random.Random(18)
+    few = [(1000 + i, " ".join(r.choice(["szcz", "łódź", "wie", "przy", "ść"]) + r.choice(["ego", "ych", "ami"]) for _ in range(50)), "pl") for i in range(6)]
+    odd = [(2000, None, "en"), (2001, "", "de"), (2002, "123 \U0001F600", "fr"), (2003, "\U00010400\U00020000 \U00031350\u4e2d", None), (None, "there is an edge on the hill", "en"), (5, "eau tion aux", None)]
+    rows = [tuple(x) for x in languages.collect()] + few + odd
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = language.op8(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    def folded(t):
+        out = ""
+        for c in t:
+            c = c.lower()[0] if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out += c
+        return out
+
+    models, langs = {}, sorted({x[2] for x in rows if x[2]})
+    for lang in langs:
+        models[lang] = brute_kneser_ney([folded(t) for d, t, la in rows if la == lang and t and (d is None or zlib.crc32(str(d).encode()) % 5)])
+    size = len({g for _, n in models.values() for g in n[1]})
+    by_id = {x.doc_id: x for x in got}
+    wrong = 0
+    for d, text, lang in [*r.sample(rows[:360], 25), *few, *odd]:
+        x = by_id[d]
+        assert 0 <= x.score <= 1
+        if not any(c.isalpha() for c in text or ""):
+            assert (x.lang_pred, x.score, x.rejected) == ("und", 0.0, True)
+            continue
+        line = "\0\0\0" + folded(text)
+        cost = {la: -sum(math.log2(models[la][0](line[i - 3 : i + 1], 4, size)) for i in range(3, len(line))) / (len(line) - 3) for la in langs}
+        if max(map(ord, text)) < 1 << 16 and list(r_[0] for r_ in rows).count(d) == 1:
+            assert x.lang_pred == min(langs, key=cost.get) and x.cross_entropy == pytest.approx(min(cost.values()), abs=2e-3)
+        wrong += lang is not None and d is not None and x.lang_pred != lang
+    assert wrong <= 2 and all(by_id[d].lang_pred == "pl" and not by_id[d].rejected for d, *_ in few)
+    # letters beyond 16 bits are letters, and are none of 16 bits
+    assert by_id[2003].lang_pred != "und"
+    spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert language.op8(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_rare_language_moves_no_other(spark, languages):
+    """One text of another language leaves the cuts and usual values of the rest as they are, nearly."""
+    with_one = languages.union(spark.createDataFrame([(9999, "szcz łódź przy " * 9, "pl")], languages.schema))
+    a, b = (language.fit(x, "doc_id", "text", "lang") for x in (languages, with_one))
+    for j, lang in enumerate(a.langs):
+        k = b.langs.index(lang)
+        assert b.mean[k] == pytest.approx(a.mean[j], abs=0.02) and b.cut[k] == pytest.approx(a.cut[j], rel=0.05)
+    low = language._folded()
+    letters = [c for c in range(0x110000) if chr(c).isalpha()]
+    assert all(low[c] != language.GAP for c in letters) and not set(low[[c for c in letters if ord(chr(c).lower()[0]) > 0xFFFF]]) & set(low[[c for c in letters if ord(chr(c).lower()[0]) <= 0xFFFF]])
+
+
 # --- classifier ---
 
 def test_classifier(spark, odd):
