@@ -1,32 +1,32 @@
 """Quality rules: word and line counts, and how far a text's histograms are from its language's.
 
 Character classes and common words of a text are compared, by Jensen-Shannon distance,
-with the mean histograms of each language in the corpus. Only DataFrame functions run.
+with the mean histograms of its language in the corpus. The common words of a language
+are those that most of its texts have, so every language of the corpus has a reference.
+Only DataFrame functions run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.llm.common import materialise, table
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SYMBOLS = r"#*$%&|<>"
-#: Common words of each language; five letters at most, lower case. A parameter.
-COMMON = {
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "was", "on"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-}
+#: Common words of a language: so many, of so many letters at most.
+COMMON_WORDS = 12
 LONGEST = 5
 #: What counts as a letter of a lower-case text here: a class that Java matches fast.
 LETTER = r"a-z\x80-\uFFFF"
 #: Words that a text needs before its histograms count.
 MIN_WORDS = 50
-#: Largest distances, to the nearest language, of a text that is kept.
+#: Largest distances from its language of a text that is kept; or, where more, so many times the median of the language's own texts.
 MOST_CLASS, MOST_COMMON = 0.28, 0.33
+TIMES_CLASS, TIMES_COMMON = 2.5, 3.0
+#: Of distances, for their median: steps in a histogram, so that it is exact and small at any size.
+STEPS = 100
 MIN_BASE_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 
 
@@ -34,15 +34,31 @@ def _left(text: Column, pattern: str) -> Column:
     return F.length(F.regexp_replace(text, F.lit(pattern), F.lit(""))).cast("long")
 
 
-def with_histograms(df: DataFrame, text: str, common: dict[str, list[str]] = COMMON) -> DataFrame:
-    """Adds __t (text or ''), __classes (characters by class) and __common (times of each common word)."""
+def _short_words(text: Column) -> Column:
+    """A text's lower-case words of LONGEST letters at most, and empty strings at its ends."""
+    return F.split(F.regexp_replace(F.lower(text), F.lit(rf"[^{LETTER}]+|[{LETTER}]{{{LONGEST + 1},}}"), F.lit(" ")), " +")
+
+
+def common_words(df: DataFrame, text: str, lang: str, count: int = COMMON_WORDS) -> DataFrame:
+    """__lang, __words: the short words that most texts of each language have, the most common first; ties by code point.
+
+    All rows with a text and a language count, each word once a text. One row a language.
+    """
+    x = df.where(F.col(f"`{text}`").isNotNull() & F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").alias("__lang"), F.explode(F.array_distinct(_short_words(F.col(f"`{text}`")))).alias("word"))
+    n = x.where("word <> ''").groupBy("__lang", "word").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("__lang").orderBy(F.desc("n"), "word"))
+    top = n.withColumn("place", place).where(F.col("place") <= count)
+    return top.groupBy("__lang").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]).alias("__words"))
+
+
+def with_histograms(df: DataFrame, text: str, count: int = COMMON_WORDS) -> DataFrame:
+    """Adds __t (text or ''), __classes (characters by class) and __common (times of each word in column __words, which may be null)."""
     t = F.col("__t")
-    words = sorted({w for ws in common.values() for w in ws})
     df = df.withColumn("__t", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     # one pass takes the lower-case letters away; the other classes are counted in what is left
     rest = F.col("__rest")
     df = df.withColumn("__rest", F.regexp_replace(t, F.lit(rf"[{LETTER}]+"), F.lit("")))
-    df = df.withColumn("__short", F.split(F.regexp_replace(F.lower(t), F.lit(rf"[^{LETTER}]+|[{LETTER}]{{{LONGEST + 1},}}"), F.lit(" ")), " +"))
+    df = df.withColumn("__short", _short_words(t))
     df = df.withColumns({
         "__symbols": _left(rest, rf"[^{SYMBOLS}]+"),
         "__word_chars": F.length(t).cast("long") - _left(rest, r"[^\x20\x09-\x0D]+"),
@@ -55,19 +71,14 @@ def with_histograms(df: DataFrame, text: str, common: dict[str, list[str]] = COM
     letters = F.greatest(F.lit(0), F.col("__word_chars") - sum((F.col(c) for c in known[1:]), F.lit(0)))
     beyond = F.octet_length(t).cast("long") - n
     # a text's common words as a string of one sign each; the signs are counted by taking them out
-    signs = [chr(48 + i) for i in range(len(words))]
-    line, all_signs, all_words = F.col("__line"), F.array(*map(F.lit, signs)), F.array(*map(F.lit, words))
-    df = df.withColumn("__line", F.array_join(F.transform("__short", lambda w: F.get(all_signs, F.array_position(all_words, w).cast("int") - 1)), ""))
+    signs = [chr(48 + i) for i in range(count)]
+    line, all_signs = F.col("__line"), F.array(*map(F.lit, signs))
+    df = df.withColumn("__line", F.array_join(F.transform("__short", lambda w: F.get(all_signs, F.array_position(F.col("__words"), w).cast("int") - 1)), ""))
     df = df.withColumns({
         "__classes": F.array(n - F.col("__word_chars"), *(F.col(c) for c in known[1:]), letters, beyond),
         "__common": F.array(*((F.length(line) - F.length(F.replace(line, F.lit(x), F.lit("")))).cast("long") for x in signs)),
     })
-    return df.drop("__digits", "__stops", "__capitals", "__short", "__line")
-
-
-def _common_of(lang: str, common: dict[str, list[str]]) -> tuple[list[int], list[str]]:
-    words = sorted({w for ws in common.values() for w in ws})
-    return [words.index(w) for w in common[lang]], words
+    return df.drop("__digits", "__stops", "__capitals", "__short", "__line", "__words")
 
 
 def _share(counts: Column, total: Column) -> Column:
@@ -78,35 +89,34 @@ def _sum(array: Column) -> Column:
     return F.aggregate(array, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
 
-def references(measured: DataFrame, lang: str, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean class and common-word shares of each language of common, over all its texts of min_words at least.
+def _shares(count: int = COMMON_WORDS) -> dict[str, Column]:
+    """A measured text's two histograms as shares; the words' last place is for all other words."""
+    words = _share(F.col("__common"), F.greatest(F.lit(1), F.col("n_words")))
+    return {"__p_class": _share(F.col("__classes"), F.greatest(F.lit(1.0), _sum(F.col("__classes")))), "__p_word": F.concat(words, F.array(F.greatest(F.lit(0.0), 1 - _sum(words))))}
+
+
+def references(measured: DataFrame, lang: str, min_words: int = MIN_WORDS, count: int = COMMON_WORDS) -> DataFrame:
+    """__lang, __q_class, __q_word: mean shares of each language, over all its texts of min_words at least.
 
-    measured: what measure() returns, with a language column. One row of sums a language
-    comes to the driver. A language without texts is left out; rows with a null language
-    take no part.
+    measured: what measure() returns, with a language column. A language without such
+    texts has no row; rows with a null language take no part.
     """
-    h = measured.where(F.col(f"`{lang}`").isin(list(common)) & (F.col("n_words") >= min_words)).withColumn("__k", F.greatest(F.lit(1.0), _sum(F.col("__classes"))))
-    n_classes, words = 7, _common_of(next(iter(common)), common)[1]
-    sums = [F.sum(F.col("__classes")[i] / F.col("__k")).alias(f"c{i}") for i in range(n_classes)]
-    sums += [F.sum(F.col("__common")[i] / F.col("n_words")).alias(f"w{i}") for i in range(len(words))]
-    out = {}
-    for row in h.groupBy(F.col(f"`{lang}`").alias("__lang")).agg(F.count("*").alias("n"), *sums).collect():
-        classes = [row[f"c{i}"] / row["n"] for i in range(n_classes)]
-        whole = sum(classes) or 1.0
-        at, _ = _common_of(row["__lang"], common)
-        shares = [row[f"w{i}"] / row["n"] for i in at]
-        out[row["__lang"]] = ([c / whole for c in classes], [*shares, max(0.0, 1 - sum(shares))])
-    return dict(sorted(out.items()))
-
-
-def _distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of an array column of shares from fixed ones."""
+    x = measured.where(F.col(f"`{lang}`").isNotNull() & (F.col("n_words") >= min_words)).select(F.col(f"`{lang}`").alias("__lang"), *(c.alias(n) for n, c in _shares(count).items()))
+    means = [F.avg(F.col("__p_class")[i]).alias(f"c{i}") for i in range(CLASSES)] + [F.avg(F.col("__p_word")[i]).alias(f"w{i}") for i in range(count)]
+    x = x.groupBy("__lang").agg(*means)
+    classes, words = F.array(*(F.col(f"c{i}") for i in range(CLASSES))), F.array(*(F.col(f"w{i}") for i in range(count)))
+    whole = _sum(classes)
+    return x.select("__lang", F.when(whole > 0, F.transform(classes, lambda c: c / whole)).otherwise(classes).alias("__q_class"), F.concat(words, F.array(F.greatest(F.lit(0.0), 1 - _sum(words)))).alias("__q_word"))
+
+
+def distance(p: Column, q: Column) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of two arrays of shares."""
     def term(x: Column, y: Column) -> Column:
         m = (x + y) / 2
         a = F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
         return a + F.when(y > 0, y * F.log2(y / m)).otherwise(0.0)
 
-    return F.sqrt(F.greatest(F.lit(0.0), _sum(F.zip_with(p, F.array(*(F.lit(float(x)) for x in q)), term)) / 2))
+    return F.sqrt(F.greatest(F.lit(0.0), _sum(F.zip_with(p, q, term)) / 2))
 
 
 def with_base_counts(df: DataFrame) -> DataFrame:
@@ -131,60 +141,79 @@ def with_base_counts(df: DataFrame) -> DataFrame:
     return df.withColumns({"n_repeat_words": repeated.cast("long"), "word_chars": F.col("__word_chars"), "n_symbols": F.col("__symbols")}).drop("__places")
 
 
+#: Character classes of a histogram.
+CLASSES = 7
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 VERDICT = ["base_failed", "class_distance", "common_distance", "kept"]
 
 
-def measure(df: DataFrame, text: str, keep: list[str], common: dict[str, list[str]] = COMMON) -> DataFrame:
-    """keep's columns, the base counts and two arrays of histogram counts. Null text: empty.
+def measure(df: DataFrame, text: str, lang: str, keep: list[str], words: DataFrame) -> DataFrame:
+    """keep's columns, the language, the base counts and two arrays of histogram counts. Null text: empty.
 
-    A column of keep with a new column's name is replaced.
+    words: common_words(). A column of keep with a new column's name is replaced.
     """
-    keep = [c for c in keep if c not in BASE]
-    x = df.select(F.col(f"`{text}`").alias("__in"), *(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(keep)))
-    x = with_base_counts(with_histograms(x, "__in", common))
+    keep = [c for c in dict.fromkeys([*keep, lang]) if c not in BASE]
+    x = df.select(F.col(f"`{text}`").alias("__in"), F.col(f"`{lang}`").alias("__own"), *(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(keep)))
+    x = x.join(words, F.col("__own") == F.col("__lang"), "left").drop("__lang", "__own")
+    x = with_base_counts(with_histograms(x, "__in"))
     return x.select(*(F.col(f"__held{i}").alias(c) for i, c in enumerate(keep)), *BASE, "__classes", "__common")
 
 
-def judge(measured: DataFrame, refs: dict, common: dict[str, list[str]] = COMMON, min_words: int = MIN_WORDS, most_class: float = MOST_CLASS, most_common: float = MOST_COMMON) -> DataFrame:
+def with_distances(measured: DataFrame, lang: str, refs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """measured without its arrays, and class_distance and common_distance from its language's reference.
+
+    They are null for a text under min_words, and where its language has no reference or is null.
+    """
+    held = [c for c in measured.columns if c not in (*VERDICT, "__classes", "__common")]
+    x = measured.join(refs, F.col(f"`{lang}`") == F.col("__lang"), "left")
+    p, enough = _shares(), F.col("n_words") >= min_words
+    x = x.select(*(F.col(f"`{c}`") for c in held), *(F.when(enough, distance(p[f"__p_{k}"], F.col(f"__q_{k}"))).alias(n) for k, n in (("class", "class_distance"), ("word", "common_distance"))))
+    return x
+
+
+def cuts(judged: DataFrame, lang: str) -> DataFrame:
+    """__lang, class_cut, common_cut: by the median of the distances of each language's own texts, to a step of the histogram above."""
+    out = None
+    for name, cut, times in (("class_distance", "class_cut", TIMES_CLASS), ("common_distance", "common_cut", TIMES_COMMON)):
+        steps = judged.where(F.col(name).isNotNull()).groupBy(F.col(f"`{lang}`").alias("__lang"), F.floor(F.col(name) * STEPS).alias("step")).agg(F.count("*").alias("n"))
+        of = Window.partitionBy("__lang")
+        upto = F.sum("n").over(of.orderBy("step"))
+        half = steps.withColumn("half", 2 * upto >= F.sum("n").over(of)).where("half").groupBy("__lang").agg((F.min("step") + 1).alias("step"))
+        made = half.select("__lang", (F.col("step") * times / STEPS).alias(cut))
+        out = made if out is None else out.join(made, "__lang")
+    return out
+
+
+def judge(measured: DataFrame, lang: str, refs: DataFrame, min_words: int = MIN_WORDS, most_class: float = MOST_CLASS, most_common: float = MOST_COMMON) -> DataFrame:
     """measured's columns without its arrays, and base_failed, class_distance, common_distance, kept.
 
     Null and empty texts have no words: base_failed. A text under min_words is judged by
-    the base rules alone (distances null), as is every text when refs is empty. Otherwise
-    the smallest distance to any language counts, of either histogram. Rows are judged one
-    by one: repeated rows alike, none is lost; an empty table stays empty.
+    the base rules alone (distances null), as is one whose language is null or has no
+    reference. Otherwise both distances count, against the largest that are allowed or
+    the language's own cuts, whichever is more. Rows are judged one by one: repeated rows
+    alike, none is lost; an empty table stays empty.
     """
-    held = [c for c in measured.columns if c not in (*VERDICT, "__classes", "__common")]
-    x = measured.select(*(F.col(f"`{c}`").alias(f"__held{i}") for i, c in enumerate(held)), "__classes", "__common", F.col("n_words").alias("__n"), F.col("n_repeat_words").alias("__repeats"))
-    x = x.withColumn("__k", F.greatest(F.lit(1.0), _sum(F.col("__classes"))))
-    x = x.withColumn("__shares", _share(F.col("__classes"), F.col("__k")))
-    by_class, by_word = [], []
-    for i, (lang, (classes, shares)) in enumerate(refs.items()):
-        at, _ = _common_of(lang, common)
-        x = x.withColumn(f"__p{i}", F.array(*(F.col("__common")[j] / F.greatest(F.lit(1), F.col("__n")) for j in at)))
-        own = F.concat(F.col(f"__p{i}"), F.array(F.greatest(F.lit(0.0), 1 - _sum(F.col(f"__p{i}")))))
-        by_class.append(_distance(F.col("__shares"), classes))
-        by_word.append(_distance(own, shares))
-    enough = F.col("__n") >= min_words
-    least = lambda cols: F.when(enough, F.least(*cols) if len(cols) > 1 else cols[0]) if cols else F.lit(None).cast("double")
-    x = x.withColumns({
-        "class_distance": least(by_class),
-        "common_distance": least(by_word),
-        "base_failed": (F.col("__n") < MIN_BASE_WORDS) | (100 * F.col("__repeats") > MOST_REPEATED_PERCENT * F.col("__n")),
-    })
-    near = F.coalesce(F.col("class_distance") <= most_class, F.lit(True)) & F.coalesce(F.col("common_distance") <= most_common, F.lit(True))
-    x = x.withColumn("kept", ~F.col("base_failed") & near)
-    return x.select(*(F.col(f"__held{i}").alias(c) for i, c in enumerate(held)), *VERDICT)
+    x = with_distances(measured, lang, refs, min_words)
+    held = x.columns
+    x = x.join(materialise(cuts(x, lang), "cuts"), F.col(f"`{lang}`") == F.col("__lang"), "left")
+    near = [F.coalesce(F.col(d) <= F.greatest(F.lit(most), F.col(c)), F.lit(True)) for d, c, most in (("class_distance", "class_cut", most_class), ("common_distance", "common_cut", most_common))]
+    failed = (F.col("n_words") < MIN_BASE_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
+    return x.select(*(F.col(f"`{c}`") for c in held), failed.alias("base_failed"), (~failed & near[0] & near[1]).alias("kept"))
 
 
 def quality_rules(df: DataFrame, text: str, lang: str, keep: list[str], **limits) -> DataFrame:
     """keep's columns, the base counts and the verdict, by references from df itself.
 
-    Texts are measured once: what the counts and references need is written, with keep.
+    Texts are read twice: for the languages' common words, and to be measured. What the
+    counts and references need is written, with keep. Words, references and cuts are a row
+    a language, and are joined, so neither the driver nor a task holds them all. Columns
+    of keep with a result's name are replaced.
     """
-    measured = materialise(measure(df, text, list(dict.fromkeys([*keep, lang]))), "measured")
-    out = judge(measured, references(measured, lang), **limits)
-    return out.select(*[c for c in keep if c not in (*BASE, *VERDICT)], *BASE, *VERDICT)
+    words = materialise(common_words(df, text, lang), "words")
+    keep = [c for c in keep if c not in (*BASE, *VERDICT)]
+    measured = materialise(measure(df, text, lang, keep, words), "measured")
+    out = judge(measured, lang, materialise(references(measured, lang), "references"), **limits)
+    return out.select(*(F.col(f"`{c}`") for c in keep), *BASE, *VERDICT)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
@@ -192,10 +221,6 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *BASE, "base_failed", "kept")
 
 
-def _values(common: dict[str, list[str]]) -> str:
-    return ", ".join(f"('{lang}', '{w}')" for lang, ws in common.items() for w in ws)
-
-
 OP6_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -221,29 +246,38 @@ WITH d AS (
 ), class_p AS (
   SELECT rid, lang, n_words, k, x / greatest(1, sum(x) OVER (PARTITION BY rid)) AS p FROM classes
 ), class_q AS (
-  SELECT lang, k, q / sum(q) OVER (PARTITION BY lang) AS q FROM (SELECT lang, k, avg(p) AS q FROM class_p WHERE n_words >= {MIN_WORDS} AND lang IN ({', '.join(f"'{x}'" for x in COMMON)}) GROUP BY lang, k)
+  SELECT lang, k, q / greatest(1e-300, sum(q) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, k, avg(p) AS q FROM class_p WHERE n_words >= {MIN_WORDS} AND lang IS NOT NULL GROUP BY lang, k)
+), words AS (
+  SELECT rid, lang, unnest(short) AS word FROM c WHERE lang IS NOT NULL
 ), common AS (
-  SELECT * FROM (VALUES {_values(COMMON)}) AS v(lang, word)
+  SELECT lang, word FROM (
+    SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS place FROM (SELECT DISTINCT rid, lang, word FROM words WHERE word <> '') GROUP BY lang, word
+  ) WHERE place <= {COMMON_WORDS}
 ), found AS (
-  SELECT rid, word, count(*) AS times FROM (SELECT rid, unnest(short) AS word FROM c) WHERE word IN (SELECT word FROM common) GROUP BY rid, word
+  SELECT rid, word, count(*) AS times FROM words JOIN common USING (lang, word) GROUP BY rid, word
 ), word_p AS (
-  SELECT c.rid, c.lang AS own, c.n_words, m.lang, m.word, coalesce(f.times, 0) / greatest(1, c.n_words) AS p
-  FROM c CROSS JOIN common m LEFT JOIN found f ON f.rid = c.rid AND f.word = m.word
+  SELECT c.rid, c.lang, c.n_words, m.word, coalesce(f.times, 0) / greatest(1, c.n_words) AS p
+  FROM c JOIN common m ON m.lang = c.lang LEFT JOIN found f ON f.rid = c.rid AND f.word = m.word
 ), word_q AS (
-  SELECT lang, word, avg(p) AS q FROM word_p WHERE own = lang AND n_words >= {MIN_WORDS} GROUP BY lang, word
+  SELECT lang, word, avg(p) AS q FROM word_p WHERE n_words >= {MIN_WORDS} GROUP BY lang, word
 ), pairs AS (
-  SELECT 'class' AS kind, p.rid, q.lang, p.p, q.q FROM class_p p JOIN class_q q USING (k)
-  UNION ALL SELECT 'word', p.rid, p.lang, p.p, q.q FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word
-  UNION ALL SELECT 'word', p.rid, p.lang, greatest(0, 1 - sum(p.p)), greatest(0, 1 - sum(q.q)) FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word GROUP BY p.rid, p.lang
+  SELECT 'class' AS kind, p.rid, p.lang, p.p, q.q FROM class_p p JOIN class_q q ON p.lang = q.lang AND p.k = q.k WHERE n_words >= {MIN_WORDS}
+  UNION ALL SELECT 'word', p.rid, p.lang, p.p, q.q FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word WHERE n_words >= {MIN_WORDS}
+  UNION ALL SELECT 'word', p.rid, p.lang, greatest(0, 1 - sum(p.p)), greatest(0, 1 - sum(q.q)) FROM word_p p JOIN word_q q ON p.lang = q.lang AND p.word = q.word WHERE n_words >= {MIN_WORDS} GROUP BY p.rid, p.lang
 ), distances AS (
   SELECT kind, rid, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2)) AS distance
   FROM pairs GROUP BY kind, rid, lang
-), nearest AS (
-  SELECT rid, min(distance) FILTER (WHERE kind = 'class') AS class_distance, min(distance) FILTER (WHERE kind = 'word') AS common_distance FROM distances GROUP BY rid
+), steps AS (
+  SELECT kind, lang, floor(distance * {STEPS}) AS step, count(*) AS n FROM distances GROUP BY ALL
+), halves AS (
+  SELECT kind, lang, min(step) + 1 AS step FROM (SELECT *, 2 * sum(n) OVER (PARTITION BY kind, lang ORDER BY step) >= sum(n) OVER (PARTITION BY kind, lang) AS half FROM steps) WHERE half GROUP BY kind, lang
+), far AS (
+  SELECT DISTINCT rid FROM distances JOIN halves USING (kind, lang)
+  WHERE distance > CASE kind WHEN 'class' THEN greatest({MOST_CLASS}, step * {TIMES_CLASS} / {STEPS}) ELSE greatest({MOST_COMMON}, step * {TIMES_COMMON} / {STEPS}) END
 ), judged AS (
   SELECT c.*, coalesce(v.n_repeat_words, 0) AS n_repeat_words, c.n_words < {MIN_BASE_WORDS} OR 100 * coalesce(v.n_repeat_words, 0) > {MOST_REPEATED_PERCENT} * c.n_words AS base_failed,
-    c.n_words < {MIN_WORDS} OR (coalesce(class_distance <= {MOST_CLASS}, true) AND coalesce(common_distance <= {MOST_COMMON}, true)) AS near
-  FROM c LEFT JOIN covered v USING (rid) LEFT JOIN nearest USING (rid)
+    far.rid IS NULL AS near
+  FROM c LEFT JOIN covered v USING (rid) LEFT JOIN far USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND near AS kept FROM judged
 """

@@ -113,20 +113,31 @@ def _prose(r, words, n):
     return " ".join(r.choice(words) for _ in range(n)).capitalize() + "."
 
 
+WORDS = {"en": ["the", "of", "and", "to", "in", "is"], "fr": ["de", "la", "le", "et", "les", "un"], "pl": ["i", "w", "na", "z", "do", "nie"]}
+
+
 def test_divergence(spark):
     r = random.Random(6)
-    words = {"en": rules.COMMON["en"] * 3 + [f"{a}{b}ing" for a in "bcdfgh" for b in "aeiou"], "fr": rules.COMMON["fr"] * 3 + [f"{a}{b}ment" for a in "bcdfgh" for b in "éèêou"]}
-    good = [(i, _prose(r, words[lang], 120), lang) for i in range(60) for lang in ("en", "fr")]
-    bad = [(900, " ".join(f"{a}%%% ###" for a in words["en"]) + " $$$" * 60, "en"), (901, " ".join(f"{r.randrange(10**6)}" for _ in range(200)), "en"), (902, _prose(r, ["zzkq", "qqxw", "wwvu", "kkzx", "vvqz", "pqzy"], 3), "en")]
-    out = {x.doc_id: x for x in rules.quality_rules(spark.createDataFrame(good + bad, "doc_id long, text string, lang string"), "text", "lang", ["doc_id"]).collect()}
-    assert all(out[d].kept for d, *_ in good if d != 902)
-    assert not out[900].kept and not out[901].kept and out[902].class_distance is None
-    assert not rules.references(rules.measure(spark.createDataFrame([], "doc_id long, text string, lang string"), "text", ["lang"]), "lang")
+    words = {"en": WORDS["en"] * 3 + [f"{a}{b}inging" for a in "bcdfgh" for b in "aeiou"], "fr": WORDS["fr"] * 3 + [f"{a}{b}mentes" for a in "bcdfgh" for b in "éèêou"], "pl": WORDS["pl"] * 3 + [f"{a}{b}ością" for a in "łżśćp" for b in "aeęóy"]}
+    good = [(i * 3 + j, _prose(r, words[lang], 120), lang) for i in range(60) for j, lang in enumerate(("en", "fr", "pl"))]
+    # a language of five texts, and clean texts whose language is unknown or stands nowhere else
+    few = [(800 + i, _prose(r, ["que", "el", "los", *(f"{a}{b}iendo" for a in "bcdft" for b in "aeiou")], 90), "es") for i in range(5)]
+    alone = [(850, _prose(r, ["och", "att", "det", *(f"{a}{b}ningen" for a in "bkls" for b in "aeouä")], 90), "sv"), (851, _prose(r, words["pl"], 90), None)]
+    bad = [(900, " ".join(f"{a}%%% ###" for a in words["en"]) + " $$$" * 60, "en"), (901, " ".join(f"{r.randrange(10**6)}" for _ in range(200)), "en"), (902, _prose(r, ["zzkq", "qqxw", "wwvu", "kkzx", "vvqz", "pqzy"], 3), "en"), (903, _prose(r, [f"{a}{b}zzzzz" for a in "qwxyz" for b in "kjvhf"], 150), "pl")]
+    docs = spark.createDataFrame(good + few + alone + bad, "doc_id long, text string, lang string")
+    out = {x.doc_id: x for x in rules.quality_rules(docs, "text", "lang", ["doc_id"]).collect()}
+    assert [(d, lang, out[d].class_distance, out[d].common_distance, out[d].base_failed) for d, _, lang in good + few + alone if not out[d].kept] == []
+    assert not any(out[d].kept for d in (900, 901, 903)) and out[902].class_distance is None and out[851].class_distance is None
+    top = {x["__lang"]: x["__words"] for x in rules.common_words(docs, "text", "lang").collect()}
+    assert set(WORDS["pl"]) <= set(top["pl"]) and set(WORDS["en"]) <= set(top["en"]) and len(top["en"]) <= rules.COMMON_WORDS
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, kept string, n_words int")
+    none = rules.quality_rules(empty, "text", "lang", ["doc_id", "text", "kept", "n_words"])
+    assert none.count() == 0 and none.columns == ["doc_id", "text", *rules.BASE, *rules.VERDICT]
 
 
 def test_distance(spark):
     p, q = [0.5, 0.25, 0.25, 0.0], [0.1, 0.2, 0.3, 0.4]
-    got = spark.range(1).select(rules._distance(rules.F.array(*map(rules.F.lit, p)), q).alias("d")).first().d
+    got = spark.range(1).select(rules.distance(*(rules.F.array(*map(rules.F.lit, x)) for x in (p, q))).alias("d")).first().d
     kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
     m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
     assert got == pytest.approx(math.sqrt((kl(p, m) + kl(q, m)) / 2))
