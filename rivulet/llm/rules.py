@@ -167,7 +167,7 @@ def with_distances(measured: DataFrame, lang: str, refs: DataFrame, min_words: i
     held = [c for c in measured.columns if c not in (*VERDICT, "__classes", "__common")]
     x = measured.join(refs, F.col(f"`{lang}`") == F.col("__lang"), "left")
     p, enough = _shares(), F.col("n_words") >= min_words
-    x = x.select(*(F.col(f"`{c}`") for c in held), *(F.when(enough, distance(p[f"__p_{k}"], F.col(f"__q_{k}"))).alias(n) for k, n in (("class", "class_distance"), ("word", "common_distance"))))
+    x = x.select(*(F.col(f"`{c}`") for c in held), *(F.when(enough & F.col(f"__q_{k}").isNotNull(), distance(p[f"__p_{k}"], F.col(f"__q_{k}"))).alias(n) for k, n in (("class", "class_distance"), ("word", "common_distance"))))
     return x
 
 
