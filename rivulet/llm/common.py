@@ -37,23 +37,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what operators have written to the shared folder so far. For jobs to call once their results stand elsewhere: frames that operators returned may read these files."""
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes what operators have written to the shared folder so far, or from one place in the order of writing to another. For jobs to call once their results stand elsewhere: frames that operators returned may read these files."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for path in _WRITTEN[since:until]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
+    del _WRITTEN[since:until]
+
+
+def written() -> int:
+    """How many paths operators have written to and not released."""
+    return len(_WRITTEN)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where neither the setting nor a checkpoint folder exists (tests on one
-    machine) a local folder is made and set.
+    Only where neither the setting nor a checkpoint folder exists and all runs on one
+    machine (tests) a local folder is made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "rivulet-shared")
         sc.setCheckpointDir(base)
     _WRITTEN.append(f"{base.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}")

@@ -454,10 +454,11 @@ def test_held_out_rule(spark):
 def test_shared_files_can_be_released(spark):
     import os
 
-    frame = common.materialise(spark.range(3), "release")
-    path = common._WRITTEN[-1]
-    assert frame.count() == 3 and os.path.isdir(path)
-    kept, common._WRITTEN[:] = common._WRITTEN[:-1], common._WRITTEN[-1:]
-    common.release(spark)
-    common._WRITTEN[:] = kept
-    assert not os.path.exists(path)
+    mark = common.written()
+    frames = [common.materialise(spark.range(3), "release") for _ in range(2)]
+    paths = common._WRITTEN[mark:]
+    assert [f.count() for f in frames] == [3, 3]
+    common.release(spark, mark, mark + 1)
+    assert not os.path.exists(paths[0]) and os.path.isdir(paths[1]) and common.written() == mark + 1
+    common.release(spark, mark)
+    assert not os.path.exists(paths[1]) and common.written() == mark
