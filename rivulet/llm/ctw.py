@@ -33,7 +33,7 @@ from rivulet.llm.common import Lookup, crc_rest, hashed_words, map_slices, mater
 #: Bytes of context.
 DEPTH = 5
 #: Largest number of (context, byte) pairs, and of words, that go to every task. Beyond it, rarer ones are joined instead.
-MOST_PAIRS, MOST_WORDS = 1 << 18, 1 << 19
+MOST_PAIRS, MOST_WORDS = 1 << 20, 1 << 19
 #: Bytes of context that tell a pair's part of the tree, pairs in a part about, and bytes of text that ask together.
 STEM, PART, CHUNK = 3, 1 << 14, 1 << 24
 #: Keys that a counting task holds before it passes them on, and bytes of text that are looked at at once.
