@@ -19,8 +19,9 @@ def columns(z: DataFrame) -> list[str]:
 
 
 def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """No rows, in a form from which Catalyst sees that there are none."""
     fields = [f for f in schema.fields if f.name != W]
-    return spark.createDataFrame([], T.StructType([*fields, T.StructField(W, T.LongType(), False)]))
+    return spark.range(1).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in fields), F.lit(0).cast("bigint").alias(W))
 
 
 def consolidate(z: DataFrame) -> DataFrame:

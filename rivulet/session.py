@@ -15,13 +15,17 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # scans of states get the hashes of touched keys, as many as rivulet.operators.incremental hands them
+    "spark.sql.parquet.pushdown.inFilterThreshold": "10000",
+    # it fails on subqueries over a table of several inserts, which is a union; columns are pruned through unions without it
+    "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushProjectionThroughUnion",
 }
 
 
 def engine_session(spark: SparkSession) -> SparkSession:
     """A session of its own over the same context, with the engine's SQL semantics; the caller's stays as it is."""
     session = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"):
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"):
         session.conf.set(key, spark.conf.get(key))
     for key, value in SETTINGS.items():
         session.conf.set(key, value)
@@ -29,10 +33,12 @@ def engine_session(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one only where none is set (tests)."""
+    """A new path in the folder that driver and executors share; a local one only where none is set and all run on one machine (tests)."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = os.path.join(tempfile.gettempdir(), "rivulet-shared")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/rivulet/{name}-{uuid.uuid4().hex}"
@@ -45,8 +51,41 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _at(spark: SparkSession, path: str):
+    """A path and the file system that it is on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of shared storage."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes a folder or file of shared storage, if it is there."""
+    at, files = _at(spark, path)
+    files.delete(at, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of shared storage; none if there is no such folder."""
+    at, files = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    at, files = _at(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file that is there with all of its text or not at all."""
+    at, files = _at(spark, path)
+    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = files.create(beside, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if not files.rename(beside, at):
+        raise OSError(f"{path} can't be written")

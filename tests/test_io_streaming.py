@@ -37,7 +37,7 @@ def test_files_drive_a_view(spark, tmp_path):
     plain = T.StructType(schema.fields[:2])
     views = Views(spark, {"v": Scan("t").aggregate(["k"], s="sum(v)", n="count(*)")}, {"t": plain})
     out = []
-    steps = driver.run_files(spark, views.step, "t", str(path / "*"), schema, lambda n, z: out.append([tuple(r) for r in z["v"].collect()]), files_a_step=1)
+    steps = driver.run_files(spark, views, "t", str(path / "*"), schema, lambda n, z: out.append([tuple(r) for r in z["v"].collect()]), files_a_step=1)
     total: dict = {}
     for rows in out:
         for k, s, n, w in rows:
@@ -49,11 +49,89 @@ def test_a_stream_that_takes_too_long_is_no_success(spark, tmp_path):
     for i in range(4):
         spark.createDataFrame([(i,)], "k int").coalesce(1).write.parquet(str(tmp_path / "slow" / f"{i}"))
     sink = lambda n, z: time.sleep(2)
+    plain = T.StructType([T.StructField("k", T.IntegerType())])
     with pytest.raises(TimeoutError):
-        driver.run_files(spark, lambda changes: changes, "t", str(tmp_path / "slow" / "*"), T.StructType([T.StructField("k", T.IntegerType())]), sink, timeout=1)
+        driver.run_files(spark, Views(spark, {"v": Scan("t")}, {"t": plain}), "t", str(tmp_path / "slow" / "*"), plain, sink, timeout=1)
     assert not spark.streams.active
 
 
+def _grouped(spark, home):
+    return Views(spark, {"v": Scan("t").aggregate(["k"], n="count(*)"), "m": Scan("t").aggregate(["k"], hi="max(v)")}, {"t": T._parse_datatype_string("k int, v int")}, str(home))
+
+
+def test_another_driver_goes_on_from_the_states(spark, tmp_path):
+    schema = T._parse_datatype_string("k int, v int")
+    path, home, checkpoint = tmp_path / "changes", tmp_path / "home", str(tmp_path / "checkpoint")
+    spark.createDataFrame([(1, 5), (1, 7)], schema).coalesce(1).write.parquet(str(path / "0"))
+    out = []
+    sink = lambda n, z: out.append({v: sorted(map(tuple, x.collect())) for v, x in z.items()})
+    assert driver.run_files(spark, _grouped(spark, home), "t", str(path / "*"), schema, sink, checkpoint) == 1
+    spark.createDataFrame([(1, 6)], schema).coalesce(1).write.parquet(str(path / "1"))
+    assert driver.run_files(spark, _grouped(spark, home), "t", str(path / "*"), schema, sink, checkpoint) == 1
+    assert out == [{"v": [(1, 2, 1)], "m": [(1, 7, 1)]}, {"v": [(1, 2, -1), (1, 3, 1)], "m": []}]
+    with pytest.raises(ValueError, match="states aren't in"):
+        driver.run_files(spark, _grouped(spark, tmp_path / "elsewhere"), "t", str(path / "*"), schema, sink, checkpoint)
+    with pytest.raises(ValueError, match="states of other views"):
+        Views(spark, {"v": Scan("t").distinct()}, {"t": schema}, str(home))
+
+
+@pytest.mark.parametrize("when", ["before the manifest", "after the manifest"])
+def test_a_driver_that_dies_in_a_step_counts_nothing_twice(spark, tmp_path, monkeypatch, when):
+    schema = T._parse_datatype_string("k int, v int")
+    path, home, checkpoint = tmp_path / "changes", tmp_path / "home", str(tmp_path / "checkpoint")
+    for i, rows in enumerate([[(1, 5), (2, 7)], [(1, 6)], [(2, 1)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path / f"{i}"))
+    given, broken = {}, []
+
+    def sink(n, z):
+        rows = {v: sorted(map(tuple, x.collect())) for v, x in z.items()}
+        if n == 1 and when == "after the manifest" and not broken:
+            broken.append(n)
+            raise RuntimeError("dies")
+        assert given.setdefault(n, rows) == rows
+
+    from rivulet.operators import incremental
+
+    commit = incremental.write_text
+
+    def dies(spark, at, text):
+        if "000000002" in at and not broken:
+            broken.append(at)
+            raise RuntimeError("dies")
+        commit(spark, at, text)
+
+    if when == "before the manifest":
+        monkeypatch.setattr(incremental, "write_text", dies)
+    with pytest.raises(Exception, match="dies"):
+        driver.run_files(spark, _grouped(spark, home), "t", str(path / "*"), schema, sink, checkpoint)
+    driver.run_files(spark, _grouped(spark, home), "t", str(path / "*"), schema, sink, checkpoint, forget=True)
+    total = {}
+    for rows in given.values():
+        for k, n, w in rows["v"]:
+            total[k, n] = total.get((k, n), 0) + w
+    assert sorted(given) == [0, 1, 2] and {x for x, w in total.items() if w} == {(1, 2), (2, 2)}
+
+
+def test_states_are_summed_up_and_read_by_touched_keys(spark, tmp_path, monkeypatch):
+    from rivulet.operators import incremental
+
+    monkeypatch.setattr(incremental, "COMPACT", 3)
+    schema = T._parse_datatype_string("k int, v int")
+    for most in (10_000, 0):  # keys handed to the scan, and joined
+        monkeypatch.setattr(incremental, "MOST_HASHES", most)
+        views, sums = _grouped(spark, tmp_path / f"home{most}"), {}
+        for i in range(9):
+            for k, hi, w in map(tuple, views.step({"t": spark.createDataFrame([(i % 3, i, 1), *([(0, 3, -1)] if i == 5 else [])], "k int, v int, __w long")})["m"].collect()):
+                sums[k, hi] = sums.get((k, hi), 0) + w
+        assert {x for x, w in sums.items() if w} == {(0, 6), (1, 7), (2, 8)}
+        assert all(len(paths) <= 3 for paths in views.store.logs.values())
+        logs = len(list((tmp_path / f"home{most}").glob("*.*")))
+        assert logs < 9 * 3 + 10
+        views.close()
+        assert not (tmp_path / f"home{most}").exists()
+    del schema
+
+
 def test_event_time_windows(spark, tmp_path):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:05' AS ts, 'a' AS k UNION ALL SELECT TIMESTAMP_NTZ '2024-01-01 00:00:15', 'a'")
     df.write.parquet(str(tmp_path / "e"))
