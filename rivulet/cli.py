@@ -30,7 +30,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     program, errors = Program(spark), []
     try:
         with open(a.program) as f:
-            program.sql(f.read())
+            program.sql(f.read(), errors=errors)
+        if errors:
+            raise ProgramError("Stopped", f"{len(errors)} statements are wrong")
         unused = [] if a.alltables else program.unused()
         if a.tables:
             for name in [t for t in program.tables if t not in unused]:
@@ -49,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for name in program.outputs():
                 print(program.explain(name))
     except ProgramError as e:
-        errors.append(e.report)
+        errors += [e.report] if not errors else []
     reports = program.warnings + errors
     if reports:
         print(json.dumps(reports) if a.je else "\n".join(f"{a.program}:{r['start_line_number']}:{r['start_column']}: {'warning' if r['warning'] else 'error'}: {r['error_type']}: {r['message']}" for r in reports), file=sys.stderr)

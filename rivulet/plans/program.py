@@ -1,10 +1,8 @@
 """SQL programs: CREATE TABLE declares inputs, CREATE VIEW standing queries over them.
 
 A program runs as a batch (output) or step by step (step): changes of tables in, changes
-of views out. A view that only filters, projects or inner-joins other relations, or groups
-the rows of such a view, is maintained from the changes; any other SQL view is computed again when one of its inputs
-changes, and the difference is what comes out. Trees of rivulet.operators.incremental
-maintain the other operators too.
+of views out. Views are maintained from the changes by the operators that Catalyst plans for
+them; the few that can't be are computed whole in each step, with a warning.
 """
 
 from __future__ import annotations
@@ -20,20 +18,16 @@ from pyspark.sql import types as T
 from rivulet import dialect, types
 from rivulet.functions import recipes
 from rivulet.operators import zset
-from rivulet.operators.incremental import Node, Recomputed, Scan, Step, Views
-from rivulet.operators.zset import W
+from rivulet.operators.incremental import Constant, Node, Recomputed, Scan, Views
+from rivulet.plans.lowering import Lowering, NotIncremental
 from rivulet.session import engine_session
 
-#: Functions whose value isn't given by their arguments: programs have none.
-UNSTABLE = re.compile(r"\b(rand|randn|random|uuid|current_timestamp|current_date|now|localtimestamp|shuffle|monotonically_increasing_id)\b\s*(\(|$|[\s,)])", re.I)
-
-
 class ProgramError(ValueError):
-    """An error with its place: what the JSON report says."""
+    """An error with its place, from its first character to its last: what the JSON report says."""
 
-    def __init__(self, kind: str, message: str, line: int = 0, column: int = 0, warning: bool = False):
+    def __init__(self, kind: str, message: str, start: tuple[int, int] = (0, 0), end: tuple[int, int] = (0, 0), warning: bool = False):
         super().__init__(message)
-        self.report = {"start_line_number": line, "start_column": column, "warning": warning, "error_type": kind, "message": message}
+        self.report = {"start_line_number": start[0], "start_column": start[1], "end_line_number": end[0], "end_column": end[1], "warning": warning, "error_type": kind, "message": message}
 
 
 @dataclass
@@ -48,9 +42,15 @@ class View:
 
 @dataclass
 class Program:
-    """A catalog of tables and views in a session of its own."""
+    """A catalog of tables and views in a session of its own.
+
+    strict: text that is no number counts as 0, SUM and AVG of integers have their
+    argument's type, ROUND takes halves to the even neighbour, times are to the millisecond.
+    """
     spark: SparkSession
     strict: bool = False
+    #: A shared folder for the states of steps; a program of the same views goes on from them.
+    home: str | None = None
     tables: dict[str, T.StructType] = field(default_factory=dict)
     contents: dict[str, DataFrame] = field(default_factory=dict)
     views: dict[str, View] = field(default_factory=dict)
@@ -66,15 +66,20 @@ class Program:
         self._last: dict[str, DataFrame] = {}
 
     # --- declarations ---
-    def sql(self, text: str, output: bool = True) -> DataFrame | None:
-        """Runs all statements of text; returns the last query's rows, if there is one."""
+    def sql(self, text: str, output: bool = True, errors: list[dict] | None = None) -> DataFrame | None:
+        """Runs all statements of text; returns the last query's rows, if there is one. With errors, a list, those of all statements are reported there, and statements after a wrong one still run."""
         out = None
-        for s in dialect.statements(text):
-            out = self._statement(s, text, output)
+        for s, start, end in dialect.placed(text):
+            try:
+                out = self._statement(s, text, start, end, output)
+            except ProgramError as e:
+                if errors is None:
+                    raise
+                errors.append(e.report)
         return out
 
-    def _statement(self, sql: str, text: str, output: bool) -> DataFrame | None:
-        line = text[: max(0, text.find(sql[:20]))].count("\n") + 1
+    def _statement(self, sql: str, text: str, start: int, end: int, output: bool) -> DataFrame | None:
+        first, last = (dialect.line_and_column(text, at) for at in (start, max(start, end - 1)))
         try:
             st = dialect.parse(sql)
             if st.kind == "table":
@@ -90,13 +95,19 @@ class Program:
             else:
                 return self._analysed(st.body)[1]
         except PySparkException as e:
+            # the place of what Spark names, if the statement has it as it stands in the rewritten query
             context = next(iter(e.getQueryContext() or []), None)
-            start = context.startIndex() if context is not None and hasattr(context, "startIndex") else 0
-            raise ProgramError(e.getCondition() or "Error", e.getMessage() if hasattr(e, "getMessage") else str(e), line, start + 1) from e
-        except ProgramError:
+            part = context.fragment() if context is not None and hasattr(context, "fragment") else ""
+            at = text.find(part, start, end) if part else -1
+            if at >= 0:
+                first, last = (dialect.line_and_column(text, x) for x in (at, at + len(part) - 1))
+            raise ProgramError(e.getCondition() or "Error", e.getMessage() if hasattr(e, "getMessage") else str(e), first, last) from e
+        except ProgramError as e:
+            if not e.report["start_line_number"]:
+                e.report |= {"start_line_number": first[0], "start_column": first[1], "end_line_number": last[0], "end_column": last[1]}
             raise
         except ValueError as e:
-            raise ProgramError("Not supported", str(e), line, 1) from e
+            raise ProgramError("Not supported", str(e), first, last) from e
         return None
 
     def _declared(self, body: str) -> T.StructType:
@@ -166,9 +177,9 @@ class Program:
         """Declares a view; output=False keeps it inside."""
         if self._known(name):
             raise ProgramError("Duplicate", f"{name} is declared already")
-        if m := UNSTABLE.search(query):
-            raise ProgramError("Not supported", f"{m[1]} has no fixed value")
         text, df = self._analysed(query)
+        if found := dialect.unstable(df._jdf.queryExecution().analyzed()):
+            raise ProgramError("Not supported", f"{found} has no fixed value")
         columns = columns or _names(df.columns)
         df = df.toDF(*columns)
         v = View(name, text, columns, df.schema, self._reads(text), output)
@@ -180,9 +191,10 @@ class Program:
         (df.toDF(*v.columns) if v.columns else df).createOrReplaceTempView(v.name)
 
     def _analysed(self, query: str) -> tuple[str, DataFrame]:
-        text = dialect.rewritten(query)
-        if "/" in text:
-            text = dialect.divided(self.spark, text)
+        text = dialect.rewritten(query, lambda q: len(self.spark.sql(dialect.rewritten(q)).columns))
+        rules = dialect.DIVISIONS * ("/" in text) + dialect.STRICT * self.strict
+        if rules:
+            text = dialect.typed(self.spark, text, rules)
         return text, self.spark.sql(text)
 
     def _reads(self, query: str) -> set[str]:
@@ -198,33 +210,37 @@ class Program:
         return {n: self.output(n) for n, v in self.views.items() if v.output}
 
     # --- step by step ---
-    def node(self, name: str, made: dict[str, Node] | None = None) -> Node:
-        made = {} if made is None else made
-        if name not in made:
-            made[name] = Scan(name) if name in self.tables else self._lowered(self.views[name], made)
-        return made[name]
-
-    def _lowered(self, v: View, made: dict[str, Node]) -> Node:
+    def nodes(self) -> dict[str, Node]:
+        """The operator tree of each output view, made of what Catalyst plans for it. A view that can't be maintained from changes, in whole or in part, is warned about."""
+        planning = engine_session(self.spark)
+        recipes.register(planning)
+        lowering, made = Lowering(self.spark, planning), {}
+        for name, schema in self.tables.items():
+            lowering.leaf(name, schema, Scan(name))
+        for name, v in self.views.items():
+            lowering.whole.clear()
+            try:
+                made[name] = lowering.view(v.query, v.columns)
+            except NotIncremental as e:
+                made[name] = self._recomputed(v, made)
+                lowering.whole.append(str(e))
+            for reason in lowering.whole:
+                self._warn(f"View '{name}' is computed whole in each step: {reason}")
+            lowering.leaf(name, v.schema, made[name])
+        return {n: made[n] for n, v in self.views.items() if v.output}
+
+    def _recomputed(self, v: View, made: dict[str, Node]) -> Node:
+        """A view computed whole, before and after, when something that it reads changes."""
         inputs = sorted(v.reads - {v.name})
-        children = tuple(self.node(n, made) for n in inputs)
-        weighted = _with_weights(v.query, inputs) if _linear(self.spark, v.query, inputs) else None
-        if weighted:
-            return _Bilinear(self.spark, inputs, children, weighted, v.columns)
-        grouped = _grouped(v.query)
-        if grouped:
-            inner, keys, aggs, listed = grouped
-            weighted = _with_weights(inner, inputs) if _linear(self.spark, inner, inputs) else None
-            if weighted:
-                node = _Bilinear(self.spark, inputs, children, weighted, ()).aggregate(keys, **aggs)
-                return node.select(*(f"CAST({x} AS {f.dataType.simpleString()}) AS `{f.name}`" for x, f in zip(listed, v.schema, strict=True)))
+        if not inputs:
+            return Constant(lambda _: self.spark.sql(v.query).toDF(*v.columns))
 
         def run(*zs: DataFrame) -> DataFrame:
             for n, z in zip(inputs, zs, strict=True):
                 zset.rows(z).createOrReplaceTempView(n)
-            df = self.spark.sql(v.query)
-            return df.toDF(*v.columns) if v.columns else df
+            return self.spark.sql(v.query).toDF(*v.columns)
 
-        return Recomputed(children, [[]] * max(1, len(children)), run, always=True) if children else _Fixed(v, self.spark)
+        return Recomputed(tuple(made.get(n) or Scan(n) for n in inputs), [[]] * len(inputs), run, always=True)
 
     def push(self, table: str, delta: DataFrame) -> None:
         """Changes of a table for the next step: weights in column __w, or insertions."""
@@ -240,10 +256,9 @@ class Program:
         for name, d in (deltas or {}).items():
             self.push(name, d)
         if self._running is None:
-            for name in sorted(self._filled):
+            self._running = Views(self.spark, self.nodes(), self.tables, self.home)
+            for name in sorted(self._filled if not self._running.steps else ()):
                 self.push(name, self.contents[name])
-            made: dict[str, Node] = {}
-            self._running = Views(self.spark, {n: self.node(n, made) for n, v in self.views.items() if v.output}, self.tables)
         pending, self._pending = self._pending, {}
         self._last = self._running.step(pending)
         return self._last
@@ -287,127 +302,3 @@ def _names(columns: list[str]) -> tuple[str, ...]:
 def _as(column, f: T.StructField):
     """A value for a declared column; text that is no date or time becomes null."""
     return column.try_cast(f.dataType)
-
-
-class _Fixed(Node):
-    """A view that reads nothing."""
-
-    def __init__(self, v: View, spark: SparkSession):
-        self.v, self.spark = v, spark
-
-    def delta(self, step: Step) -> DataFrame:
-        df = self.spark.sql(self.v.query)
-        z = zset.weighted(df.toDF(*self.v.columns) if self.v.columns else df)
-        return z if step.first else z.limit(0)
-
-
-class _Bilinear(Node):
-    """SQL that is linear in each input: the sum over which inputs' changes (others: rows before) are put in."""
-
-    def __init__(self, spark: SparkSession, inputs: list[str], children: tuple[Node, ...], query: str, columns: tuple[str, ...]):
-        self.spark, self.inputs, self.children, self.query, self.columns = spark, inputs, children, query, columns
-
-    def _run(self, zs: list[DataFrame]) -> DataFrame:
-        for n, z in zip(self.inputs, zs, strict=True):
-            z.createOrReplaceTempView(n)
-        df = self.spark.sql(self.query)
-        return df.toDF(*self.columns, W) if self.columns else df
-
-    def delta(self, step: Step) -> DataFrame:
-        changes = [step.delta(c) for c in self.children]
-        olds = [step.before(c) for c in self.children] if len(changes) > 1 else []
-        parts = []
-        for mask in range(1, 1 << len(changes)):
-            parts.append(self._run([changes[i] if mask >> i & 1 else olds[i] for i in range(len(changes))]))
-        return zset.plus(*parts)
-
-
-def _linear(spark: SparkSession, query: str, inputs: list[str]) -> bool:
-    """Whether a query's plan filters, projects and inner-joins each input once, and no more."""
-    plan = spark.sql(query)._jdf.queryExecution().optimizedPlan()
-    analysed = spark.sql(query)._jdf.queryExecution().analyzed()
-    fine = {"Project", "Filter", "SubqueryAlias", "View", "Join"}
-
-    def walk(p, top: bool) -> bool:
-        name = p.getClass().getSimpleName()
-        if name == "SubqueryAlias" and p.alias().lower() in {i.lower() for i in inputs} or name == "View":
-            return True
-        if name not in fine or (name == "Join" and p.joinType().sql() not in ("INNER", "CROSS")):
-            return False
-        for k in range(p.expressions().size()):
-            text = p.expressions().apply(k).toString()
-            if re.search(r"subquery|exists#|windowspec|Generate|outer\(", text, re.I):
-                return False
-        return all(walk(p.children().apply(k), False) for k in range(p.children().size()))
-
-    names = [t.lower().strip('"`') for t in dialect.tokens(query)]
-    once = all(len(re.findall(rf"(?:from|join|,)\s+[\"`]?{re.escape(i)}\b", query, re.I)) == 1 for i in inputs)
-    return plan is not None and 1 <= len(inputs) <= 4 and once and names.count("select") == 1 and walk(analysed, True)
-
-
-_AGGREGATE = re.compile(r"^(count|sum|min|max)\s*\((.*)\)$", re.I | re.S)
-
-
-def _grouped(query: str) -> tuple[str, list[str], dict[str, str], list[str]] | None:
-    """A plain GROUP BY taken apart: what it groups as a query of its own, keys, aggregates, and the select list over them.
-
-    None where there is more to it: HAVING, ORDER BY, DISTINCT, subqueries, expressions over aggregates.
-    """
-    ts = dialect.tokens(query)
-    upper = [t.upper() for t in ts]
-    if upper.count("SELECT") != 1 or {"HAVING", "ORDER", "LIMIT", "DISTINCT", "OVER", "ROLLUP", "CUBE", "GROUPING", "FILTER", "UNION", "WITH"} & set(upper) or upper[0] != "SELECT":
-        return None
-    depth, at = 0, {}
-    for i, t in enumerate(upper):
-        depth += (t == "(") - (t == ")")
-        if not depth and t in ("FROM", "GROUP"):
-            at.setdefault(t, i)
-    if "FROM" not in at:
-        return None
-    end = at.get("GROUP", len(ts))
-    groups = dialect._split_commas(re.sub(r"^GROUP\s+BY\s+", "", "".join(ts[end:]), flags=re.I)) if "GROUP" in at else []
-    squeeze = lambda x: re.sub(r"\s+", "", x).lower()
-    keys, aggs, listed, inner = [], {}, [], []
-    for i, g in enumerate(groups):
-        keys.append(f"k__{i}")
-        inner.append(f"{g} AS k__{i}")
-    places = {squeeze(g): k for g, k in zip(groups, keys, strict=True)}
-    for item in dialect._split_commas("".join(ts[1 : at["FROM"]])):
-        x = re.sub(r"\s+AS\s+(\w+|`[^`]+`|\"[^\"]+\")\s*$", "", item, flags=re.I).strip()
-        m = _AGGREGATE.match(x)
-        if squeeze(x) in places:
-            listed.append(places[squeeze(x)])
-        elif m and dialect._closing(dialect.tokens(x), dialect.tokens(x).index("(")) == len(dialect.tokens(x)) - 1:
-            name = f"a__{len(aggs)}"
-            if m[2].strip() == "*":
-                aggs[name] = "count(*)"
-            else:
-                inner.append(f"{m[2]} AS x__{len(aggs)}")
-                aggs[name] = f"{m[1].lower()}(x__{len(aggs)})"
-            listed.append(name)
-        else:
-            return None
-    if not aggs:
-        return None
-    return f"SELECT {', '.join(inner) if inner else '1 AS one__'} {''.join(ts[at['FROM'] : end]).strip()}", keys, aggs, listed
-
-
-def _with_weights(query: str, inputs: list[str]) -> str | None:
-    """The query with the product of its inputs' weights as last column; None where the select list or FROM isn't plain."""
-    ts = dialect.tokens(query)
-    upper = [t.upper() for t in ts]
-    start, depth, end = upper.index("SELECT"), 0, None
-    for i in range(start, len(ts)):
-        depth += (ts[i] == "(") - (ts[i] == ")")
-        if upper[i] == "FROM" and not depth:
-            end = i
-            break
-    listed = "".join(ts[start + 1 : end]).strip() if end else "*"
-    if end is None or "*" in [t for t in dialect._split_commas(listed) if t.endswith("*")] or any(x.rstrip().endswith("*") for x in dialect._split_commas(listed)) or upper[start + 1 :].count("DISTINCT"):
-        return None
-    rest, aliases = "".join(ts[end:]), []
-    for n in inputs:
-        m = re.search(rf"(?:from|join|,)\s+[\"`]?{re.escape(n)}\b[\"`]?(?:\s+(?:AS\s+)?(\w+))?", rest, re.I)
-        word = m[1] if m else None
-        aliases.append(word if word and word.upper() not in ("WHERE", "ON", "JOIN", "INNER", "CROSS", "ORDER", "GROUP", "LIMIT", "USING", "NATURAL", "LEFT", "RIGHT", "FULL") else n)
-    return f"SELECT {listed}, {' * '.join(f'{a}.{W}' for a in aliases)} AS {W} {rest}"

@@ -62,7 +62,7 @@ add("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation
 add("natural_using_join", "SELECT l_orderkey, o_custkey, l_linenumber FROM (SELECT o_orderkey AS l_orderkey, o_custkey FROM orders) o JOIN lineitem USING (l_orderkey) WHERE l_quantity > 48")
 add("multi_join_bushy", "SELECT r_name, n_name, CAST(count(*) AS BIGINT) AS n, ROUND(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN supplier ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey GROUP BY r_name, n_name")
 add("semi_exists", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
-add("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+add("anti_not_exists", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
 add("range_join", "SELECT e.event_id, n.n_nationkey FROM events e JOIN nation n ON e.user_id % 25 = n.n_nationkey AND e.value BETWEEN n.n_regionkey * 10 AND n.n_regionkey * 10 + 20")
 
 # --- subqueries ---
@@ -124,9 +124,9 @@ add("timestamp_text", "SELECT event_id, date_format(ts, 'yyyy-MM-dd HH:mm:ss') A
 # --- arrays, geometry ---
 add("array_index_cardinality_element", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[100000] AS DOUBLE) AS b, CARDINALITY(embedding) AS c, ARRAY[vec_id, label][2] AS d, embedding[0] IS NULL AS z FROM embeddings", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(NULL AS DOUBLE) AS b, len(embedding) AS c, CAST(label AS BIGINT) AS d, true AS z FROM embeddings")
 add("array_element", "SELECT label, IF(size(a) = 1, element_at(a, 1), NULL) AS e FROM (SELECT DISTINCT label, ARRAY[label] AS a FROM embeddings) x", "SELECT DISTINCT label, label AS e FROM embeddings")
-add("unnest", "SELECT vec_id, x FROM (SELECT vec_id, slice(embedding, 1, 4) AS a FROM embeddings) e, UNNEST(e.a) AS t(x)", "SELECT vec_id, unnest(embedding[1:4]) AS x FROM embeddings")
-add("unnest_ordinality", "SELECT vec_id, x, i FROM (SELECT vec_id, slice(embedding, 1, 4) AS a FROM embeddings) e, UNNEST(e.a) WITH ORDINALITY AS t(x, i)", "SELECT vec_id, unnest(embedding[1:4]) AS x, CAST(unnest(range(1, 5)) AS INTEGER) AS i FROM embeddings")
-add("double_unnest", "SELECT vec_id, x, y FROM (SELECT vec_id, slice(embedding, 1, 3) AS a, slice(embedding, 4, 2) AS b FROM embeddings) e, UNNEST(e.a) AS t(x), UNNEST(e.b) AS u(y)", "SELECT vec_id, x, unnest(b) AS y FROM (SELECT vec_id, unnest(embedding[1:3]) AS x, embedding[4:5] AS b FROM embeddings)")
+add("unnest", "SELECT vec_id, x FROM embeddings e, UNNEST(e.embedding) AS t(x)", "SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+add("unnest_ordinality", "SELECT vec_id, x, i FROM embeddings e, UNNEST(e.embedding) WITH ORDINALITY AS t(x, i)", "SELECT vec_id, unnest(embedding) AS x, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS i FROM embeddings")
+add("double_unnest", "SELECT vec_id, x, y FROM embeddings e, UNNEST(e.embedding) AS t(x), UNNEST(ARRAY[e.vec_id, e.label]) AS u(y)", "SELECT vec_id, x, unnest(b) AS y FROM (SELECT vec_id, unnest(embedding) AS x, [vec_id, CAST(label AS BIGINT)] AS b FROM embeddings)")
 add("geo_distance", "SELECT c_custkey, ROUND(ST_DISTANCE(ST_POINT(c_acctbal, CAST(c_nationkey AS DOUBLE)), ST_POINT(0, 0)), 6) AS d FROM customer", "SELECT c_custkey, ROUND(sqrt(pow(c_acctbal, 2) + pow(c_nationkey, 2)), 6) AS d FROM customer")
 
 # --- beyond the core: what Spark has at hand ---
@@ -140,8 +140,8 @@ add("rank_ntile", "SELECT s_suppkey, CAST(rank() OVER (ORDER BY s_nationkey) AS
 add("bool_aggregates", "SELECT l_returnflag, bool_or(l_quantity > 49) AS s, every(l_quantity > 0) AS e FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, bool_or(l_quantity > 49) AS s, bool_and(l_quantity > 0) AS e FROM lineitem GROUP BY l_returnflag")
 add("strings", "SELECT p_partkey, lower(p_name) AS l, upper(p_brand) AS u, regexp_extract(p_type, '([A-Z]+)', 1) AS r, split_part(p_name, ' ', 2) AS s, length(p_name) - length(replace(p_name, 'a', '')) AS a FROM part", "SELECT p_partkey, lower(p_name) AS l, upper(p_brand) AS u, regexp_extract(p_type, '([A-Z]+)', 1) AS r, split_part(p_name, ' ', 2) AS s, CAST(length(p_name) - length(replace(p_name, 'a', '')) AS INTEGER) AS a FROM part")
 add("greatest_least_like", "SELECT l_orderkey, l_linenumber, GREATEST(l_quantity, 25) AS g, LEAST(l_quantity, 25) AS s FROM lineitem WHERE l_returnflag LIKE 'R%'")
-add("tumble", "SELECT w.start AS s, event_type, count(*) AS n FROM (SELECT window(CAST(ts AS TIMESTAMP), '1 hour') AS w, event_type FROM events) x GROUP BY w.start, event_type", "SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL")
-add("hop", "SELECT unix_timestamp(w.start) AS s, count(*) AS n FROM (SELECT window(CAST(ts AS TIMESTAMP), '2 hours', '1 hour') AS w FROM events) x GROUP BY w.start", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * i AS s, count(*) AS n FROM events, range(2) r(i) GROUP BY ALL")
+add("tumble", "SELECT window_start AS s, event_type, count(*) AS n FROM TABLE(TUMBLE(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR)) GROUP BY window_start, event_type", "SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY ALL")
+add("hop", "SELECT unix_timestamp(CAST(window_start AS TIMESTAMP)) AS s, count(*) AS n FROM TABLE(HOP(TABLE events, DESCRIPTOR(ts), INTERVAL '1' HOUR, INTERVAL '2' HOURS)) GROUP BY window_start", "SELECT CAST(epoch(date_trunc('hour', ts)) AS BIGINT) - 3600 * i AS s, count(*) AS n FROM events, range(2) r(i) GROUP BY ALL")
 add("session", "SELECT user_id, unix_timestamp(session_window.start) AS s, count(*) AS n FROM events GROUP BY user_id, session_window(CAST(ts AS TIMESTAMP), '6 hours')", "SELECT user_id, CAST(epoch(date_trunc('second', min(ts))) AS BIGINT) AS s, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, g")
 add("top_category_per_window", "SELECT h, event_type, n FROM (SELECT h, event_type, n, max(n) OVER (PARTITION BY h) AS m FROM (SELECT date_trunc('DAY', ts) AS h, event_type, count(*) AS n FROM events GROUP BY date_trunc('DAY', ts), event_type) a) b WHERE n = m", "SELECT h, event_type, n FROM (SELECT h, event_type, n, max(n) OVER (PARTITION BY h) AS m FROM (SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2) a) b WHERE n = m")
 
@@ -156,10 +156,11 @@ add("int_casts_wrap", "SELECT o_orderkey, CAST(o_orderkey * 1000 AS SMALLINT) AS
 add("round_half_even", "SELECT l_orderkey, l_linenumber, bround(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS r FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS DECIMAL(12, 1)) AS r FROM lineitem")
 add("exists_projected", "SELECT n_name, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 9000) AS e FROM nation")
 add("case_null_types", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 5 THEN NULL WHEN l_linenumber > 3 THEN l_quantity ELSE 0 END AS c FROM lineitem")
-add("unnest_zip", "SELECT vec_id, z.a AS a, z.b AS b FROM (SELECT vec_id, explode(arrays_zip(a, b)) AS z FROM (SELECT vec_id, slice(embedding, 1, 2) AS a, slice(embedding, 3, 2) AS b FROM embeddings) y) x", "SELECT vec_id, unnest(embedding[1:2]) AS a, unnest(embedding[3:4]) AS b FROM embeddings")
+add("unnest_zip", "SELECT vec_id, a, b FROM embeddings e, UNNEST(e.embedding, reverse(e.embedding)) AS z(a, b)", "SELECT vec_id, unnest(embedding) AS a, unnest(list_reverse(embedding)) AS b FROM embeddings")
 add("lateral_join", "SELECT n_name, x.s_suppkey FROM nation, LATERAL (SELECT s_suppkey FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal > 5000) x", "SELECT n_name, s_suppkey FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000")
 add("recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n FROM t")
-add("asof_join", "SELECT o_orderkey, max(event_id) AS e FROM orders JOIN events ON o_custkey = user_id AND ts <= TIMESTAMP_NTZ '2024-01-15 00:00:00' GROUP BY o_orderkey", "SELECT o_orderkey, max(event_id) AS e FROM orders JOIN events ON o_custkey = user_id AND ts <= TIMESTAMP '2024-01-15 00:00:00' GROUP BY o_orderkey")
+# for each purchase the time of the user's last view at or before it
+add("asof_join", "SELECT event_id, seen FROM (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'view' THEN ts END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM events) x WHERE event_type = 'purchase'", "SELECT p.event_id, v.ts AS seen FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts")
 
 # --- auctions: orders stand for auctions, line items for bids, customers for persons ---
 _B = "(SELECT l_orderkey AS auction, l_suppkey AS bidder, l_extendedprice AS price, l_shipdate AS bid_at, l_linenumber AS n, l_returnflag AS channel FROM lineitem) b"
@@ -174,12 +175,34 @@ add("auction_daily_range", f"SELECT auction, CAST(CAST(bid_at AS DATE) AS STRING
 add("auction_hour_case", "SELECT event_id, CASE WHEN HOUR(ts) >= 8 AND HOUR(ts) <= 18 THEN 'day' WHEN HOUR(ts) <= 6 OR HOUR(ts) >= 20 THEN 'night' ELSE 'other' END AS part, length(props) - length(replace(props, 'k', '')) AS k FROM events", "SELECT event_id, CASE WHEN hour(ts) >= 8 AND hour(ts) <= 18 THEN 'day' WHEN hour(ts) <= 6 OR hour(ts) >= 20 THEN 'night' ELSE 'other' END AS part, CAST(length(props) - length(replace(props, 'k', '')) AS INTEGER) AS k FROM events")
 add("auction_rows_frame", f"SELECT auction, n, ROUND(avg(price) OVER (PARTITION BY auction ORDER BY n, price, bidder ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS a FROM {_B}")
 
+# --- values of predicates, names, syntax ---
+_N = "(SELECT NULLIF(n_regionkey, 2) AS k, n_nationkey FROM nation)"
+add("in_subquery_where_null", f"SELECT n_nationkey FROM nation WHERE (n_nationkey IN (SELECT k FROM {_N} s)) IS NULL")
+add("in_subquery_same_table", "SELECT n_nationkey, n_nationkey IN (SELECT n_regionkey FROM nation) AS i, CASE WHEN n_nationkey + 1 NOT IN (SELECT n_regionkey FROM nation WHERE n_regionkey > 1) THEN 'out' ELSE 'in' END AS c FROM nation")
+add("all_compound_left", "SELECT n_nationkey, n_nationkey + 2 * n_regionkey > ALL (SELECT n_regionkey FROM nation) AS a, n_nationkey - 1 = ANY (SELECT n_regionkey FROM nation) AS s FROM nation", "SELECT n_nationkey, n_nationkey + 2 * n_regionkey > (SELECT max(n_regionkey) FROM nation) AS a, n_nationkey - 1 IN (SELECT n_regionkey FROM nation) AS s FROM nation")
+add("quoted_names", 'SELECT "o key", "select" FROM (SELECT o_orderkey AS "o key", o_orderstatus AS "select" FROM orders) x WHERE "select" = \'F\'')
+add("unique_star", "SELECT UNIQUE (SELECT * FROM nation) AS u, UNIQUE (SELECT n_regionkey FROM nation) AS v, UNIQUE (SELECT r_name, r_regionkey FROM region) AS w", "SELECT true AS u, false AS v, true AS w")
+add("array_set_agg", "SELECT n_regionkey, array_join(array_sort(array_agg(n_nationkey)), ',') AS a, array_join(array_sort(collect_set(n_nationkey % 3)), ',') AS s FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, array_to_string(list_sort(list(n_nationkey)), ',') AS a, array_to_string(list_sort(list(DISTINCT n_nationkey % 3)), ',') AS s FROM nation GROUP BY n_regionkey")
+add("sum_of_nothing_is_zero", "SELECT COALESCE(SUM(o_orderkey), 0) AS s, COUNT(*) AS n FROM orders WHERE o_orderkey < 0", "SELECT CAST(COALESCE(SUM(o_orderkey), 0) AS BIGINT) AS s, COUNT(*) AS n FROM orders WHERE o_orderkey < 0")
+add("approximate_counts", "SELECT abs(approx_count_distinct(l_partkey) - count(DISTINCT l_partkey)) <= 0.1 * count(DISTINCT l_partkey) AS near FROM lineitem", "SELECT true AS near")
+add("cast_text_numbers", "SELECT l_orderkey, l_linenumber, CAST(CAST(l_quantity AS VARCHAR) AS DOUBLE) AS d, CAST(CAST(l_quantity AS VARCHAR) AS DECIMAL(10, 2)) AS c, CAST(CASE WHEN l_linenumber > 2 THEN 'true' ELSE 'false' END AS BOOLEAN) AS b, CAST('no number' AS DOUBLE) AS x FROM lineitem", "SELECT l_orderkey, l_linenumber, l_quantity AS d, CAST(l_quantity AS DECIMAL(10, 2)) AS c, l_linenumber > 2 AS b, CAST(NULL AS DOUBLE) AS x FROM lineitem")
+add("cast_date_times", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP_NTZ) AS t, CAST(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' 01:02:03.004' AS TIMESTAMP_NTZ) AS s FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + INTERVAL 3723004 MILLISECOND AS s FROM orders")
+add("floor_ceil_numbers", "SELECT l_orderkey, l_linenumber, FLOOR(l_extendedprice) AS f, CEIL(-l_extendedprice) AS c FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(floor(l_extendedprice) AS BIGINT) AS f, CAST(ceil(-l_extendedprice) AS BIGINT) AS c FROM lineitem")
+
+#: Queries of programs in strict mode.
+STRICT: dict[str, tuple[str, str]] = {
+    "strict_casts": ("SELECT p_partkey, CAST(p_brand AS INT) AS i, CAST(NULLIF(p_name, p_name) AS INT) AS z, CAST(CAST(p_size AS VARCHAR) AS INT) AS n, CAST(p_type AS DOUBLE) AS d, CAST(p_brand AS DECIMAL(6, 2)) AS c, CAST(p_brand AS BOOLEAN) AS b FROM part", "SELECT p_partkey, COALESCE(TRY_CAST(p_brand AS INTEGER), 0) AS i, CAST(NULL AS INTEGER) AS z, p_size AS n, COALESCE(TRY_CAST(p_type AS DOUBLE), 0) AS d, CAST(0 AS DECIMAL(6, 2)) AS c, lower(p_brand) = 'true' AS b FROM part"),
+    "strict_sum_avg": ("SELECT l_returnflag, SUM(l_linenumber) AS s, AVG(l_linenumber) AS a, SUM(DISTINCT l_linenumber) AS d FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, CAST(sum(l_linenumber) AS INTEGER) AS s, CAST(sum(l_linenumber) // count(l_linenumber) AS INTEGER) AS a, CAST(sum(DISTINCT l_linenumber) AS INTEGER) AS d FROM lineitem GROUP BY l_returnflag"),
+    "strict_millis": ("SELECT event_id, CAST(ts AS VARCHAR) AS s, unix_micros(CAST(date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS TIMESTAMP)) AS u FROM events", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS s, (epoch_us(ts) + 500) // 1000 * 1000 AS u FROM events"),
+    "strict_round": ("SELECT l_orderkey, l_linenumber, ROUND(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS r FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(round_even(CAST(l_extendedprice AS DECIMAL(12, 2)), 1) AS DECIMAL(12, 1)) AS r FROM lineitem"),
+}
+
 
 def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    sql = QUERIES[name][0]
+    sql = (STRICT.get(name) or QUERIES[name])[0]
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        program = Program(spark)
+        program = Program(spark, strict=name in STRICT)
         words = sql.lower()
         for t in TABLES:
             if t in words:
@@ -191,8 +214,8 @@ def run(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict:
-    return {n: run(n) for n in QUERIES}
+    return {n: run(n) for n in (*QUERIES, *STRICT)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: duck or sql for n, (sql, duck) in QUERIES.items()}
+    return {n: duck or sql for n, (sql, duck) in (QUERIES | STRICT).items()}

@@ -259,14 +259,14 @@ def test_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr()
     assert json.loads(said.out)["outputs"][0]["name"] == "v" and "Table 'u' is not used" in said.err
     assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out/v")).collect()) == [3, 4]
-    sql.write_text("CREATE VIEW v AS\nSELECT FROM FROM")
+    sql.write_text("CREATE TABLE t (a INT);\nCREATE VIEW v AS\n  SELECT FROM FROM;\nCREATE VIEW w AS SELECT a,\n  nothing FROM t;\nCREATE TABLE t (b INT)")
     assert cli.main([str(sql), "-je"], spark) == 1
-    assert json.loads(capsys.readouterr().err)[0]["error_type"]
+    found = json.loads(capsys.readouterr().err.strip().splitlines()[-1])
+    assert [(r["start_line_number"], r["start_column"], r["end_line_number"], r["end_column"]) for r in found[1:]] == [(5, 3, 5, 9), (6, 1, 6, 22)]
+    assert found[0]["start_line_number"] in (2, 3) and found[0]["end_line_number"] == 3 and all(r["error_type"] and r["message"] and not r["warning"] for r in found)
 
 
 def test_grouped_sql_is_maintained_from_changes(spark):
-    from rivulet.operators.incremental import Recomputed
-
     p = Program(spark)
     p.sql("""
         CREATE TABLE t (k INT, v INT, d DOUBLE);
@@ -275,7 +275,6 @@ def test_grouped_sql_is_maintained_from_changes(spark):
         CREATE VIEW g AS SELECT COUNT(*) AS n, SUM(v) AS s, SUM(d) AS f FROM t;
         CREATE VIEW h AS SELECT k + 1 AS k1, COUNT(v) FROM t GROUP BY k + 1;
     """)
-    assert not any(isinstance(p.node(n), Recomputed) for n in ("a", "h"))
     rows = lambda *r: p.spark.createDataFrame(list(r), "k int, v int, d double, __w long")
     names = p.spark.createDataFrame([(1, "x"), (2, "y")], "k int, name string")
     outs = [p.step(d) for d in ({"t": rows((1, 1, 0.5, 1), (1, None, 9.0, 1), (2, 5, 2.0, 2)), "u": names}, {"t": rows((1, 3, 0.1, 1), (2, 5, 2.0, -1))}, {"t": rows((2, 5, 2.0, -1))})]
@@ -285,6 +284,128 @@ def test_grouped_sql_is_maintained_from_changes(spark):
     assert p.output("a").schema["s"].dataType == outs[0]["a"].schema["s"].dataType
 
 
+#: Queries over t and u, and whether they are computed whole in a step.
+STEPPED_QUERIES = [
+    ("SELECT a + 1 AS x FROM t WHERE v > 2", False),
+    ("SELECT DISTINCT a FROM t", False),
+    ("SELECT a, count(*) AS c, sum(v) AS s, avg(v) AS m, count(v) FILTER (WHERE v > 3) AS f FROM t GROUP BY a HAVING count(*) > 1", False),
+    ("SELECT a, min(v) AS lo, max(b) AS hi, count(DISTINCT b) AS d FROM t GROUP BY a", False),
+    ("SELECT t.a, u.b FROM t LEFT JOIN u ON t.a = u.a AND u.v > t.v", False),
+    ("SELECT t.a, u.a AS ua FROM t FULL JOIN u ON t.a = u.a", False),
+    ("SELECT a FROM t UNION SELECT a FROM u", False),
+    ("SELECT a FROM t EXCEPT SELECT a FROM u", False),
+    ("SELECT a FROM t EXCEPT ALL SELECT a FROM u", False),
+    ("SELECT a FROM t INTERSECT ALL SELECT a FROM u", False),
+    ("SELECT a, v, sum(v) OVER (PARTITION BY b ORDER BY v) AS w FROM t", False),
+    ("SELECT a FROM (SELECT a, row_number() OVER (PARTITION BY a ORDER BY v, b) AS r FROM t) x WHERE r = 1", False),
+    ("SELECT a FROM t WHERE v > (SELECT avg(v) FROM u)", False),
+    ("SELECT a FROM t WHERE a IN (SELECT a FROM u) AND NOT EXISTS (SELECT 1 FROM u WHERE u.b = t.b)", False),
+    ("SELECT a, a IN (SELECT a FROM u) AS i FROM t", False),
+    ("SELECT a, (SELECT max(v) FROM u WHERE u.a = t.a) AS m FROM t", False),
+    ("SELECT x.a, y.a AS ya FROM t x JOIN t y ON x.a = y.v", False),
+    ("SELECT t.a, u.b FROM t JOIN u ON t.v < u.v", False),
+    ("SELECT a, b, count(*) AS n FROM t GROUP BY ROLLUP (a, b)", False),
+    ("SELECT a, e FROM t, UNNEST(ARRAY[a, 1]) AS q(e)", False),
+    ("WITH c AS (SELECT a, count(*) AS n FROM t GROUP BY a) SELECT x.n FROM c x JOIN c y ON x.a = y.a", False),
+    ("SELECT count(*) AS n, sum(v) / count(*) AS m FROM t", False),
+    ("SELECT 1 AS x UNION ALL SELECT a FROM t", False),
+    ("SELECT a FROM t ORDER BY a, v, b LIMIT 3", True),
+    ("SELECT a FROM t WHERE a NOT IN (SELECT a FROM u)", True),
+    ("SELECT max(v) AS m FROM t", True),
+    ("WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 3) SELECT n, a FROM r JOIN t ON n = a", True),
+]
+
+
+@pytest.mark.parametrize(("sql", "whole"), STEPPED_QUERIES, ids=[q[:70] for q, _ in STEPPED_QUERIES])
+def test_views_by_steps_are_the_views_of_all_rows(spark, sql, whole):
+    """The sum of a view's changes is the view over the final tables, and only some views are computed whole."""
+    ddl, schema = "CREATE TABLE t (a INT, b VARCHAR, v BIGINT); CREATE TABLE u (a INT, b VARCHAR, v BIGINT)", "a int, b string, v long, __w long"
+    p = Program(spark)
+    p.sql(f"{ddl}; CREATE VIEW inner_view AS {sql}; CREATE VIEW w AS SELECT * FROM inner_view")
+    steps = [
+        {"t": [(1, "x", 5, 2), (2, "y", 1, 1), (None, "z", 3, 1), (3, None, None, 1), (5, "x", 2, 1)], "u": [(1, "x", 6, 1), (2, "q", 0, 1), (None, "z", 1, 1), (3, "w", 7, 2)]},
+        {"t": [(1, "x", 5, -1), (2, "y", 1, -1)]},
+        {},
+        {"u": [(3, "w", 7, -1), (5, "x", 2, 1)], "t": [(2, "k", 9, 1), (3, "w", 4, 1), (None, "z", 3, -1)]},
+    ]
+    outs, held = [], {"t": {}, "u": {}}
+    for change in steps:
+        outs.append(p.step({t: p.spark.createDataFrame(rows, schema) for t, rows in change.items()}))
+        for t, rows in change.items():
+            for *row, w in rows:
+                held[t][tuple(row)] = held[t].get(tuple(row), 0) + w
+    assert outs[2]["w"].count() == 0
+    batch = Program(spark)
+    for t, rows in held.items():
+        batch.table(t, p.tables[t], batch.spark.createDataFrame([r for r, w in rows.items() for _ in range(w)], p.tables[t]))
+    want = batch.sql(sql)
+    for v in ("inner_view", "w"):
+        total = zset.rows(zset.consolidate(zset.plus(*(o[v] for o in outs))))
+        assert same(total.collect(), [tuple(r) for r in want.collect()])
+        assert [f.dataType for f in total.schema] == [f.dataType for f in want.schema]
+    assert any("computed whole" in w["message"] for w in p.warnings) == whole
+
+
+def test_a_program_goes_on_from_its_home(spark, tmp_path):
+    def program():
+        p = Program(spark, home=str(tmp_path / "home"))
+        p.sql("CREATE TABLE t (a INT); INSERT INTO t VALUES (1); CREATE VIEW v AS SELECT a, count(*) AS n FROM t GROUP BY a")
+        return p
+
+    one = [(1,)]
+    assert sorted(map(tuple, program().step()["v"].collect())) == [(1, 1, 1)]
+    p = program()
+    assert sorted(map(tuple, p.step({"t": p.spark.createDataFrame(one, "a int")})["v"].collect())) == [(1, 1, -1), (1, 2, 1)]
+
+
+NULLS = "CREATE TABLE t (a INT, b INT); INSERT INTO t VALUES (1, 1), (NULL, 2); CREATE TABLE q (\"a b\" INT, c INT, random INT); INSERT INTO q VALUES (1, 2, 3)"
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT a FROM t WHERE (3 IN (SELECT a FROM t)) IS NULL", [(1,), (None,)]),
+    ("SELECT a, a IN (SELECT a FROM t) FROM t", [(1, True), (None, None)]),
+    ("SELECT CASE WHEN a IN (SELECT a FROM t) THEN 1 ELSE 0 END FROM t", [(1,), (0,)]),
+    ("SELECT b FROM t WHERE NOT (b IN (SELECT a FROM t))", []),
+    ("SELECT b FROM t WHERE b IN (SELECT a FROM t) OR b = 2", [(1,), (2,)]),
+    ("SELECT b FROM t WHERE a IN (SELECT a FROM t) AND b < 5", [(1,)]),
+    ("SELECT b, b + 1 > ALL (SELECT b FROM t) FROM t", [(1, False), (2, True)]),
+    ("SELECT b FROM t WHERE b - -1 >= ANY (SELECT b + 1 FROM t WHERE b = 2)", [(2,)]),
+    ("SELECT \"a b\" AS x, c, random FROM q", [(1, 2, 3)]),
+    ("SELECT UNIQUE (SELECT * FROM t), UNIQUE (SELECT b FROM t)", [(True, True)]),
+    ("SELECT x, y FROM UNNEST(ARRAY[1, 2], ARRAY['a']) AS u(x, y)", [(1, "a"), (2, None)]),
+    ("SELECT x, y, i FROM UNNEST(ARRAY[1, 2], ARRAY['a', 'b']) WITH ORDINALITY AS u(x, y, i)", [(1, "a", 1), (2, "b", 2)]),
+    ("SELECT CAST(b AS VARCHAR) FROM t", [("1",), ("2",)]),
+], ids=lambda x: x if isinstance(x, str) else "")
+def test_values_of_predicates_and_names(spark, sql, want):
+    p = Program(spark)
+    p.sql(NULLS)
+    assert same(p.sql(sql).collect(), want)
+
+
+def test_what_has_no_fixed_value_is_told_by_the_plan(spark):
+    p = Program(spark)
+    p.sql(f"{NULLS}; CREATE VIEW fine AS SELECT random, 'right now ' AS w FROM q")
+    for i, sql in enumerate(("SELECT rand() AS r", "SELECT a FROM t WHERE a IN (SELECT unix_timestamp(now()))", "SELECT uuid() AS u FROM t", "SELECT current_date AS d")):
+        with pytest.raises(ProgramError, match="no fixed value"):
+            p.sql(f"CREATE VIEW v{i} AS {sql}")
+
+
+def test_strict_mode(spark):
+    p = Program(spark, strict=True)
+    p.sql("CREATE TABLE t (s VARCHAR, i INT, d DECIMAL(10, 2), ts TIMESTAMP); INSERT INTO t VALUES ('x', 2147483647, 1.25, TIMESTAMP_NTZ '2024-01-01 10:00:00.123456'), ('12', 2, 1.35, NULL), (NULL, 3, 2.5, NULL)")
+    from decimal import Decimal as D
+
+    assert same(p.sql("SELECT CAST(s AS INT), CAST(s AS DOUBLE), CAST(s AS BOOLEAN), CAST(s AS DECIMAL(5, 1)) FROM t").collect(), [(0, 0.0, False, D("0.0")), (12, 12.0, False, D("12.0")), (None, None, None, None)])
+    sums = p.sql("SELECT SUM(i) AS s, AVG(i) AS a, SUM(DISTINCT i) AS d FROM t")
+    assert [t for _, t in sums.dtypes] == ["int"] * 3 and tuple(sums.first()) == (-2147483644, 715827884, -2147483644)
+    assert same(p.sql("SELECT ROUND(d, 1), ROUND(d) FROM t").collect(), [(D("1.2"), D(1)), (D("1.4"), D(1)), (D("2.5"), D(2))])
+    assert p.sql("SELECT CAST(ts AS VARCHAR) FROM t WHERE ts IS NOT NULL").first()[0] == "2024-01-01 10:00:00"
+    assert str(p.sql("SELECT CAST('2024-01-01 10:00:00.1235' AS TIMESTAMP)").first()[0]) == "2024-01-01 10:00:00.124000"
+    assert p.sql("SELECT CAST(s AS DATE) FROM t WHERE s = 'x'").first()[0] is None
+    plain = Program(spark)
+    assert plain.sql("SELECT CAST('x' AS INT)").first()[0] is None
+
+
 def test_a_step_starts_from_what_tables_hold(spark, tmp_path):
     spark.createDataFrame([(1, 10), (1, 20), (2, 5)], "k int, v int").write.parquet(str(tmp_path / "o"))
     p = Program(spark)
