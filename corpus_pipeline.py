@@ -21,26 +21,36 @@ from rivulet.llm.common import materialise, release, table, written
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with names of its own for all columns, so that none is one of an operator's, and what each is called."""
+    names = {c: f"in{i}__" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts have no words and go; with a null lang the base rules alone judge."""
-    judged = rules.quality_rules(docs, "text", "lang", docs.columns)
-    return judged.where("kept").select(docs.columns)
+    x, name = _apart(docs)
+    judged = rules.quality_rules(x, name["text"], name["lang"], x.columns)
+    return judged.where("kept").select(x.columns).toDF(*docs.columns)
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with the usual cross-entropy; the models learn from all labelled ones. Texts without a letter go; without any label all do, as no language is known."""
-    model = language.fit(docs, "doc_id", "text", "lang")
-    return language.identify(docs, "text", model).where(~F.col("rejected")).select(docs.columns)
+    x, name = _apart(docs)
+    model = language.fit(x, name["doc_id"], name["text"], name["lang"])
+    return language.identify(x, name["text"], model).where(~F.col("rejected")).select(x.columns).toDF(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id; ties between repeated or null ids are broken by place. Texts without words all stay."""
-    return jaccard.one_of_each(docs, "doc_id", "text")
+    x, name = _apart(docs)
+    return jaccard.one_of_each(x, name["doc_id"], name["text"]).toDF(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it; null is a source of its own. Texts without words are in no target and taken as often as others of their source."""
-    return mixing.mixed(docs, "doc_id", "text", "source")
+    x, name = _apart(docs)
+    return mixing.mixed(x, name["doc_id"], name["text"], name["source"]).toDF(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
