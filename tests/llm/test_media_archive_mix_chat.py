@@ -2,17 +2,19 @@
 
 import hashlib
 import random
+import re
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rivulet.llm import chat, mixing, queries, tiff, warc
+from rivulet.llm import bpe, chat, mixing, queries, tiff, warc
 
 # --- TIFF ---
 
@@ -296,6 +298,104 @@ def test_pipeline(spark, small):
     assert all(texts[x.doc_id] for x in out)
 
 
+def _jaccard_groups(texts):
+    """Group of each text by brute force over all pairs of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def _odd_corpus(odd_ids):
+    """Clean and junk texts, copies, nulls, and columns named like what stages make."""
+    r = random.Random(29)
+    words = {"en": ["the", "of", "and", "to", "in", "is", *(f"{a}{b}ing" for a in "bcdfghlm" for b in "aeiou")], "fr": ["de", "la", "le", "et", "les", "un", *(f"{a}{b}ment" for a in "bcdfghlm" for b in "aéiou")]}
+    rows = []
+    for i in range(90):
+        lang = r.choice(["en", "en", "fr"])
+        rows.append((i, " ".join(r.choice(words[lang]) for _ in range(r.randrange(40, 160))), lang, r.choice(["a", "a", "b", None])))
+    rows += [(100 + i, rows[i][1] + (" more" if i % 2 else ""), rows[i][2], "c") for i in range(0, 40, 4)]
+    rows += [(200, None, "en", "a"), (201, "", "fr", "a"), (202, "### %% " * 40, "en", "b"), (203, "12 " * 60, "en", None), (204, " ".join(str(r.randrange(10**6)) for _ in range(80)), None, "a")]
+    if odd_ids:
+        rows = [(None if i % 11 == 0 else d // 3, *rest) for i, (d, *rest) in enumerate(rows)] + [rows[1]] * 3
+    return [(d, t, la, so, len(t or ""), i, True, "x", 1) for i, (d, t, la, so) in enumerate(rows)]
+
+
+ODD_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, place long, rejected boolean, comp string, copies int"
+
+
+@pytest.mark.parametrize("odd_ids", [False, True])
+def test_pipeline_as_by_brute_force(spark, tmp_path, odd_ids):
+    rows = _odd_corpus(odd_ids)
+    spark.createDataFrame(rows, ODD_SCHEMA).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    frame, names = spark.read.parquet(str(tmp_path / "documents.parquet")), ODD_SCHEMA.replace(",", "").split()[::2]
+    stages, seen = dict(corpus_pipeline.STAGES), rows
+
+    def stage(name):
+        nonlocal frame
+        frame = stages[name](spark, frame, str(tmp_path)).cache()
+        assert frame.columns == names
+        return [tuple(x) for x in frame.collect()]
+
+    def duck(sql, documents):
+        """sql over documents whose ids are their places."""
+        import pandas as pd
+
+        with duckdb.connect() as db:
+            db.register("d", pd.DataFrame([(x[5], x[1], x[2], x[3]) for x in documents], columns=["doc_id", "text", "lang", "source"]))
+            db.execute("CREATE VIEW documents AS SELECT doc_id, CAST(text AS VARCHAR) AS text, CAST(lang AS VARCHAR) AS lang, CAST(source AS VARCHAR) AS source FROM d")
+            got = db.execute(sql)
+            return [dict(zip([c[0] for c in got.description], x, strict=True)) for x in got.fetchall()]
+
+    got = stage("quality rules")
+    kept = {x["doc_id"] for x in duck(queries.oracle_sql()["op6_quality_rules"], seen) if x["kept"]}
+    seen = [x for x in seen if x[5] in kept]
+    assert Counter(got) == Counter(seen) and len(seen) >= 90 and not {200, 201, 202} & {x[5] for x in seen}
+    got = stage("language ID")
+    assert Counter(got) == Counter(x for x in seen if any(c.isalpha() for c in x[1]))
+    seen = got
+    got = stage("near copies")
+    groups = _jaccard_groups([x[1] for x in seen])
+    best = {}
+    for x, g in zip(seen, groups, strict=True):
+        best.setdefault(g, []).append(x)
+    of = {x[5]: g for x, g in zip(seen, groups, strict=True)}
+    assert Counter(of[x[5]] for x in got) == Counter(dict.fromkeys(best, 1)) and len(best) < len(seen)
+    if not odd_ids:
+        assert Counter(got) == Counter(min(xs) for xs in best.values())
+    seen = got
+    got = stage("mix")
+    if not odd_ids:
+        times = {x["doc_id"]: x["taken"] // x["size"] for x in duck(queries.oracle_sql()["op5_mix_sources"].replace("md5(coalesce(CAST(s.doc_id AS VARCHAR), ''))", f"md5(CAST([{', '.join(str(x[0]) for x in rows)}][s.doc_id + 1] AS VARCHAR))"), seen) if x["size"]}
+        assert Counter(got) == Counter({x: times[x[5]] for x in seen if times[x[5]]})
+    assert max(Counter(got).values()) <= 3 * max(Counter(x[5] for x in seen).values())
+    enc = bpe.encoding(public_tokenizers.path(corpus_pipeline.RANKS), public_tokenizers.PATTERN)
+    want = Counter((x[0], x[2], x[3], tuple(enc.encode_ordinary(x[1]))) for x in got)
+    out = stages["tokens"](spark, frame, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.lang, x.source, tuple(np.frombuffer(x.token_ids, "<u4").tolist())) for x in out) == want and all(x.round_trip for x in out)
+    if not odd_ids:
+        whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert Counter((x.doc_id, x.n_tokens) for x in whole) == Counter((x.doc_id, x.n_tokens) for x in out)
+
+
+def test_pipeline_over_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_long_runs_of_backslashes(spark):
     texts = ["\\" * 1_000_000, "\\" * 500_000 + "### x", "\\" * 300_000 + "</turn>" + "\\" * 300_000]
     rows = [(1, i, "user", t) for i, t in enumerate(texts)]
