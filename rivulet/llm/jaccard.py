@@ -44,6 +44,8 @@ FEW = 32
 FREQUENT, MOST_FREQUENT = 16, 1 << 20
 #: Bits of the filter that picks the texts to read again: 8 MB however many there are.
 FILTER_BITS = 1 << 26
+#: Parts of a min-hash's sets, by a hash of the set.
+SALTS = 32
 SEED = np.uint64(0x9E3779B97F4A7C15)
 #: Min-hashes by which sets meet in the first round, and those by which the groups so found meet once more.
 KEYS = ((0, 1), (2, 3, 4, 5))
@@ -445,8 +447,12 @@ def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, si
         kept = kept.withColumn("comp", F.col("node"))
     seen = kept.select("comp", "node", "rep", F.posexplode("mins").alias("key", "least"))
     seen = seen.groupBy("key", "least", "comp").agg(F.min(F.struct("node", "rep")).alias("x")).select("key", "least", "x.node", "x.rep")
-    several = seen.groupBy("key", "least").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("k2"), F.col("least").alias("l2"), "n")
-    bins = seen.join(several, (F.col("key") == F.col("k2")) & (F.col("least") == F.col("l2"))).select("key", "least", "node", "rep", "n")
+    # a min-hash that many sets have is counted, and joined with its count, in parts
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    parts = seen.groupBy("key", "least", "salt").agg(F.count("*").alias("c"))
+    several = parts.groupBy("key", "least").agg(F.sum("c").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
+    several = several.select(F.col("key").alias("k2"), F.col("least").alias("l2"), F.explode("salts").alias("s2"), "n")
+    bins = seen.join(several, (F.col("key") == F.col("k2")) & (F.col("least") == F.col("l2")) & (F.col("salt") == F.col("s2"))).select("key", "least", "node", "rep", "n")
     bins = materialise(bins, "bins")
     if not bins.limit(1).count():
         return bins.select(F.col("node").alias("a"), F.col("node").alias("b"))
