@@ -75,6 +75,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() returns, written; all that it has written on its way is deleted."""
+    mark = written()
+    out = materialise(make(), name)
+    release(out.sparkSession, mark, written() - 1)
+    return out
+
+
 def with_row_id(df: DataFrame, doc_id: str) -> tuple[DataFrame, str]:
     """df and the name of a column that tells its rows apart: doc_id, or a new one if ids are null or repeated.
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rivulet.llm.common import hashed_words, map_slices, materialise, mix, slices, table, with_row_id
+from rivulet.llm.common import hashed_words, map_slices, materialise, mix, settled, slices, table, with_row_id
 
 WORDS, PERCENT = 5, 80
 #: Sets in one tree, children of a tree node, bits of a bitmap a token at least, largest bitmap in 64-bit words.
@@ -448,7 +448,7 @@ def _first_round(nodes: DataFrame, docs: DataFrame, words: int, percent: int, si
     seen = kept.select("comp", "node", "rep", F.posexplode("mins").alias("key", "least"))
     seen = seen.groupBy("key", "least", "comp").agg(F.min(F.struct("node", "rep")).alias("x")).select("key", "least", "x.node", "x.rep")
     # a min-hash that many sets have is counted, and joined with its count, in parts
-    seen = seen.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    seen = materialise(seen.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), "seen")
     parts = seen.groupBy("key", "least", "salt").agg(F.count("*").alias("c"))
     several = parts.groupBy("key", "least").agg(F.sum("c").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1")
     several = several.select(F.col("key").alias("k2"), F.col("least").alias("l2"), F.explode("salts").alias("s2"), "n")
@@ -685,12 +685,12 @@ def jaccard_join(df: DataFrame, doc_id: str, text: str, words: int = WORDS, perc
     carried = base.where("bits IS NOT NULL").select("node", "n", "prefix", "bits")
     spanning, comps = None, None
     for keys in KEYS:
-        found = materialise(_first_round(nodes, docs, words, percent, size, keys, comps), "round1")
+        found = settled(lambda k=keys, c=comps: _first_round(nodes, docs, words, percent, size, k, c), "round1")
         spanning = found if spanning is None else spanning.union(found)
-        comps = components(spanning)
-    more = materialise(_second_round(nodes, carried, comps, docs, words, percent, size), "round2")
+        comps = settled(lambda s=spanning: components(s), "components")
+    more = settled(lambda: _second_round(nodes, carried, comps, docs, words, percent, size), "round2")
     if more.limit(1).count():
-        comps = components(spanning.union(more))
+        comps = settled(lambda: components(spanning.union(more)), "components")
     of = nodes.select("node", "rep").join(comps.select(F.col("node").alias("k"), "comp"), F.col("node") == F.col("k"), "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = of.groupBy("comp").agg(F.min("rep").alias("component_id")).select(F.col("comp").alias("c"), "component_id")
     ids = of.join(least, F.col("comp") == F.col("c")).select(F.col("node").alias("k"), "rep", "component_id")
