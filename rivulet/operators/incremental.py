@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from rivulet.operators import zset
 from rivulet.operators.zset import W
-from rivulet.session import list_names, read_text, remove, shared_path, write_text
+from rivulet.session import IN_LENGTH, list_names, read_text, remove, shared_path, write_text
 
 #: Changes that a state holds before they are summed up into one.
 COMPACT = 16
@@ -100,6 +100,14 @@ def hashed(columns: list[Column]) -> Column:
     return (F.xxhash64(*columns) if columns else F.lit(0).cast("bigint")).alias(H)
 
 
+def among(hashes: list[int]) -> Column:
+    """Whether the hash is one of some sorted ones. Parquet's readers get a list as a chain of comparisons that they walk by recursion, so a long one would overflow their stack: it goes as a balanced tree of short ones."""
+    if len(hashes) <= IN_LENGTH:
+        return F.col(H).isin(hashes) if hashes else F.lit(False)
+    half = len(hashes) // 2
+    return among(hashes[:half]) | among(hashes[half:])
+
+
 @dataclass
 class Step:
     """What one step knows: changes by table, the store, and what has been worked out."""
@@ -142,7 +150,7 @@ class Step:
         all_hashes = reduce(DataFrame.union, [c.select(H) for c in changes])
         some = [r[0] for r in all_hashes.distinct().limit(MOST_HASHES + 1).collect()]
         if len(some) <= MOST_HASHES:
-            return lambda log: log.where(F.col(H).isin(some)) if some else log.where(F.lit(False))
+            return lambda log: log.where(among(sorted(some)))
         wanted = all_hashes.distinct().withColumnRenamed(H, "__t")
         return lambda log: log.join(wanted, F.col(H) == F.col("__t"), "left_semi")
 

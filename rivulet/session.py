@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Values of an IN that Parquet's readers compare one by one, by recursion; of longer ones they look at the range only.
+IN_LENGTH = 100
 #: Wrap-around integers and lenient casts; times without zone; plans that adapt to sizes at run time.
 SETTINGS = {
     "spark.sql.ansi.enabled": "false",
@@ -15,8 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # scans of states get the hashes of touched keys, as many as rivulet.operators.incremental hands them
-    "spark.sql.parquet.pushdown.inFilterThreshold": "10000",
+    # scans of states get the hashes of touched keys in lists of this length at most
+    "spark.sql.parquet.pushdown.inFilterThreshold": str(IN_LENGTH),
     # it fails on subqueries over a table of several inserts, which is a union; columns are pruned through unions without it
     "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.PushProjectionThroughUnion",
 }

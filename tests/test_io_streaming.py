@@ -132,6 +132,32 @@ def test_states_are_summed_up_and_read_by_touched_keys(spark, tmp_path, monkeypa
     del schema
 
 
+@pytest.mark.parametrize("make", [
+    lambda a, b: a.aggregate(["k"], n="count(*)"),
+    lambda a, b: a.join(b, [("k", "j")]),
+    lambda a, b: a.outer_join(b, [("k", "j")]),
+    lambda a, b: a.outer_join(b, [("k", "j")], "full"),
+    lambda a, b: a.except_(b),
+    lambda a, b: a.except_(b, all=True),
+    lambda a, b: a.intersect(b),
+    lambda a, b: a.union(b.select("j AS k")),
+    lambda a, b: a.aggregate(["k"], n="count(*)").aggregate(["n"], c="count(*)"),
+], ids=["aggregate", "join", "left", "full", "except", "except_all", "intersect", "union", "view_on_view"])
+def test_steps_that_touch_thousands_of_keys(spark, make):
+    """Each step's keys, some of them touched before, are handed to the scan of a state."""
+    from rivulet.session import engine_session
+
+    session = engine_session(spark)
+    changes = [[session.range(lo, hi, 1, 1).selectExpr(f"id AS {c}") for c in "kj"] for lo, hi in ((0, 6000), (1000, 9500))]
+    views = Views(session, {"v": make(Scan("a"), Scan("b"))}, {"a": changes[0][0].schema, "b": changes[0][1].schema})
+    steps = zset.integrate([views.step({"a": a, "b": b})["v"] for a, b in changes])
+    whole = Views(session, {"v": make(Scan("a"), Scan("b"))}, {"a": changes[0][0].schema, "b": changes[0][1].schema})
+    once = whole.step({"a": changes[0][0].union(changes[1][0]), "b": changes[0][1].union(changes[1][1])})["v"]
+    assert zset.differentiate(steps, once).count() == 0
+    views.close()
+    whole.close()
+
+
 def test_event_time_windows(spark, tmp_path):
     df = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-01 00:00:05' AS ts, 'a' AS k UNION ALL SELECT TIMESTAMP_NTZ '2024-01-01 00:00:15', 'a'")
     df.write.parquet(str(tmp_path / "e"))
