@@ -104,6 +104,15 @@ def sets(array: pa.Array, words: int = WORDS, last: np.ndarray | None = None) ->
     return s, np.searchsorted(of, np.arange(len(array) + 1))
 
 
+def each_set(array: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """The set of each text, made from a slice of the texts at a time: besides the sets only a slice's words are held."""
+    out = []
+    for part in slices(pa.RecordBatch.from_arrays([array], names=["text"]), "text"):
+        s, cut = sets(part.column(0), words)
+        out += [s[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return out
+
+
 def described(s: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each set's hash and its min-hashes (a row a set); zeros for empty sets."""
     n = np.diff(cut)
@@ -395,8 +404,7 @@ def _block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
             if len(node) < 2:
                 root = node
             else:
-                s, cut = sets(t.column(3).take(pa.array(first)).combine_chunks(), words)
-                group = link_block([s[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], percent)
+                group = link_block(each_set(t.column(3).take(pa.array(first)).combine_chunks(), words), percent)
                 root = node[group]  # nodes are sorted, and a group's number is its first member's
             roots = root == node
             text = pc.if_else(pa.array(roots), t.column(3).take(pa.array(first)), pa.scalar(None, pa.string()))

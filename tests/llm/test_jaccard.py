@@ -130,3 +130,18 @@ def test_one_of_each(spark):
     assert sum(v for k, v in got.items() if k and k.startswith("w0")) == 1 and got["quite another text of seven words"] == 1 and got[None] == 2 and got[""] == 1
     unique = jaccard.one_of_each(df.where("doc_id IN (1, 3, 5)").dropDuplicates(["doc_id"]).union(spark.createDataFrame([(9, long, "x", "y")], SCHEMA)), "doc_id", "text")
     assert sorted(r.doc_id for r in unique.collect()) == [1, 3, 5]
+
+
+def test_sets_of_a_block_are_made_a_slice_at_a_time():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(4000)) for _ in range(250)] + ["", None, "a b"]
+    array = jaccard.pa.array(texts)
+    tracemalloc.start()
+    parts = jaccard.each_set(array)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s, cut = jaccard.sets(array)
+    assert len(parts) == len(texts) and all((p == s[a:b]).all() for p, a, b in zip(parts, cut[:-1], cut[1:], strict=True))
+    assert most < 5 * sum(p.nbytes for p in parts)
