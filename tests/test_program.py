@@ -342,6 +342,21 @@ def test_views_by_steps_are_the_views_of_all_rows(spark, sql, whole):
     assert any("computed whole" in w["message"] for w in p.warnings) == whole
 
 
+@pytest.mark.parametrize("sql", [
+    "SELECT t.a, u.b FROM t JOIN u ON t.a = u.b",
+], ids=["join"])
+def test_programs_whose_steps_touch_thousands_of_keys(spark, sql):
+    """The second step's keys, some of them touched before, are handed to the scan of a state."""
+    p, whole = Program(spark), Program(spark)
+    for q in (p, whole):
+        q.sql(f"CREATE TABLE t (a BIGINT); CREATE TABLE u (b BIGINT); CREATE VIEW v AS {sql}")
+    numbers = lambda q, *ends: {t: q.spark.range(*ends, 1, 1).selectExpr(f"id AS {c}") for t, c in (("t", "a"), ("u", "b"))}
+    steps = zset.integrate([p.step(numbers(p, 0, 6000))["v"], p.step(numbers(p, 1000, 9500))["v"]])
+    first, second = numbers(whole, 0, 6000), numbers(whole, 1000, 9500)
+    once = whole.step({t: first[t].union(second[t]) for t in first})["v"]
+    assert once.count() > 0 and zset.differentiate(steps, once).count() == 0
+
+
 def test_a_program_goes_on_from_its_home(spark, tmp_path):
     def program():
         p = Program(spark, home=str(tmp_path / "home"))
