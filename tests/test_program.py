@@ -345,7 +345,8 @@ def test_views_by_steps_are_the_views_of_all_rows(spark, sql, whole):
 @pytest.mark.parametrize("sql", [
     "SELECT t.a, u.b FROM t JOIN u ON t.a = u.b",
     "SELECT a FROM t UNION SELECT b + 500 FROM u",
-], ids=["join", "union"])
+    "SELECT t.a, u.b FROM t LEFT JOIN u ON t.a = u.b AND u.b % 2 = 0",
+], ids=["join", "union", "left_join"])
 def test_programs_whose_steps_touch_thousands_of_keys(spark, sql):
     """The second step's keys, some of them touched before, are handed to the scan of a state."""
     p, whole = Program(spark), Program(spark)
