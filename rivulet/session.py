@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Values of an IN that Parquet's readers compare one by one, by recursion; of longer ones they look at the range only.
 IN_LENGTH = 100
+#: Bytes of shuffled rows, and of a file, that a task is dealt at most, where the caller doesn't say less. Rows take many times as much in a task's hash tables, and a join makes more of them.
+TASK_BYTES = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20, "spark.sql.files.maxPartitionBytes": 16 << 20}
 #: Wrap-around integers and lenient casts; times without zone; plans that adapt to sizes at run time.
 SETTINGS = {
     "spark.sql.ansi.enabled": "false",
@@ -27,8 +29,10 @@ SETTINGS = {
 def engine_session(spark: SparkSession) -> SparkSession:
     """A session of its own over the same context, with the engine's SQL semantics; the caller's stays as it is."""
     session = spark.newSession()
-    for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.files.maxPartitionBytes"):
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold"):
         session.conf.set(key, spark.conf.get(key))
+    for key, most in TASK_BYTES.items():
+        session.conf.set(key, str(min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))))
     for key, value in SETTINGS.items():
         session.conf.set(key, value)
     return session

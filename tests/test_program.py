@@ -440,6 +440,17 @@ def test_a_step_starts_from_what_tables_hold(spark, tmp_path):
     assert got == {"big": {(1, 2, 11): 1, (2, 2, 12): 1}, "named": {("a", 10): 1, ("a", 1): 1, ("b", 5): 1, ("b", 7): 1, ("bb", 5): 1, ("bb", 7): 1}}
 
 
+def test_tasks_are_dealt_few_bytes(spark):
+    """A task's hash tables grow with what it is dealt: not with the caller's 64 MB of shuffled rows and 128 MB of a file."""
+    most = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20, "spark.sql.files.maxPartitionBytes": 16 << 20}
+    caller = spark.newSession()
+    assert all(int(Program(caller).spark.conf.get(k)) == n for k, n in most.items())
+    for k in most:
+        caller.conf.set(k, "1m")
+    assert all(int(Program(caller).spark.conf.get(k)) == 1 << 20 for k in most)
+    assert all(caller.conf.get(k) == "1m" for k in most)
+
+
 def test_halt_of_other_databases_does_not_end_a_script():
     rest = "\nhalt\n\nstatement ok\nCREATE TABLE t (a INT)\n"
     for condition, n in (("onlyif mssql", 1), (f"skipif {slt.DATABASE}", 1), (f"onlyif {slt.DATABASE}", 0), ("", 0)):
