@@ -195,6 +195,8 @@ class Program:
         rules = dialect.DIVISIONS * ("/" in text) + dialect.STRICT * self.strict
         if rules:
             text = dialect.typed(self.spark, text, rules)
+        if "approx_count_distinct" in text.lower():
+            text = dialect.distinct_sketches(self.spark, text)
         return text, self.spark.sql(text)
 
     def _reads(self, query: str) -> set[str]:

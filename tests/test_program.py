@@ -2,11 +2,12 @@
 
 import json
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from rivulet import cli, slt
+from rivulet import cli, dialect, slt
 from rivulet.operators import zset
 from rivulet.plans.program import Program, ProgramError
 
@@ -440,6 +441,26 @@ def test_a_step_starts_from_what_tables_hold(spark, tmp_path):
     assert got == {"big": {(1, 2, 11): 1, (2, 2, 12): 1}, "named": {("a", 10): 1, ("a", 1): 1, ("b", 5): 1, ("b", 7): 1, ("bb", 5): 1, ("bb", 7): 1}}
 
 
+@pytest.mark.parametrize(("sql", "changed"), [
+    ("SELECT approx_count_distinct(a) AS x, count(DISTINCT a) AS y FROM s", 1),
+    ("SELECT g, APPROX_COUNT_DISTINCT ( ALL b, 0.02) FILTER (WHERE a > 9) AS x, count(*) AS n, count(DISTINCT a) AS y FROM s GROUP BY g HAVING approx_count_distinct(a + b) > 0", 2),
+    ("SELECT g, x.k FROM s, (SELECT approx_count_distinct(b) - count(DISTINCT a) AS k FROM s) x WHERE a < (SELECT count(DISTINCT b) - approx_count_distinct(a) FROM s)", 2),
+    ("SELECT approx_count_distinct(a) AS x, count(a) AS y FROM s", 0),
+    ("SELECT (SELECT approx_count_distinct(a) FROM s) AS x, count(DISTINCT a) AS y FROM s", 0),
+    ("SELECT a, approx_count_distinct(b) OVER (PARTITION BY g) AS x FROM s", 0),
+])
+def test_sketches_beside_distinct(spark, sql, changed):
+    """There is one for a group, not one for each distinct value, and it gives what it gave."""
+    p = Program(spark)
+    rows = p.spark.range(3000).selectExpr("id % 700 AS a", "IF(id % 5 = 0, NULL, id) AS b", "id % 3 AS g")
+    p.table("s", rows.schema, rows)
+    p.sql(f"CREATE VIEW v AS {sql}")
+    assert len(re.findall(r"approx_count_distinct\s*\(DISTINCT ", p.views["v"].query, re.I)) == changed
+    want = sorted(map(tuple, p.spark.sql(dialect.rewritten(sql)).collect()))
+    assert sorted(map(tuple, p.output("v").collect())) == want
+    assert sorted(map(tuple, zset.rows(p.step()["v"]).collect())) == want
+
+
 def test_tasks_are_dealt_few_bytes(spark):
     """A task's hash tables grow with what it is dealt: not with the caller's 64 MB of shuffled rows and 128 MB of a file."""
     most = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": 8 << 20, "spark.sql.files.maxPartitionBytes": 16 << 20}
