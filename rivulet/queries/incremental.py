@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rivulet.operators import zset
 from rivulet.operators.incremental import Constant, Node, Scan, Views
 from rivulet.plans.program import Program
-from rivulet.session import engine_session, shared_path
+from rivulet.session import engine_session, list_names, shared_path
 from rivulet.sources import files
 from rivulet.streaming import driver
 
@@ -111,16 +111,16 @@ def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A view over a stream of files: two insertions and a deletion, a file a step."""
+    """A view over a stream of files: two insertions and a deletion. The files of each are a step, which a stream takes that goes on from the one before."""
     session = engine_session(spark)
     orders = _read(session, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    path = shared_path(session, "changes")
-    changes = [zset.weighted(c) for c in _steps(orders, "o_orderkey")]
-    for i, c in enumerate(changes):
-        c.coalesce(1).write.mode("append").parquet(f"{path}/{i}")
+    path, checkpoint = shared_path(session, "changes"), shared_path(session, "stream")
     views = Views(session, {"v": Scan("orders").aggregate(["o_custkey"], n="count(*)")}, {"orders": orders.schema})
     outs: list[DataFrame] = []
-    driver.run_files(session, views, "orders", f"{path}/*", zset.weighted(orders).schema, lambda _, out: outs.append(out["v"]))
+    for i, c in enumerate(_steps(orders, "o_orderkey")):
+        zset.weighted(c).write.parquet(f"{path}/{i}")
+        number = max(1, len(list_names(session, f"{path}/{i}")))
+        driver.run_files(session, views, "orders", f"{path}/*", zset.weighted(orders).schema, lambda _, out: outs.append(out["v"]), checkpoint, number)
     return zset.rows(zset.integrate(outs))
 
 

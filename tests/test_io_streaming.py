@@ -55,6 +55,23 @@ def test_a_stream_that_takes_too_long_is_no_success(spark, tmp_path):
     assert not spark.streams.active
 
 
+def test_the_streamed_query_deals_each_change_to_several_tasks(spark, tmp_path, monkeypatch):
+    """A change is read, written and taken by as many tasks as its table has parts, in one step."""
+    from rivulet.queries import incremental
+
+    spark.range(0, 2000, 1, 4).selectExpr("id AS o_orderkey", "IF(id % 9 = 0, NULL, id % 70) AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    read, steps, run = set(), [], driver.run_files
+
+    def counted(session, views, table, path, *args, **options):
+        read.update(session.read.parquet(path).inputFiles())
+        steps.append(run(session, views, table, path, *args, **options))
+
+    monkeypatch.setattr(driver, "run_files", counted)
+    got = incremental.queries()["stream_files_view"](spark, str(tmp_path)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, spark.read.parquet(str(tmp_path / "orders.parquet")).groupBy("o_custkey").count().toDF("o_custkey", "n").collect()))
+    assert sum(steps) == 3 and len(read) >= 3 * 4
+
+
 def _grouped(spark, home):
     return Views(spark, {"v": Scan("t").aggregate(["k"], n="count(*)"), "m": Scan("t").aggregate(["k"], hi="max(v)")}, {"t": T._parse_datatype_string("k int, v int")}, str(home))
 
